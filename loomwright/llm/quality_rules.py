@@ -16,9 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import SPACE, WORD, let, materialise
+from loomwright.llm.common import WORD, let, materialise
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 SPAN = 8  # words in a window
 ROUNDS = 40
 #: What the maximisation starts from: most texts are good, and a rule that votes is mostly right.
@@ -30,28 +30,34 @@ KEEP = 0.5
 _WHITE = r"[\x20\x09-\x0D]"
 
 
-def _repeated(words: Column, span: int = SPAN) -> Column:
-    """Words that lie in a window of ``span`` words whose text occurs twice or more.
+def _repeated(words: Column) -> Column:
+    """Words that lie in a window of eight words whose text occurs twice or more.
 
-    Windows are compared by a 64-bit hash of their words. Only if a text has equal ones are they sorted by hash,
-    to find where they are, and the union of their stretches is summed from the gaps between their starts.
+    Windows are compared by a 64-bit hash, built from hashes of one, two and four words. Most texts repeat no four
+    words and are done there. Only if a text has equal windows are they sorted by hash, to find where they are, and
+    the union of their stretches is summed from the gaps between their starts.
     """
 
+    def joined(hashes: Column, gap: int) -> Column:
+        """Of each hash with that ``gap`` places on."""
+        n = F.size(hashes) - gap
+        return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, gap + 1, n), lambda x, y: F.xxhash64(x, y))
+
     def count(hashes: Column) -> Column:
         at = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-        def equal(rows: Column) -> Column:
+        def equal(rows: Column) -> Column:  # by hash and then place
             same = lambda row, j: F.coalesce(F.get(rows, j)["h"] == row["h"], F.lit(False))
             starts = F.array_sort(F.transform(F.filter(rows, lambda row, j: same(row, j - 1) | same(row, j + 1)), lambda row: row["i"]))
-            return let(starts, lambda s: F.aggregate(F.transform(s, lambda p, j: F.least(F.coalesce(F.get(s, j + 1) - p, F.lit(span)), F.lit(span))), F.lit(0), lambda a, n: a + n))
+            return let(starts, lambda s: F.aggregate(F.transform(s, lambda p, j: F.least(F.coalesce(F.get(s, j + 1) - p, F.lit(SPAN)), F.lit(SPAN))), F.lit(0), lambda a, n: a + n))
 
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(at, equal))
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - span), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(span)]))
+    def fours(hashes: Column) -> Column:
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(joined(hashes, 4), count))
 
-    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    return F.when(F.size(words) < span + 1, 0).otherwise(let(let(hashed(words), windows), count)).cast("long")
+    hashed = F.transform(words, lambda x: F.xxhash64(x))
+    return F.when(F.size(words) <= SPAN, 0).otherwise(let(let(let(hashed, lambda h: joined(h, 1)), lambda h: joined(h, 2)), fours)).cast("long")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -63,21 +69,21 @@ def measure(docs: DataFrame) -> DataFrame:
         F.regexp_extract_all("t", F.lit(WORD), 0),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
+            F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
             _repeated(w).alias("n_repeat_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
         ),
     )
-    length = lambda c: F.length(c).cast("long")
+    characters = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
     return split.select(
         "doc_id",
         counts.alias("c"),
-        length(F.translate("t", SPACE, "")).alias("word_chars"),
-        (length("t") - length(F.translate("t", SYMBOLS, ""))).alias("n_symbols"),
+        characters(SYMBOLS).alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"),
-        (length("t") - length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÀÂÎÔÛÑÁÍÓÚ", ""))).alias("n_upper"),
-        (length("t") - length(F.translate("t", "!?", ""))).alias("n_marks"),
-        (length("t") - length(F.translate("t", ".,;:", ""))).alias("n_stops"),
-    ).select("doc_id", "c.n_words", "word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "c.n_distinct", "n_upper", "n_marks", "n_stops")
+        characters(r"\p{Lu}").alias("n_upper"),
+        characters("[!?]").alias("n_marks"),
+        characters("[.,;:]").alias("n_stops"),
+    ).select("doc_id", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "c.n_distinct", "n_upper", "n_marks", "n_stops")
 
 
 def base_failed() -> Column:
