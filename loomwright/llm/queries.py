@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import packing, pii, quality_rules, url_rules
+from loomwright.llm import mixing, packing, pii, quality_rules, url_rules
 from loomwright.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
+    "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
