@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import mixing, packing, pii, quality_rules, url_rules
+from loomwright.llm import chat_views, mixing, packing, pii, quality_rules, url_rules
 from loomwright.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_views.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_views": op2_chat_views,
     "op4_pii": op4_pii,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
@@ -39,5 +44,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat_views": chat_views.ORACLE,
     "op6_url_filters": url_rules.oracle(),
 }
