@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import chat_views, mixing, packing, pii, quality_rules, url_rules
+from loomwright.llm import chat_views, mixing, packing, pii, quality_pu, quality_rules, toxicity, url_rules
 from loomwright.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_views.rotate(table(spark, sf_dir, "conversations"))
 
@@ -26,6 +30,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,10 +43,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_pu": op1_quality_pu,
     "op2_chat_views": op2_chat_views,
     "op4_pii": op4_pii,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
