@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import chat_views, mixing, packing, pii, quality_pu, quality_rules, toxicity, url_rules
+from loomwright.llm import chat_views, media, mixing, packing, pii, quality_pu, quality_rules, toxicity, url_rules
 from loomwright.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_describe(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_pu": op1_quality_pu,
     "op2_chat_views": op2_chat_views,
     "op4_pii": op4_pii,
+    "op5_media": op5_media,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
