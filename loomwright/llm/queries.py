@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import chat_views, media, mixing, packing, pii, quality_pu, quality_rules, toxicity, url_rules
+from loomwright.llm import chat_views, jaccard_join, media, mixing, packing, pii, quality_pu, quality_rules, toxicity, url_rules
 from loomwright.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_views.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_pu": op1_quality_pu,
     "op2_chat_views": op2_chat_views,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_pii": op4_pii,
     "op5_media": op5_media,
     "op6_url_filters": op6_url_filters,
