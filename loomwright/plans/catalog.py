@@ -1,14 +1,211 @@
-"""Registered queries of the engine's own operators, with their oracle SQL."""
+"""Registered queries of the engine's own operators over the standard tables, with their oracle SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from loomwright.functions import vectors
+from loomwright.functions.admission import BOTH, NEITHER, NOT_UTF8, TOO_LARGE, status_and_detail, text_length
+from loomwright.functions.detect import EXTENSIONS, JAVA_SIGNALS, PYTHON_SIGNALS, detect_language, java_score, python_score
+from loomwright.operators.chunk import chunk_documents, chunks_of
+from loomwright.operators.embed import hashing_encoder, index_chunks
+from loomwright.operators.validate import validate_syntax
+from loomwright.plans.intake import analyze_submissions, as_json
+from loomwright.sources.files import documents_from_table
+
+# The standard tables hold prose, which has no signals of a language: code and file names are derived from the ids,
+# in Spark and in SQL alike. 6 and 5 have no common factor, so all thirty combinations occur.
+PY_OK, JAVA_OK, TIE, JAVA_BAD, PY_BAD = "def f():\n    return ", "public class M{}", "import java.util.*; public class M{}", "private int x; public class Y{ System.out.println( import ", "def f(:"
+NAMES = ("A.PY", "b.java", "c.txt", "")
+LIMIT = 1_048_576
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    six, five = F.col("doc_id") % 6, F.col("doc_id") % 5
+    code = F.when(six == 0, F.concat(F.lit(PY_OK), F.col("doc_id").cast("string"))).when(six == 1, JAVA_OK).when(six == 2, TIE).when(six == 3, JAVA_BAD).when(six == 4, PY_BAD).otherwise(F.col("text"))
+    name = reduce(lambda c, x: c.when(five == x[0], x[1]), list(enumerate(NAMES))[1:], F.when(five == 0, NAMES[0]))
+    return docs.select(F.col("doc_id").alias("submission_id"), six.cast("int").alias("template"), code.alias("code"), name.alias("filename"))
+
+
+_SUBMISSIONS = f"""submissions AS (
+  SELECT doc_id AS submission_id, CAST(doc_id % 6 AS INTEGER) AS template,
+    CASE doc_id % 6 WHEN 0 THEN 'def f():' || chr(10) || '    return ' || CAST(doc_id AS VARCHAR) WHEN 1 THEN '{JAVA_OK}' WHEN 2 THEN '{TIE}'
+      WHEN 3 THEN '{JAVA_BAD}' WHEN 4 THEN '{PY_BAD}' ELSE text END AS code,
+    CASE doc_id % 5 {" ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(NAMES))} END AS filename
+  FROM documents)"""
+_PYTHON = " + ".join(f"CAST(coalesce(contains(code, '{s}'), false) AS INTEGER)" for s in PYTHON_SIGNALS)
+_JAVA = " + ".join(f"CAST(coalesce(contains(code, '{s}'), false) AS INTEGER)" for s in JAVA_SIGNALS)
+_LANGUAGE = "CASE " + " ".join(f"WHEN ends_with(lower(filename), '{e}') THEN '{lang}'" for e, lang in EXTENSIONS) + f" WHEN {_PYTHON} = 0 AND {_JAVA} = 0 THEN 'unknown' WHEN {_PYTHON} >= {_JAVA} THEN 'python' ELSE 'java' END"
+
+
+def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return submissions(spark, sf_dir).select("submission_id", "filename", detect_language(F.col("code"), F.col("filename")).alias("language"))
+
+
+def detect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.col("code")
+    return submissions(spark, sf_dir).select("submission_id", python_score(code).alias("python_score"), java_score(code).alias("java_score"), text_length(code).alias("code_length"))
+
+
+def language_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(spark, sf_dir).groupBy("language").agg(F.count("*").alias("submissions"))
+
+
+def admission_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of pasted, uploaded, large and undecodable rows; the bytes are made from the id."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id")
+    i = F.col("doc_id")
+    code = F.when(i % 3 == 0, F.lit("x = 1"))
+    n = F.when(i % 7 == 0, LIMIT + 1).when(i % 7 == 1, LIMIT).otherwise(F.lit(10) + i % 7)
+    good = F.repeat(F.lit("a"), n.cast("int")).cast("binary")
+    bad = F.unhex(F.repeat(F.lit("FF"), n.cast("int")))
+    content = F.when(i % 4 == 0, good).when(i % 4 == 1, bad).when(i % 4 == 2, good)
+    judged = docs.select("doc_id", status_and_detail(code, content, LIMIT).alias("v"))
+    return judged.select(i.alias("submission_id"), "v.status", "v.detail")
+
+
+def validate_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = submissions(spark, sf_dir).where(F.col("template").isin(0, 4))
+    return rows.select("submission_id", validate_syntax(F.col("code"), F.lit("python")).alias("v")).select("submission_id", "v.is_valid", "v.error")
+
+
+def validate_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = submissions(spark, sf_dir).where(F.col("template").isin(1, 2, 3))
+    return rows.select("submission_id", validate_syntax(F.col("code"), F.lit("java")).alias("v")).select("submission_id", "v.is_valid", F.col("v.error").startswith("JavaSyntaxError: ").alias("has_java_error"))
+
+
+def submission_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected language and verdict of the derived code; prose is left to the edge tests, as one word is legal Python."""
+    rows = submissions(spark, sf_dir).where(F.col("template") < 5)
+    language = detect_language(F.col("code"), F.col("filename"))
+    return rows.select("submission_id", language.alias("language"), validate_syntax(F.col("code"), language).alias("v")).select("submission_id", "language", "v.is_valid")
+
+
+def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole intake: pastes for even ids, uploads for odd ones, as responses in JSON."""
+    rows = submissions(spark, sf_dir).where(F.col("template") < 5)
+    upload = F.col("submission_id") % 2 == 1
+    posted = rows.select("submission_id", F.when(~upload, F.col("code")).alias("code"), F.when(upload, F.col("code").cast("binary")).alias("content"), "filename")
+    out = as_json(analyze_submissions(posted))
+    return out.select("submission_id", "status", F.get_json_object("body", "$.language").alias("language"), F.get_json_object("body", "$.is_valid").alias("is_valid"), F.get_json_object("body", "$.filename").alias("filename"))
+
+
+def load_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of three kinds put together, duplicates kept."""
+    docs = documents_from_table(_read(spark, sf_dir, "documents")).select("source", F.length("text").alias("length"))
+    parts = [docs.where(F.col("source").cast("long") % 3 != k).withColumn("extension", F.lit(e)) for k, e in enumerate((".md", ".txt", ".pdf"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_union(spark, sf_dir).groupBy("extension").agg(F.count("*").alias("documents"))
+
+
+def chunks_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of at most 1200 characters, with blanks put around them, are one stripped chunk."""
+    docs = _read(spark, sf_dir, "documents").where((F.length("text") <= 1190) & (F.length("text") > 0))
+    padded = F.concat(F.lit("\n\t "), F.col("text"), F.lit(" \t\n"))
+    return docs.select("doc_id", F.posexplode(chunks_of(padded)).alias("chunk_index", "chunk"))
 
 
 def chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return chunk_documents(documents_from_table(_read(spark, sf_dir, "documents")))
+
+
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each source and whether each is at most the size; the pages' markup and the conversations too."""
+    tables = [("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text"), ("benchmark", "item_id", "text")]
+    rows = [_read(spark, sf_dir, t).select(F.lit(t).alias("origin"), F.explode(chunks_of(F.col(c))).alias("chunk")) for t, _, c in tables]
+    return reduce(DataFrame.unionByName, rows).groupBy("origin").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("characters"))
+
+
+def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with vectors of the test encoder, and what identifies it."""
+    indexed = index_chunks(chunks_all(spark, sf_dir), hashing_encoder(), "check")
+    return indexed.select("chunk_id", "encoder_id", "dim", F.size("embedding").alias("width"), F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"))
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 7)).alias("v"))
+
+
+def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = _scaled(spark, sf_dir).select("vec_id", vectors.normalise(F.col("v")).alias("u"))
+    return unit.select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.element_at("u", -1), 6).alias("last"), F.round(vectors.l2_norm(F.col("u")), 6).alias("norm"))
+
+
+def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to that of the least id (an extension)."""
+    scaled = _scaled(spark, sf_dir)
+    query = scaled.orderBy("vec_id").first()["v"]
+    found = vectors.top_k_cosine(scaled, query, 10, column="v")
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "detect_language": detect,
+    "detect_scores": detect_scores,
+    "language_summary": language_summary,
+    "admission_status": admission_status,
+    "validate_python": validate_python,
+    "validate_java": validate_java,
+    "submission_response": submission_response,
+    "intake": intake,
+    "load_union": load_union,
+    "extension_counts": extension_counts,
+    "chunks_short": chunks_short,
+    "chunks_all": chunks_all,
+    "chunk_stats": chunk_stats,
+    "index_documents": index_documents,
+    "normalize_vectors": normalize_vectors,
+    "topk_cosine": topk_cosine,
+}
+
+_text = lambda s: "'" + s.replace("'", "''") + "'"
+# Whether a template's code is valid in the language it was taken for.
+_VALID = "CASE language WHEN 'python' THEN template = 0 WHEN 'java' THEN template IN (1, 2) ELSE false END"
+_UNION = " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS source, length(text) AS length, '{e}' AS extension FROM documents WHERE doc_id % 3 <> {k}" for k, e in enumerate((".md", ".txt", ".pdf")))
+_VECTORS = """scaled AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> x * (1 + vec_id % 7)) AS v FROM embeddings),
+unit AS (SELECT vec_id, list_transform(v, x -> x / sqrt(list_sum(list_transform(v, y -> y * y)))) AS u FROM scaled)"""
+
+ORACLES: dict[str, str] = {
+    "detect_language": f"WITH {_SUBMISSIONS} SELECT submission_id, filename, {_LANGUAGE} AS language FROM submissions",
+    "detect_scores": f"WITH {_SUBMISSIONS} SELECT submission_id, {_PYTHON} AS python_score, {_JAVA} AS java_score, coalesce(length(code), 0) AS code_length FROM submissions",
+    "language_summary": f"WITH {_SUBMISSIONS} SELECT {_LANGUAGE} AS language, count(*) AS submissions FROM submissions GROUP BY 1",
+    "admission_status": f"""
+WITH grid AS (
+  SELECT doc_id AS submission_id, doc_id % 3 = 0 AS pasted, doc_id % 4 <> 3 AS uploaded, doc_id % 4 = 1 AS undecodable,
+    CASE doc_id % 7 WHEN 0 THEN {LIMIT + 1} WHEN 1 THEN {LIMIT} ELSE 10 + doc_id % 7 END AS n_bytes FROM documents)
+SELECT submission_id,
+  CASE WHEN pasted = uploaded THEN 400 WHEN uploaded AND n_bytes > {LIMIT} THEN 413 WHEN uploaded AND undecodable THEN 400 ELSE 200 END AS status,
+  CASE WHEN NOT pasted AND NOT uploaded THEN {_text(NEITHER)} WHEN pasted AND uploaded THEN {_text(BOTH)}
+    WHEN uploaded AND n_bytes > {LIMIT} THEN {_text(TOO_LARGE)} WHEN uploaded AND undecodable THEN {_text(NOT_UTF8)} END AS detail FROM grid""",
+    "validate_python": f"WITH {_SUBMISSIONS} SELECT submission_id, template = 0 AS is_valid, CASE WHEN template = 4 THEN 'SyntaxError: invalid syntax at line 1' END AS error FROM submissions WHERE template IN (0, 4)",
+    "validate_java": f"WITH {_SUBMISSIONS} SELECT submission_id, template <> 3 AS is_valid, CASE WHEN template = 3 THEN true END AS has_java_error FROM submissions WHERE template IN (1, 2, 3)",
+    "submission_response": f"WITH {_SUBMISSIONS}, found AS (SELECT *, {_LANGUAGE} AS language FROM submissions WHERE template < 5) SELECT submission_id, language, {_VALID} AS is_valid FROM found",
+    "intake": f"""
+WITH {_SUBMISSIONS}, posted AS (SELECT submission_id, template, code, CASE WHEN submission_id % 2 = 1 THEN filename END AS filename FROM submissions WHERE template < 5),
+found AS (SELECT *, {_LANGUAGE} AS language FROM posted)
+SELECT submission_id, 200 AS status, language, CASE WHEN {_VALID} THEN 'true' ELSE 'false' END AS is_valid, filename FROM found""",
+    "load_union": _UNION,
+    "extension_counts": f"SELECT extension, count(*) AS documents FROM ({_UNION}) GROUP BY extension",
+    "chunks_short": r"""
+WITH padded AS (SELECT doc_id, chr(10) || chr(9) || ' ' || text || ' ' || chr(9) || chr(10) AS t FROM documents WHERE length(text) BETWEEN 1 AND 1190)
+SELECT doc_id, 0 AS chunk_index, regexp_replace(t, '^\s+|\s+$', '', 'g') AS chunk FROM padded""",
+    "normalize_vectors": f"WITH {_VECTORS} SELECT vec_id, round(u[1], 6) AS first, round(u[-1], 6) AS last, round(sqrt(list_sum(list_transform(u, x -> x * x))), 6) AS norm FROM unit",
+    "topk_cosine": f"""
+WITH {_VECTORS}, query AS (SELECT u AS q FROM unit ORDER BY vec_id LIMIT 1)
+SELECT vec_id, round(list_sum(list_transform(range(1, len(u) + 1), i -> u[i] * q[i])), 6) AS similarity FROM unit, query ORDER BY similarity DESC, vec_id LIMIT 10""",
+}
+
+__all__ = ["ORACLES", "QUERIES", "chunks_all", "submissions"]
