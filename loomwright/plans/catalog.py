@@ -175,8 +175,8 @@ _text = lambda s: "'" + s.replace("'", "''") + "'"
 # Whether a template's code is valid in the language it was taken for.
 _VALID = "CASE language WHEN 'python' THEN template = 0 WHEN 'java' THEN template IN (1, 2) ELSE false END"
 _UNION = " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS source, length(text) AS length, '{e}' AS extension FROM documents WHERE doc_id % 3 <> {k}" for k, e in enumerate((".md", ".txt", ".pdf")))
-_VECTORS = """scaled AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> x * (1 + vec_id % 7)) AS v FROM embeddings),
-unit AS (SELECT vec_id, list_transform(v, x -> x / sqrt(list_sum(list_transform(v, y -> y * y)))) AS u FROM scaled)"""
+_VECTORS = """scaled AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (1 + vec_id % 7)) AS v FROM embeddings),
+unit AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM scaled)"""
 
 ORACLES: dict[str, str] = {
     "detect_language": f"WITH {_SUBMISSIONS} SELECT submission_id, filename, {_LANGUAGE} AS language FROM submissions",
@@ -202,10 +202,10 @@ SELECT submission_id, 200 AS status, language, CASE WHEN {_VALID} THEN 'true' EL
     "chunks_short": r"""
 WITH padded AS (SELECT doc_id, chr(10) || chr(9) || ' ' || text || ' ' || chr(9) || chr(10) AS t FROM documents WHERE length(text) BETWEEN 1 AND 1190)
 SELECT doc_id, 0 AS chunk_index, regexp_replace(t, '^\s+|\s+$', '', 'g') AS chunk FROM padded""",
-    "normalize_vectors": f"WITH {_VECTORS} SELECT vec_id, round(u[1], 6) AS first, round(u[-1], 6) AS last, round(sqrt(list_sum(list_transform(u, x -> x * x))), 6) AS norm FROM unit",
+    "normalize_vectors": f"WITH {_VECTORS} SELECT vec_id, round(u[1], 6) AS first, round(u[-1], 6) AS last, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm FROM unit",
     "topk_cosine": f"""
 WITH {_VECTORS}, query AS (SELECT u AS q FROM unit ORDER BY vec_id LIMIT 1)
-SELECT vec_id, round(list_sum(list_transform(range(1, len(u) + 1), i -> u[i] * q[i])), 6) AS similarity FROM unit, query ORDER BY similarity DESC, vec_id LIMIT 10""",
+SELECT vec_id, round(list_sum(list_transform(range(1, len(u) + 1), lambda i: u[i] * q[i])), 6) AS similarity FROM unit, query ORDER BY similarity DESC, vec_id LIMIT 10""",
 }
 
 __all__ = ["ORACLES", "QUERIES", "chunks_all", "submissions"]
