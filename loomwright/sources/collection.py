@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_COLLECTION = "secure_coding_knowledge_base"
+DEFAULT_COLLECTION = "knowledge_base"
 
 
 def write_collection(indexed: DataFrame, path: str) -> None:
