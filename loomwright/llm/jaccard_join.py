@@ -453,3 +453,27 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     one = named.join(maybe_broadcast(tied.drop("first"), n), match).drop("_dj_id", "_dj_th")
     one = one.withColumn("_dj_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).dropDuplicates(["_dj_key", "_dj_hash"]).drop("_dj_hash", "_dj_key")
     return stay.unionByName(one)
+
+
+#: The same as DuckDB SQL, over all pairs that share a shingle (for small tables).
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+  FROM words WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT a, y FROM reach JOIN links ON b = x
+), classes AS (
+  SELECT a, min(b) AS class_id, count(*) AS class_size FROM reach GROUP BY a
+), counts AS (
+  SELECT x, count(*) AS n_links FROM links GROUP BY x
+)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, class_size FROM documents JOIN classes ON a = doc_id LEFT JOIN counts ON x = doc_id"""

@@ -151,3 +151,51 @@ def judge(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & (posterior >= KEEP)).alias("kept"), F.round(posterior, 6).alias("quality"),
     )
+
+
+def oracle() -> str:
+    """The same as DuckDB SQL: windows as rows, and a table for each round of the maximisation."""
+    share = lambda c, of: f"{c} * 100.0 / greatest({of}, 1)"
+    prose = f"n_words >= 20 AND {share('n_symbols', 'n_words')} <= 5 AND {share('n_upper', 'word_chars')} <= 12 AND {share('n_marks', 'n_words')} <= 8 AND {share('n_stops', 'n_words')} >= 4"
+    not_prose = f"n_words >= 20 AND ({share('n_symbols', 'n_words')} > 12 OR {share('n_upper', 'word_chars')} > 30 OR {share('n_marks', 'n_words')} > 20)"
+    bad = {
+        "symbols": f"{share('n_symbols', 'n_words')} > 25",
+        "upper": f"{share('n_upper', 'word_chars')} > 35",
+        "marks": f"{share('n_marks', 'n_words')} > 30",
+        "repeats": f"{share('n_repeat_words', 'n_words')} > 30",
+        "variety": f"n_words >= 20 AND {share('n_distinct', 'n_words')} < 20",
+        "lines": "n_dup_lines > 10 AND n_dup_lines * 20 > n_words",
+        "stops": f"n_words >= 20 AND {share('n_stops', 'n_words')} < 1",
+    }
+    rules = [*bad, "prose"]
+    cast = [f"CASE WHEN n_words > 0 AND {c} THEN -1 ELSE 0 END AS {r}" for r, c in bad.items()] + [f"CASE WHEN {prose} THEN 1 WHEN {not_prose} THEN -1 ELSE 0 END AS prose"]
+    odds = "ln(s.prior / (1 - s.prior))" + "".join(f" + v.{r} * ln(s.{r} / (1 - s.{r}))" for r in rules)
+    within = lambda p, bounds: f"least(greatest({p}, {bounds[0]}), {bounds[1]})"
+    agreed = lambda r: f"(sum(n * CASE WHEN {r} > 0 THEN q WHEN {r} < 0 THEN 1 - q ELSE 0 END) + {RIGHT}) / (sum(n * abs({r})) + 1)"
+    new = ", ".join([f"{within(f'(coalesce(sum(n * q), 0) + {PRIOR}) / (coalesce(sum(n), 0) + 1)', PRIORS)} AS prior", *(f"{within(f'coalesce({agreed(r)}, {RIGHT})', RIGHTS)} AS {r}" for r in rules)])
+    states = [f"s0 AS MATERIALIZED (SELECT CAST({PRIOR} AS DOUBLE) AS prior, {', '.join(f'CAST({RIGHT} AS DOUBLE) AS {r}' for r in rules)})"]
+    for k in range(ROUNDS):
+        weighed = f"SELECT n, {', '.join(f'v.{r}' for r in rules)}, 1 / (1 + exp(-({odds}))) AS q FROM patterns v, s{k} s"
+        states.append(f"s{k + 1} AS MATERIALIZED (SELECT {new} FROM ({weighed}))")
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM texts)
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1
+), covered AS (
+  SELECT doc_id, CAST(sum(k) AS BIGINT) AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS k FROM repeated) GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '[!?]')) AS n_marks, len(regexp_extract_all(t, '[.,;:]')) AS n_stops,
+    len(list_distinct(w)) AS n_distinct, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(n, 0) AS n_repeat_words
+  FROM texts LEFT JOIN covered USING (doc_id)
+), votes AS MATERIALIZED (
+  SELECT *, {", ".join(cast)} FROM (SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines FROM counts)
+), patterns AS MATERIALIZED (
+  SELECT {", ".join(rules)}, CAST(count(*) AS DOUBLE) AS n FROM votes GROUP BY ALL
+), {", ".join(states)}, judged AS (
+  SELECT v.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1 / (1 + exp(-({odds}))) AS p FROM votes v, s{ROUNDS} s
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {KEEP} AS kept, round(p, 6) AS quality FROM judged"""

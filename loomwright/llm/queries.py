@@ -65,5 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_chat_views": chat_views.ORACLE,
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op6_url_filters": url_rules.oracle(),
+    "op10_quality_rules": quality_rules.oracle(),
 }
