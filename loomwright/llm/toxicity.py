@@ -58,7 +58,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id"), (F.col(target) == 1).cast("int").alias("label"))
     chosen = [known.where(F.col("label") == y).orderBy(F.xxhash64(F.lit(_SEED), F.col("_id")), "_id").limit(TRAIN) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]).dropDuplicates(["_id"]))  # at most 2 * TRAIN rows
-    return materialise(docs.join(ids, docs["doc_id"].cast("long") == F.col("_id")).select("label", F.col("text").cast("string").alias("text")).limit(4 * TRAIN), "toxic-train")
+    return materialise(docs.join(ids, docs["doc_id"].cast("long") == F.col("_id")).select("label", F.col("text").cast("string").alias("text")), "toxic-train")
 
 
 def class_counts(sample: DataFrame) -> np.ndarray:
@@ -91,7 +91,8 @@ def _matrix(sample: DataFrame, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 rows.append(at[at >= 0].astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "at"])
 
-    rows = sorted((r["label"], bytes(r["at"])) for r in sample.mapInArrow(present, "label int, at binary").collect())  # at most 4 * TRAIN
+    # Ids that many documents share may give more rows than were chosen; the regression takes a bounded number.
+    rows = sorted((r["label"], bytes(r["at"])) for r in sample.mapInArrow(present, "label int, at binary").limit(4 * TRAIN).collect())
     at = [np.frombuffer(x, "<u2").astype(np.int64) for _, x in rows]
     return np.array([y for y, _ in rows], float), np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate([*at, np.zeros(0, np.int64)])
 
