@@ -9,8 +9,8 @@ conversation; the parts of a rendition follow one another, and ordinary ones hav
 functions.
 
 Cases: a null role is the speaker ``unknown``, a null text an empty turn, a null turn number counts as 0; turns
-with equal numbers follow by role and text; repeated rows are repeated turns; rows without a conversation id form
-one of their own (null); an empty table gives no rows; further columns are ignored. Marks inside a text are escaped.
+with equal numbers follow by role and text; repeated rows are repeated turns; a row without a conversation id is a
+dialogue of its own, as nothing tells whom it answers (equal rows share one); an empty table gives no rows; further columns are ignored. Marks inside a text are escaped.
 """
 
 from __future__ import annotations
@@ -32,11 +32,13 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = SYSTEM, part_turns: int =
     """``conv_id``, ``speaker``, ``part``, ``n_turns``, ``n_learnt`` turns, the rendered ``text`` and its ``mask`` (start:end, comma-joined)."""
     role = F.coalesce(F.col("role").cast("string"), F.lit("unknown"))
     number = F.coalesce(F.col("turn").cast("long"), F.lit(0))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.floor(number / part_turns).cast("long").alias("part"), F.struct(number.alias("n"), role.alias("r"), _clean(F.col("text")).alias("t")).alias("x"))
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("x")).alias("turns"))
+    conv_id = F.col("conv_id").cast("long")
+    alone = F.when(conv_id.isNull(), F.xxhash64(number, role, F.col("text").cast("string")))
+    rows = turns.select(conv_id.alias("conv_id"), alone.alias("alone"), F.floor(number / part_turns).cast("long").alias("part"), F.struct(number.alias("n"), role.alias("r"), _clean(F.col("text")).alias("t")).alias("x"))
+    parts = rows.groupBy("conv_id", "alone", "part").agg(F.array_sort(F.collect_list("x")).alias("turns"))
     # A conversation's distinct speakers, whichever of its parts they speak in.
-    speakers = rows.select(F.col("conv_id").alias("_conv"), F.col("x.r").alias("speaker")).where(~F.col("speaker").isin(*system)).distinct()
-    found = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    speakers = rows.select(F.col("conv_id").alias("_conv"), F.col("alone").alias("_alone"), F.col("x.r").alias("speaker")).where(~F.col("speaker").isin(*system)).distinct()
+    found = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("alone").eqNullSafe(F.col("_alone"))).drop("_conv", "_alone")
 
     def head(x: Column) -> Column:
         name = F.when(x["r"].isin(*system), x["r"]).when(x["r"] == F.col("speaker"), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), _clean(x["r"])))
@@ -64,19 +66,19 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = SYSTEM, part_turns: int =
 #: The same as DuckDB SQL. Lengths and offsets count code points there too.
 ORACLE = f"""
 WITH rows AS (
-  SELECT conv_id, coalesce(turn, 0) AS n, coalesce(role, 'unknown') AS r, replace(coalesce(text, ''), '{OPEN}', '< |') AS t FROM conversations
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN hash(turn, role, text) END AS alone, coalesce(turn, 0) AS n, coalesce(role, 'unknown') AS r, replace(coalesce(text, ''), '{OPEN}', '< |') AS t FROM conversations
 ), speakers AS (
-  SELECT DISTINCT conv_id, r AS speaker FROM rows WHERE r NOT IN ('system')
+  SELECT DISTINCT conv_id, alone, r AS speaker FROM rows WHERE r NOT IN ('system')
 ), pieces AS (
-  SELECT s.conv_id, s.speaker, n // {PART_TURNS} AS part, n, r, t, r = speaker AS own,
+  SELECT s.conv_id, s.alone, s.speaker, n // {PART_TURNS} AS part, n, r, t, r = speaker AS own,
     '{OPEN}' || CASE WHEN r IN ('system') THEN r WHEN r = speaker THEN 'assistant' ELSE 'user name=' || replace(r, '{OPEN}', '< |') END || '{CLOSE}' || chr(10) AS h,
     t || '{OPEN}end{CLOSE}' || chr(10) AS b
-  FROM rows JOIN speakers s ON rows.conv_id IS NOT DISTINCT FROM s.conv_id
+  FROM rows JOIN speakers s ON rows.conv_id IS NOT DISTINCT FROM s.conv_id AND rows.alone IS NOT DISTINCT FROM s.alone
 ), placed AS (
   SELECT *, sum(length(h) + length(b)) OVER w - length(b) AS begin, sum(length(h) + length(b)) OVER w - 1 AS stop
-  FROM pieces WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY n, r, t ROWS UNBOUNDED PRECEDING)
+  FROM pieces WINDOW w AS (PARTITION BY conv_id, alone, speaker, part ORDER BY n, r, t ROWS UNBOUNDED PRECEDING)
 )
 SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (own) AS n_learnt,
   string_agg(h || b, '' ORDER BY n, r, t) AS text,
   coalesce(string_agg(CAST(begin AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY n, r, t) FILTER (own), '') AS mask
-FROM placed GROUP BY conv_id, speaker, part"""
+FROM placed GROUP BY conv_id, alone, speaker, part"""

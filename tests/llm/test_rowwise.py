@@ -278,9 +278,11 @@ def test_rules_plan_is_native(odd):
 
 
 def test_rotation(spark):
-    turns = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|x"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, None, None, "alone"), (None, 0, "eve", ""), (3, 0, "system", "only")]
+    turns = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|x"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, None, None, "alone"), (None, 0, "eve", ""), (None, 1, "eve", "b"), (3, 0, "system", "only")]
     df = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, speaker string")
-    got = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat_views.rotate(df).collect()}
+    rows = chat_views.rotate(df).collect()
+    assert sorted(r["n_turns"] for r in rows if r["conv_id"] is None) == [1, 1]
+    got = {(r["conv_id"], r["speaker"], r["part"]): r for r in rows}
     assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (None, "eve", 0)}
     r = got[1, "ann", 0]
     assert r["text"] == "<|system|>\nrules<|end|>\n<|assistant|>\nhi < |x<|end|>\n<|user name=bob|>\nyo<|end|>\n<|assistant|>\n<|end|>\n"
