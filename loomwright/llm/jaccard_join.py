@@ -11,8 +11,8 @@ similarity of their sets is at least 0.8. Steps, none of which needs the rows of
    near-copies of one text, and is cut into blocks that are compared pairwise instead. What is left after ``DEPTH``
    levels is treated alike, so nothing is dropped.
 3. Each pair of sets is looked at in one leaf only, the least of those that both are in. Signatures screen the pairs
-   of a leaf; sets with a partner left get their shingles, by a second pass over the texts that need it, and their
-   similarity is computed from them.
+   of a leaf; sets with a partner left get their shingles there, by a second pass over the texts that need it, and
+   their similarity is computed from them.
 4. A block reports a number of links for each set, and edges to a root of its own linked sets. Labels spread along
    the edges until each class has one.
 
@@ -251,30 +251,36 @@ def _least_common(paths: list[np.ndarray], i: np.ndarray, j: np.ndarray, leaf: i
     return (own @ own.T)[i, j] == 0
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    at, values = np.array(column.offsets), np.array(column.values)
+    return [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
 def _screened(rows: DataFrame) -> DataFrame:
-    """The rows that have a partner left when the signatures of each place are compared."""
+    """The rows, without ``sig``, that have a partner left: one whose signature is alike and that they meet in no lesser leaf."""
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_place(batches):
             bounds = _bounds(batch)
             leaf, side = np.array(batch.column(0)), np.array(batch.column(3))
-            sigs = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint32).reshape(-1, WIDTH)
+            sigs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32).reshape(-1, WIDTH)
+            paths = _lists(batch.column(5))
             keep = np.zeros(batch.num_rows, bool)
             for x, y in zip(bounds[:-1], bounds[1:], strict=True):
                 if y - x < 2:
                     continue
                 own = sigs[x:y]
-                if y - x == 2:
-                    keep[x:y] = (own[0] == own[1]).mean() >= SCREEN and (side[x] == 3 or side[x] != side[x + 1])
-                    continue
                 i, j = _pairs(side[x:y])
                 alike = np.concatenate([(own[i[k : k + 65_536]] == own[j[k : k + 65_536]]).mean(1) >= SCREEN for k in range(0, len(i), 65_536)] or [np.zeros(0, bool)])
-                keep[x + i[alike]] = True
-                keep[x + j[alike]] = True
+                i, j = i[alike], j[alike]
+                if len(i):
+                    new = _least_common(paths[x:y], i, j, int(leaf[x]))
+                    keep[x + i[new]] = True
+                    keep[x + j[new]] = True
             at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(5)], [*_PLACE, "side", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(6)], [*_PLACE, "side", "fp", "paths"])
 
-    return _groups(rows).mapInArrow(screen, "leaf long, a long, b long, side int, fp binary")
+    return _groups(rows).mapInArrow(screen, "leaf long, a long, b long, side int, fp binary, paths array<long>")
 
 
 def _links(rows: DataFrame, similarity: float) -> DataFrame:
@@ -288,14 +294,13 @@ def _links(rows: DataFrame, similarity: float) -> DataFrame:
             bounds = _bounds(batch)
             leaf, side = np.array(batch.column(0)), np.array(batch.column(3))
             fps, copies = batch.column(4).to_pylist(), np.array(batch.column(6))
-            path_at, path = np.array(batch.column(5).offsets), np.array(batch.column(5).values)
+            paths = _lists(batch.column(5))
             out: tuple[list, list, list] = ([], [], [])
             for x, y in zip(bounds[:-1], bounds[1:], strict=True):
                 if y - x < 2:
                     continue
                 i, j = _pairs(side[x:y])
-                paths = [path[path_at[k] : path_at[k + 1]] for k in range(x, y)]
-                new = _least_common(paths, i, j, int(leaf[x]))
+                new = _least_common(paths[x:y], i, j, int(leaf[x]))
                 i, j = i[new], j[new]
                 if not len(i):
                     continue
@@ -399,13 +404,13 @@ def _joined(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFram
     sets = materialise(sets, "sets")
     leaves = _leaves(sets, runs(similarity, recall))
     # A set is in a bounded number of leaves, whatever the number of sets.
-    paths = materialise(leaves.groupBy("fp").agg(F.array_sort(F.collect_set("leaf")).alias("paths")), "set-paths")
-    placed = _placed(leaves).join(sets.select("fp", "sig"), "fp").select(*_PLACE, "side", "fp", "sig")
+    paths = leaves.groupBy("fp").agg(F.array_sort(F.collect_set("leaf")).alias("paths"))
+    marked = materialise(paths.join(sets.select("fp", "sig"), "fp"), "set-paths")
+    placed = _placed(leaves).join(marked, "fp").select(*_PLACE, "side", "fp", "paths", "sig")
     kept = materialise(_screened(placed), "screened")
     wanted = materialise(kept.select("fp").distinct().join(sets.select("fp", "th"), "fp"), "wanted")
     tokens = materialise(_tokens(docs, wanted), "tokens")
-    more = paths.join(sets.select("fp", "copies"), "fp").join(tokens, "fp")
-    packed = kept.join(more, "fp").select(*_PLACE, "side", "fp", "paths", "copies", "tokens")
+    packed = kept.join(sets.select("fp", "copies").join(tokens, "fp"), "fp").select(*_PLACE, "side", "fp", "paths", "copies", "tokens")
     links = materialise(_links(packed, similarity), "links")
     labels = components(links.select(F.col("fp").alias("x"), F.col("root").alias("y")))
     counts = links.groupBy("fp").agg(F.sum("n_links").alias("n_links"))
