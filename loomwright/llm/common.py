@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,20 +43,38 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/loomwright/{tag}-{uuid.uuid4().hex}"
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; lost executors don't take it along."""
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a materialised table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Within it, what is materialised is deleted at its end, except through the function that it gives."""
+    made: list[str] = []
+    token = _MADE.set(made)
+
+    def lasting(df: DataFrame, tag: str) -> DataFrame:
+        out = materialise(df, tag)
+        made.pop()
+        return out
+
+    try:
+        yield lasting
+    finally:
+        _MADE.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

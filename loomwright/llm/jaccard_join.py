@@ -28,14 +28,14 @@ are rows of one class; an empty table gives no rows; further columns are ignored
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import materialise, maybe_broadcast
+from loomwright.llm.common import materialise, maybe_broadcast, passing_tables
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -399,7 +399,12 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _joined(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """All rows (``doc_id``, ``th``, ``fp``), and for each set its ``label``, ``n_links``, ``copies`` and least ``doc_id``."""
-    rows = materialise(_described(docs), "sets-rows")
+    with passing_tables(docs.sparkSession) as lasting:
+        return _join(docs, similarity, recall, lasting)
+
+
+def _join(docs: DataFrame, similarity: float, recall: float, lasting: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    rows = lasting(_described(docs), "sets-rows")
     sets = rows.where("fp is not null").groupBy("fp").agg(F.min("th").alias("th"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     sets = materialise(sets, "sets")
     leaves = _leaves(sets, runs(similarity, recall))
@@ -416,7 +421,7 @@ def _joined(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFram
     counts = links.groupBy("fp").agg(F.sum("n_links").alias("n_links"))
     known = sets.select("fp", "doc_id", "copies", "th").join(counts, "fp", "left").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
     known = known.select("fp", "doc_id", "copies", "th", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "fp").alias("label"))
-    return rows, materialise(known, "sets-linked")
+    return rows, lasting(known, "sets-linked")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
