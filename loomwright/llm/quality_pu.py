@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import held_out
 
 #: Trusted positives and unlabelled rows that are learnt from.
-POSITIVES, UNLABELLED = 5000, 10_000
+POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
 _SEED = 40_487
 
@@ -92,14 +92,18 @@ def _samples(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py()).tobytes() for t in batch.column(0)]
+            x = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(0)]  # half the driver's memory
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x, pa.binary())], ["p", "u", "x"])
 
     described = rows.mapInArrow(describe, "p boolean, u boolean, x binary")
     found = described.limit(2 * (POSITIVES + UNLABELLED)).collect()
     found.sort(key=lambda r: zlib.crc32(r["x"]))  # tasks end in any order
-    stack = lambda rows: np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float32).reshape(len(rows), N_FEATURES)
-    return stack([r for r in found if r["p"]][:POSITIVES]), stack([r for r in found if r["u"]][:UNLABELLED])
+
+    def stack(kind: str, most: int) -> np.ndarray:
+        chosen = [r["x"] for r in found if r[kind]][:most]
+        return np.frombuffer(b"".join(chosen), np.float16).reshape(len(chosen), N_FEATURES).astype(np.float32)
+
+    return stack("p", POSITIVES), stack("u", UNLABELLED)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -110,20 +114,23 @@ class Linear:
     """A linear scorer over standardised features, fitted by Adam."""
 
     def __init__(self, mean: np.ndarray, spread: np.ndarray) -> None:
-        self.mean, self.spread = mean, spread
-        self.w = np.zeros(len(mean) + 1)
+        self.mean, self.spread = mean.astype(np.float32), spread.astype(np.float32)
+        self.w = np.zeros(len(mean) + 1, np.float32)
         self.m, self.v, self.t = np.zeros_like(self.w), np.zeros_like(self.w), 0
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.spread, -6, 6)
-        return np.hstack([z, np.ones((len(z), 1))])
+        z = np.ones((len(x), len(self.w)), np.float32)
+        np.subtract(x, self.mean, out=z[:, :-1])
+        np.divide(z[:, :-1], self.spread, out=z[:, :-1])
+        np.clip(z, -6, 6, out=z)
+        return z
 
     def step(self, grad: np.ndarray, rate: float, penalty: float) -> None:
         grad = grad + penalty * np.append(self.w[:-1], 0)
         self.t += 1
         self.m = 0.9 * self.m + 0.1 * grad
         self.v = 0.999 * self.v + 0.001 * grad * grad
-        self.w = self.w - rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+        self.w -= (rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
@@ -145,8 +152,9 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 60, batch: int = 1024, penalty: float = 2e-4) -> tuple[Linear, float]:
     """The scorer of least non-negative risk, and the estimated prior."""
-    both = np.vstack([positive, unlabelled]).astype(float)
-    model = Linear(both.mean(0), both.std(0) + 0.02)
+    both = np.vstack([positive, unlabelled])
+    model = Linear(both.mean(0, dtype=float), both.std(0, dtype=float) + 0.02)
+    del both
     rng = np.random.default_rng(7)
     # Half of each sample ranks, the other half is ranked.
     ranker = Linear(model.mean, model.spread)
@@ -154,7 +162,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 60, batch: i
     half = lambda x: (x[::2], x[1::2])
     (p0, p1), (u0, u1) = half(p), half(u)
     for _ in range(250):
-        grad = -(p0 * (1 - _sigmoid(p0 @ ranker.w))[:, None]).mean(0) + (u0 * _sigmoid(u0 @ ranker.w)[:, None]).mean(0)
+        grad = (_sigmoid(u0 @ ranker.w) @ u0) / len(u0) - ((1 - _sigmoid(p0 @ ranker.w)) @ p0) / len(p0)
         ranker.step(grad, 0.05, 1e-3)
     prior = estimate_prior(p1 @ ranker.w, u1 @ ranker.w)
     model.w[-1] = np.log(prior / (1 - prior))
@@ -168,8 +176,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 60, batch: i
             zp, zu = p[a] @ model.w, u[b] @ model.w
             # Logistic losses log(1 + exp(-z)) for a positive and log(1 + exp(z)) for a negative.
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            of_negative = (u[b] * _sigmoid(zu)[:, None]).mean(0) - prior * (p[a] * _sigmoid(zp)[:, None]).mean(0)
-            of_positive = -prior * (p[a] * (1 - _sigmoid(zp))[:, None]).mean(0)
+            of_negative = (_sigmoid(zu) @ u[b]) / len(b) - prior * (_sigmoid(zp) @ p[a]) / len(a)
+            of_positive = -prior * ((1 - _sigmoid(zp)) @ p[a]) / len(a)
             model.step(of_positive + of_negative if negative >= 0 else -of_negative, rate, penalty)
     return model, prior
 
