@@ -31,7 +31,7 @@ PART = 512
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; when full, it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
