@@ -73,32 +73,64 @@ def admission_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(i.alias("submission_id"), "v.status", "v.detail")
 
 
+def _validated(rows: DataFrame, language: str) -> DataFrame:
+    return rows.select("submission_id", "template", validate_syntax(F.col("code"), F.lit(language)).alias("v"))
+
+
+def validate_python_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python's verdict on every row, whole texts of the table included."""
+    return _validated(submissions(spark, sf_dir), "python").select("submission_id", "v.is_valid", "v.error", "v.failed")
+
+
+def validate_java_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Java checker's verdict on every row, whole texts of the table included."""
+    return _validated(submissions(spark, sf_dir), "java").select("submission_id", "v.is_valid", "v.error", "v.failed")
+
+
 def validate_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``validate_python_all`` whose verdict SQL can state."""
     rows = submissions(spark, sf_dir).where(F.col("template").isin(0, 4))
-    return rows.select("submission_id", validate_syntax(F.col("code"), F.lit("python")).alias("v")).select("submission_id", "v.is_valid", "v.error")
+    return _validated(rows, "python").select("submission_id", "v.is_valid", "v.error")
 
 
 def validate_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``validate_java_all`` whose verdict SQL can state."""
     rows = submissions(spark, sf_dir).where(F.col("template").isin(1, 2, 3))
-    return rows.select("submission_id", validate_syntax(F.col("code"), F.lit("java")).alias("v")).select("submission_id", "v.is_valid", F.col("v.error").startswith("JavaSyntaxError: ").alias("has_java_error"))
+    return _validated(rows, "java").select("submission_id", "v.is_valid", F.col("v.error").startswith("JavaSyntaxError: ").alias("has_java_error"))
 
 
-def submission_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detected language and verdict of the derived code; prose is left to the edge tests, as one word is legal Python."""
-    rows = submissions(spark, sf_dir).where(F.col("template") < 5)
+def _responses(rows: DataFrame) -> DataFrame:
     language = detect_language(F.col("code"), F.col("filename"))
-    return rows.select("submission_id", language.alias("language"), validate_syntax(F.col("code"), language).alias("v")).select("submission_id", "language", "v.is_valid")
+    return rows.select("submission_id", language.alias("language"), validate_syntax(F.col("code"), language).alias("v"))
 
 
-def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole intake: pastes for even ids, uploads for odd ones, as responses in JSON."""
-    rows = submissions(spark, sf_dir).where(F.col("template") < 5)
-    upload = F.col("submission_id") % 2 == 1
+def submission_response_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected language and verdict of every row."""
+    return _responses(submissions(spark, sf_dir)).select("submission_id", "language", "v.is_valid", "v.error", "v.failed")
+
+
+def submission_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``submission_response_all`` whose verdict SQL can state: the derived code, as one word of prose is legal Python."""
+    return _responses(submissions(spark, sf_dir).where(F.col("template") < 5)).select("submission_id", "language", "v.is_valid")
+
+
+def _intake(rows: DataFrame) -> DataFrame:
+    upload = F.coalesce(F.col("submission_id") % 2 == 1, F.lit(False))
     posted = rows.select("submission_id", F.when(~upload, F.col("code")).alias("code"), F.when(upload, F.col("code").cast("binary")).alias("content"), "filename")
     out = as_json(analyze_submissions(posted))
     return out.select("submission_id", "status", F.get_json_object("body", "$.language").alias("language"), F.get_json_object("body", "$.is_valid").alias("is_valid"), F.get_json_object("body", "$.filename").alias("filename"))
 
 
+def intake_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole intake over every row: pastes for even ids and null ones, uploads for odd ones, as responses in JSON."""
+    return _intake(submissions(spark, sf_dir))
+
+
+def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``intake_all`` whose verdict SQL can state."""
+    return _intake(submissions(spark, sf_dir).where(F.col("template") < 5))
+
+
 def load_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of three kinds put together, duplicates kept."""
     docs = documents_from_table(_read(spark, sf_dir, "documents")).select("source", F.length("text").alias("length"))
@@ -158,9 +190,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_summary": language_summary,
     "admission_status": admission_status,
     "validate_python": validate_python,
+    "validate_python_all": validate_python_all,
     "validate_java": validate_java,
+    "validate_java_all": validate_java_all,
     "submission_response": submission_response,
+    "submission_response_all": submission_response_all,
     "intake": intake,
+    "intake_all": intake_all,
     "load_union": load_union,
     "extension_counts": extension_counts,
     "chunks_short": chunks_short,
