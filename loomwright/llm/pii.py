@@ -98,8 +98,16 @@ _HAS_SPELLED = re.compile(rf"(?:{_NUMBER_WORD})[\x20,.-]{{1,2}}(?:{_NUMBER_WORD}
 
 _AT_MARK = re.compile(r"(?i)[\x20]{0,2}(?:[\[({<][\x20]?(?:at|@)[\x20]?[\])}>]|&#64;|&commat;|[\x20]at[\x20](?=[\w-]{2,40}[\x20]{0,2}(?:[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>]|[\x20]dot[\x20])))[\x20]{0,2}|[\x20]{1,2}@[\x20]{0,2}|@[\x20]{1,2}")
 _DOT_MARK = re.compile(r"(?i)[\x20]{0,2}(?:[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>]|(?<=[\w-])[\x20]dot[\x20](?=[a-z]{2,}))[\x20]{0,2}")
-#: A text without any of these, in lower case, has neither mark.
-_MARKS = (" dot ", "&#64;", "&commat;", " @", "@ ", *(w + c for w in ("dot", "at", "@", ".") for c in (")", "]", "}", ">", " )", " ]", " }", " >") if w != "." or c == "]"))
+#: What closes a bracketed mark.
+_CLOSED = (")", "]", "}", ">", " )", " ]", " }", " >")
+#: In lower case, _DOT_MARK needs one of the first, and _AT_MARK one of the second or a bare " at " before a dot mark.
+_DOT_HINTS = (" dot ", *(w + c for w in ("dot", ".") for c in _CLOSED))
+_AT_HINTS = ("&#64;", "&commat;", " @", "@ ", *(w + c for w in ("at", "@") for c in _CLOSED))
+
+
+def _may_have_marks(low: str) -> bool:
+    """False only where rewriting marks changes nothing that an address needs: a dot mark counts only beside an at sign."""
+    return any(x in low for x in _AT_HINTS) or (("@" in low or " at " in low) and any(x in low for x in _DOT_HINTS))
 
 
 @lru_cache(1)
@@ -195,7 +203,7 @@ def normalise(text: str) -> Mapped:
     low = out.text.lower()
     if sum(map(low.count, _SPELLED)) >= 3 and _HAS_SPELLED.search(low):
         out = out.rewrite(_spelled_edits(out.text))
-    if any(x in low for x in _MARKS):
+    if _may_have_marks(low):
         out = out.rewrite(_mark_edits(_AT_MARK, "@", out.text))
         if "@" in out.text:
             out = out.rewrite(_mark_edits(_DOT_MARK, ".", out.text))

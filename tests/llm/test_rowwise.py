@@ -138,6 +138,31 @@ def test_disguises_map_back(text, found):
     assert set(base) <= set(spans)
 
 
+def mark_forms(words):
+    """Every bracketed form of a mark, with and without blanks."""
+    brackets = [(o, c) for o in "[({<" for c in "])}>"]
+    return [f"{out}{o}{left}{w}{right}{c}{out}" for o, c in brackets for w in words for left in ("", " ") for right in ("", " ") for out in ("", " ", "  ")]
+
+
+def test_every_form_of_a_mark_is_found_alone():
+    ats = [*mark_forms(("at", "AT", "@")), "&#64;", "&commat;", " &COMMAT; ", " @", "  @", "@ ", " @ ", "@  "]
+    dots = [*mark_forms(("dot", "Dot", ".")), " dot ", " DOT "]
+    addresses = [f"john{a}example.com" for a in ats] + [f"john@example{d}com" for d in dots]
+    addresses += [f"john{a}example{d}com" for a in ("(at)", " at ", " @ ") for d in dots]
+    for address in addresses:
+        assert [(k, f"mail {address} now"[s:e]) for s, e, k in pii.detect(f"mail {address} now")[1]] == [("email", address)], address
+
+
+def test_prefilter_of_marks_loses_nothing(monkeypatch):
+    rng = random.Random(12)
+    parts = ["joe", " at ", "at", "@", " ", "(", "[", "{", "<", ")", "]", "}", ">", ".", "dot", " dot ", " DOT ", "com", "&#64;", "x", "org"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    quick = [pii.detect(t) for t in texts]
+    monkeypatch.setattr(pii, "_may_have_marks", lambda low: True)
+    for text, found in zip(texts, quick, strict=True):
+        assert pii.detect(text) == found, text
+
+
 def test_spans_of_random_disguises_lie_in_the_text():
     rng = random.Random(8)
     parts = ["one ", "two-", "nine", "oh ", " at ", "(at)", " dot ", "[dot]", "a", "а", "​", "@", ".", "com", "１", "4", " ", "plus "]
