@@ -91,11 +91,17 @@ _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _NUMBER_WORD = "zero|one|two|three|four|five|six|seven|eight|nine"
-#: A run of at least three digits of which some are spelled; "oh" counts only inside such a run.
+#: A run of at least three digits, of which three or more must be spelled; "oh" counts only inside such a run.
 _SPELLED_RUN = re.compile(rf"(?i)\b(?:plus[\x20-]{{1,2}})?(?:(?:{_NUMBER_WORD})|[0-9](?=[\x20-]?(?:{_NUMBER_WORD})\b))(?:[\x20,.-]{{0,2}}\b(?:{_NUMBER_WORD}|oh)\b|[\x20-]?[0-9]+){{2,}}")
 _SPELLED_TOKEN = re.compile(rf"(?i)plus|{_NUMBER_WORD}|oh|[0-9]+|[^a-z0-9]+")
 _HAS_SPELLED = re.compile(rf"(?:{_NUMBER_WORD})[\x20,.-]{{1,2}}(?:{_NUMBER_WORD}|oh|[0-9])")
 
+# Runs with fewer spelled digits: they count only where what they stand for is a card or phone number.
+_MIXED_TOKEN = rf"(?:[0-9]++|(?:{_NUMBER_WORD}|oh)(?![^\W\d_]))"
+_MIXED_RUN = re.compile(rf"(?i)(?:\+|(?<!\w)plus[\x20-]{{1,2}}|(?<![\w+])){_MIXED_TOKEN}(?:[\x20().-]{{0,2}}{_MIXED_TOKEN})++")
+_MIXED_EDIT = re.compile(rf"(?i)plus[\x20-]{{1,2}}|{_NUMBER_WORD}|oh")
+_HAS_MIXED = re.compile(rf"[0-9][\x20().-]{{0,2}}(?:{_NUMBER_WORD}|oh)(?![^\W\d_])|(?:plus|{_NUMBER_WORD})[\x20().-]{{0,2}}[0-9]")
+
 _AT_MARK = re.compile(r"(?i)[\x20]{0,2}(?:[\[({<][\x20]?(?:at|@)[\x20]?[\])}>]|&#64;|&commat;|[\x20]at[\x20](?=[\w-]{2,40}[\x20]{0,2}(?:[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>]|[\x20]dot[\x20])))[\x20]{0,2}|[\x20]{1,2}@[\x20]{0,2}|@[\x20]{1,2}")
 _DOT_MARK = re.compile(r"(?i)[\x20]{0,2}(?:[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>]|(?<=[\w-])[\x20]dot[\x20](?=[a-z]{2,}))[\x20]{0,2}")
 #: What closes a bracketed mark.
@@ -190,6 +196,19 @@ def _spelled_edits(text: str) -> Iterator[tuple[int, int, str]]:
                 yield t.start(), t.end(), new
 
 
+def _mixed_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    """The spelled digits of a run that without them holds no card or phone number, and with them does; separators stay."""
+    for run in _MIXED_RUN.finditer(text):
+        edits = [(m.start() - run.start(), m.end() - run.start(), _SPELLED.get(m[0].lower(), "+")) for m in _MIXED_EDIT.finditer(run[0])]
+        if not edits or any(kind in ("card", "phone") for _, _, kind in find(run[0])):
+            continue
+        read = Mapped(run[0]).rewrite(edits)
+        spans = [read.span(start, end) for start, end, kind in find(read.text) if kind in ("card", "phone")]
+        for start, end, new in edits:
+            if any(s <= start and end <= e for s, e in spans):
+                yield run.start() + start, run.start() + end, new
+
+
 def _mark_edits(pattern: re.Pattern[str], new: str, text: str) -> Iterator[tuple[int, int, str]]:
     for m in pattern.finditer(text):
         yield m.start(), m.end(), new
@@ -203,6 +222,8 @@ def normalise(text: str) -> Mapped:
     low = out.text.lower()
     if sum(map(low.count, _SPELLED)) >= 3 and _HAS_SPELLED.search(low):
         out = out.rewrite(_spelled_edits(out.text))
+    if _HAS_MIXED.search(low):
+        out = out.rewrite(_mixed_edits(out.text))
     if _may_have_marks(low):
         out = out.rewrite(_mark_edits(_AT_MARK, "@", out.text))
         if "@" in out.text:
@@ -212,15 +233,34 @@ def normalise(text: str) -> Mapped:
 
 _BARE = re.compile(r"(?i)\x20(?:at|dot)\x20")
 # The endings that tell an address spelled in plain words from prose.
-_ENDINGS = ("com", "net", "org", "edu", "gov", "mil", "info", "biz", "io", "dev", "app", "uk", "eu")
+_ENDINGS = frozenset("com net org edu gov mil info biz io dev app uk eu".split())
+# Endings of countries; those that are English words too; words that come before a dot in prose.
+_COUNTRIES = frozenset(
+    """ac ad ae af ag ai al am ao ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz
+    de dj dk dm do dz ec ee eg er es et fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gt gu gw gy hk hn hr ht hu id ie il im in iq ir is it je jm jo jp
+    ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz
+    om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz
+    ua ug us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw""".split()
+)
+_WORD_ENDINGS = frozenset("am as at be by do in is me my no so to us".split())
+_BEFORE_DOT = frozenset("the an this that these those each every any one some its his her our your their my another last first next same".split())
 
 
 def _likely(kind: str, found: str, source: str) -> bool:
-    """A disguised address must end in letters, as top domains do, and one spelled in plain words in a well-known one."""
+    """A disguised address must end in letters, as top domains do, and one spelled in plain words as addresses rather than sentences do.
+
+    That is in a well-known ending, or in a country's after labels that are none of ``_BEFORE_DOT``; where the
+    country's ending is an English word too, the local part must hold more than letters or the domain a further label.
+    """
     if kind != "email":
         return True
-    end = found.rpartition(".")[2]
-    return end.isalpha() and len(end) > 1 and (not _BARE.search(source) or end.lower() in _ENDINGS)
+    local, _, domain = found.lower().rpartition("@")
+    *labels, end = domain.split(".")
+    if not end.isalpha() or len(end) < 2:
+        return False
+    if end in _ENDINGS or not _BARE.search(source):
+        return True
+    return end in _COUNTRIES and _BEFORE_DOT.isdisjoint(labels) and (end not in _WORD_ENDINGS or len(labels) > 1 or not local.isalpha())
 
 
 def detect(text: str | None) -> tuple[list[Span], list[Span]]:

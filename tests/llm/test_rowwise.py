@@ -138,6 +138,31 @@ def test_disguises_map_back(text, found):
     assert set(base) <= set(spans)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        *((f"write anna at firma dot {end} now", [("email", f"anna at firma dot {end}")]) for end in ("de", "fr", "es", "it", "nl", "DE", "ch")),
+        ("anna dot rossi at firma dot be", [("email", "anna dot rossi at firma dot be")]),
+        ("look at red dot in the middle", []),
+        ("stop at the dot de facto", []),
+        ("aim at this dot it says", []),
+        ("card 4111 1111 1111 111one ok", [("card", "4111 1111 1111 111one")]),
+        ("card 4111 1111 one111 1111 ok", [("card", "4111 1111 one111 1111")]),
+        ("card four111-1111-1111-11one1.", [("card", "four111-1111-1111-11one1")]),
+        ("call +1 555 123 four five 67 ok", [("phone", "+1 555 123 four five 67")]),
+        ("call plus 1 (555) 123 4567 ok", [("phone", "plus 1 (555) 123 4567")]),
+        ("call +1 555 123 4567 one more time", [("phone", "+1 555 123 4567")]),
+        ("card 4111 1111 1111 1112 or 111one", []),
+        ("in 2024 one of 12 was 7 or eight", []),
+        ("4111 1111 1111 111oneself", []),
+    ],
+)
+def test_country_endings_and_few_spelled_digits(text, found):
+    base, spans = pii.detect(text)
+    assert [(k, text[s:e]) for s, e, k in spans] == found
+    assert set(base) <= set(spans)
+
+
 def mark_forms(words):
     """Every bracketed form of a mark, with and without blanks."""
     brackets = [(o, c) for o in "[({<" for c in "])}>"]
