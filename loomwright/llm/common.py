@@ -1,4 +1,4 @@
-"""Shared helpers: reading tables, cutting lineage, size-checked broadcasts."""
+"""Shared helpers: reading tables, cutting lineage, Bloom filters of bounded size."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: A table of at most so many narrow rows (ids, keys) may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: A Bloom filter has blocks of 2 ** 15 bits, some for each key, and never more than so many (64 MB).
+BLOOM_BLOCKS, BLOOM_BITS_PER_KEY, BLOOM_PROBES = 1 << 14, 16, 4
+_BLOCK = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,9 +80,54 @@ def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], D
             at.getFileSystem(conf).delete(at, True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if the counted ``rows`` are within ``limit``; else Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+class Bloom:
+    """A blocked Bloom filter of 64-bit keys, as a table of blocks that is broadcast whatever the number of keys.
+
+    Its size is bounded, so with very many keys it passes more rows than it should and never one less: what it passes
+    must be joined exactly afterwards. No row that it holds back is moved.
+    """
+
+    def __init__(self, keys: DataFrame, most: int = BLOOM_BLOCKS) -> None:
+        """``keys`` has one column, and has been written: its rows are counted."""
+        self.blocks = min(most, max(1, -(-keys.count() * BLOOM_BITS_PER_KEY // _BLOCK)))
+        key = F.col(keys.columns[0])
+        at = keys.select(self._block(key).alias("block"), F.explode(F.array(*self._places(key))).alias("at"))
+        self.table = materialise(at.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")), "bloom")
+
+    def _block(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(self.blocks)).cast("int")
+
+    @staticmethod
+    def _places(key: Column) -> list[Column]:
+        own = F.xxhash64(key, F.lit(12))
+        return [F.shiftright(own, 15 * k).bitwiseAND(_BLOCK - 1) for k in range(BLOOM_PROBES)]
+
+    def _join(self, df: DataFrame, key: str, how: str) -> DataFrame:
+        block, bits = fresh(df, "_bloom_block", "_bloom_bits")
+        found = F.broadcast(self.table.toDF(block, bits))  # at most BLOOM_BLOCKS rows of 4 KB
+        byte = lambda at: F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        held = [F.call_function("shiftright", byte(at), at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1 for at in self._places(F.col(key))]
+        return df.join(found, reduce(and_, held, self._block(F.col(key)) == F.col(block)), how)
+
+    def among(self, df: DataFrame, key: str) -> DataFrame:
+        """The rows whose ``key`` is, or may be, one of the keys."""
+        return self._join(df, key, "left_semi")
+
+    def apart(self, df: DataFrame, key: str) -> DataFrame:
+        """The others; a null key is one of them."""
+        return self._join(df, key, "left_anti")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

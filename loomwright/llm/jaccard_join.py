@@ -7,13 +7,18 @@ similarity of their sets is at least 0.8. Steps, none of which needs the rows of
    tokens, which two sets share with the probability of their similarity. Equal sets become one *set* from here on.
 2. Chosen paths: in each of ``RUNS`` independent trees a set goes to ``FANOUT`` children of its node, one for each
    position that a hash of the node picks and the token that it has there. Nodes with more than ``LIMIT`` sets are
-   split again, all others are leaves. A node whose sets mostly stay together when split is dense: it holds
-   near-copies of one text, and is cut into blocks that are compared pairwise instead. What is left after ``DEPTH``
-   levels is treated alike, so nothing is dropped.
-3. Each pair of sets is looked at in one leaf only, the least of those that both are in. Signatures screen the pairs
-   of a leaf; sets with a partner left get their shingles there, by a second pass over the texts that need it, and
-   their similarity is computed from them.
-4. A block reports a number of links for each set, and edges to a root of its own linked sets. Labels spread along
+   split again, all others are leaves.
+3. A node that mostly stays together when split is dense: its sets share a passage, or are copies of one text, and the
+   tokens that all of them have tell nothing apart. There the paths go on over the rare tokens. A bounded sample of
+   the node tells which tokens are common (in ``CORE`` of it or more). Two sets of similarity s share one of their
+   rarest (1 - s) * n + 1 tokens; each of those that isn't common is a leaf. Sets that share none but common tokens
+   differ in all their others, so one of them has at most (1 - s) / (1 + s) of its tokens outside the core: such near
+   sets are compared with one another, and with those somewhat farther off, in blocks; two far sets never. What is
+   left after ``DEPTH`` levels is treated alike, so nothing is dropped, and this step loses no pair.
+4. Each pair of sets is looked at in one leaf only, the least of those in which both are compared. Sizes and signatures
+   screen the pairs of a leaf; sets with a partner left get their shingles there, by another pass over the texts that
+   need it, and their similarity is computed from them.
+5. A block reports a number of links for each set, and edges to a root of its own linked sets. Labels spread along
    the edges until each class has one.
 
 Runs. With two positions for each node, a pair of similarity s stays together below a node with probability
@@ -29,13 +34,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import materialise, maybe_broadcast, passing_tables
+from loomwright.llm.common import Bloom, fresh, materialise, passing_tables
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -46,8 +52,10 @@ LIMIT = 128
 #: Sets in a block of a dense node.
 BLOCK = 256
 DEPTH = 12
-#: A split keeps this share of a node together: the node is dense.
-DENSE = 0.5
+#: A split keeps this share of a node together: the node is dense. From 1 / sqrt(FANOUT) on splits don't save pairs.
+DENSE = 0.7
+#: Sets of a dense node that are looked at for its common tokens (about), and the share of them that has a common one.
+SAMPLE, CORE = 64, 0.5
 #: A pair is screened out when fewer of its signatures' values agree; at 0.8 that is 4 standard deviations off.
 SCREEN = 0.6
 
@@ -116,19 +124,20 @@ def fingerprint(tokens: np.ndarray) -> bytes:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``th`` (hash of the text), ``fp``, ``sig`` of each document; both null without words."""
+    """``doc_id``, ``th`` (hash of the text), ``fp``, ``n`` (tokens), ``sig`` of each document; fp and sig null without words."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sigs = [], []
+            fps, sizes, sigs = [], [], []
             for text in batch.column(2):
                 tokens = shingles(text.as_py())
+                sizes.append(len(tokens))
                 fps.append(fingerprint(tokens) if len(tokens) else None)
                 sigs.append(signature(tokens).tobytes() if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "th", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["doc_id", "th", "fp", "n", "sig"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(describe, "doc_id long, th long, fp binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(describe, "doc_id long, th long, fp binary, n int, sig binary")
 
 
 def _children(node: np.ndarray, level: int, sigs: np.ndarray) -> np.ndarray:
@@ -161,41 +170,102 @@ def _split(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("node", "fp", "sig").mapInArrow(split, "parent long, node long, fp binary")
 
 
-def _leaves(sets: DataFrame, n_runs: int) -> DataFrame:
-    """``leaf``, ``fp`` and the number of ``blocks`` that the leaf is cut into, for leaves of two sets or more."""
+def _leaves(sets: DataFrame, n_runs: int) -> tuple[DataFrame, DataFrame | None]:
+    """``leaf``, ``fp`` of leaves of two sets or more; ``node``, ``fp``, ``count`` of dense nodes, if there are any."""
     roots = F.array(*[F.lit(r + 1).cast("long") for r in range(n_runs)])
     level = materialise(_split(sets.select(F.explode(roots).alias("node"), "fp", "sig"), 0), "paths")
     found: list[DataFrame] = []
+    crowded: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         sizes = materialise(level.groupBy("parent", "node").count().where(F.col("count") > 1), "path-sizes")
         big = sizes.where(F.col("count") > LIMIT)
-        small = sizes.where(F.col("count") <= LIMIT).select("node", F.lit(1).alias("blocks"))
-        found.append(level.join(small, "node").select(F.col("node").alias("leaf"), "fp", "blocks"))
+        small = sizes.where(F.col("count") <= LIMIT).select("node")
+        found.append(level.join(small, "node").select(F.col("node").alias("leaf"), "fp"))
         if big.isEmpty():
             break
         rows = materialise(level.join(big.select("node", "count"), "node").select("node", "fp", "count"), "paths")
         if depth == DEPTH:
-            found.append(rows.select(F.col("node").alias("leaf"), "fp", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+            crowded.append(rows)
             break
         level = materialise(_split(rows.join(sets.select("fp", "sig"), "fp"), depth), "paths")
         # A node is dense when one of its children keeps most of it.
         shares = level.groupBy("parent", "node").count().groupBy("parent").agg(F.max("count").alias("most"))
         sized = big.select(F.col("node").alias("parent"), "count")
-        dense = materialise(sized.join(shares, "parent").where(F.col("most") >= DENSE * F.col("count")).select("parent", "count"), "path-dense")
+        dense = materialise(sized.join(shares, "parent").where(F.col("most") >= DENSE * F.col("count")).select("parent"), "path-dense")
         if not dense.isEmpty():
-            blocks = F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")
-            found.append(rows.drop("count").join(dense.withColumnRenamed("parent", "node"), "node").select(F.col("node").alias("leaf"), "fp", blocks))
-            level = level.join(dense.select("parent"), "parent", "left_anti")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return materialise(out, "leaves")
+            crowded.append(rows.join(dense.withColumnRenamed("parent", "node"), "node").select("node", "fp", "count"))
+            level = level.join(dense, "parent", "left_anti")
+    return materialise(reduce(DataFrame.unionByName, found), "leaves"), materialise(reduce(DataFrame.unionByName, crowded), "crowd") if crowded else None
+
+
+def _cores(crowd: DataFrame, tokens: DataFrame) -> DataFrame:
+    """For each dense ``node`` what its sample knows of its tokens: ``seen``, those of two sampled sets or more, with their ``times``, and ``asked``, the sampled sets."""
+    drawn = F.pmod(F.xxhash64("fp", "node"), F.lit(1 << 30)) < F.lit(SAMPLE) / F.col("count") * float(1 << 30)
+
+    def count(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+        names, times = np.unique(np.concatenate(sets), return_counts=True)
+        names, times = names[times > 1], times[times > 1]
+        return pa.table({"node": table.column("node")[:1], "asked": pa.array([len(sets)], pa.int32()), "seen": pa.array([names.tobytes()], pa.binary()), "times": pa.array([times.astype(np.int32).tobytes()], pa.binary())})
+
+    return crowd.where(drawn).select("node", "fp").join(tokens, "fp").select("node", "tokens").groupBy("node").applyInArrow(count, "node long, asked int, seen binary, times binary")
+
+
+def _rare_leaves(crowd: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """``leaf``, ``fp``, ``far`` that bring together every similar pair of a dense node.
+
+    A leaf is named by its token, so that the dense nodes of several trees that hold the same sets make the same
+    leaves; the leaf of near sets by the least of its common tokens.
+    """
+    cores = materialise(_cores(crowd, tokens), "cores")
+    rows = crowd.select("node", "fp").join(cores, "node", "left").join(tokens, "fp").select("fp", "asked", "seen", "times", "tokens")
+    near, most = (1 - similarity) / (1 + similarity) + 1e-9, (1 - similarity) / similarity + 1e-9
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves, fps, far = [], [], []
+
+            def put(names: np.ndarray, fp: bytes, is_far: bool) -> None:
+                leaves.append(names)
+                fps.extend([fp] * len(names))
+                far.extend([is_far] * len(names))
+
+            for fp, asked, seen, times, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                own = np.frombuffer(own, np.uint64)
+                known, often = np.frombuffer(seen or b"", np.uint64), np.frombuffer(times or b"", np.int32)
+                count = np.zeros(len(own), np.int32)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    count = np.where(known[at] == own, often[at], 0)
+                is_core = count >= max(2, CORE * (asked or 0))
+                rare = np.flatnonzero(~is_core)
+                first = rare[np.argsort(count[rare], kind="stable")][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+                put(mix(own[first]), fp, False)
+                common = known[often >= max(2, CORE * (asked or 0))]
+                if len(common) and len(rare) <= most * len(own):
+                    put(mix(mix(common[:1])), fp, len(rare) > near * len(own))
+            names = np.concatenate([*leaves, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(fps, pa.binary()), pa.array(far, pa.bool_())], ["leaf", "fp", "far"])
+
+    return rows.mapInArrow(go_on, "leaf long, fp binary, far boolean").groupBy("leaf", "fp").agg(F.min("far").alias("far"))
+
+
+def _sized(leaves: DataFrame) -> DataFrame:
+    """``leaves`` with the number of ``blocks`` of near sets that a leaf is cut into, and of ``farther`` ones; without those that hold no pair."""
+    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("all"), F.count_if(F.col("far")).alias("away"))
+    sizes = sizes.where((F.col("all") > 1) & (F.col("all") > F.col("away")))
+    return leaves.join(sizes.select("leaf", cut(F.col("all") - F.col("away")).alias("blocks"), cut(F.col("away")).alias("farther")), "leaf")
 
 
 def _placed(leaves: DataFrame) -> DataFrame:
-    """A row for each place where a set is compared: ``leaf`` and blocks ``a`` <= ``b``, ``side`` 1 for ``a``, 2 for ``b``, 3 for both."""
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
+    """A row for each place where a set is compared: ``leaf`` and blocks ``a`` <= ``b``, ``side`` 1 for ``a``, 2 for ``b``, 3 for both.
+
+    Blocks of far sets come after those of near ones and meet these only.
+    """
+    near, away = F.col("blocks").cast("long"), F.col("farther").cast("long")
+    own = F.when(F.col("far"), near + F.pmod(F.xxhash64("fp"), F.greatest(away, F.lit(1)))).otherwise(F.pmod(F.xxhash64("fp"), near))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("far"), near).otherwise(near + away) - 1))
     rows = leaves.select("*", own.alias("own"), other.alias("other"))
     side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
     return rows.select("leaf", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), side.alias("side"), "fp")
@@ -240,15 +310,26 @@ def _pairs(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i[across], j[across]
 
 
-def _least_common(paths: list[np.ndarray], i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
-    """Which of the pairs have ``leaf`` as the least of the leaves that both sets are in."""
-    before = [p[p < leaf] for p in paths]  # sorted
-    names, code = np.unique(np.concatenate(before), return_inverse=True) if before else (np.zeros(0), np.zeros(0, np.int64))
-    if not len(names):
-        return np.ones(len(i), bool)
-    own = np.zeros((len(paths), len(names)), np.float32)
-    own[np.repeat(np.arange(len(paths)), [len(b) for b in before]), code] = 1
-    return (own @ own.T)[i, j] == 0
+def _least_common(paths: list[np.ndarray], fars: list[np.ndarray], i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
+    """Which of the pairs have ``leaf`` as the least of the leaves where they are compared: both are in, and not both far."""
+    m = len(paths)
+    before = [*(p[p < leaf] for p in paths), *(p[p < leaf] for p in fars)]
+    row, name = np.repeat(np.arange(2 * m), [len(b) for b in before]), np.concatenate(before)
+    names, code, times = np.unique(name, return_inverse=True, return_counts=True)
+    shared = times > 1  # a name that one set alone has brings nothing together
+    row, code, n = row[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]], int(shared.sum())
+    both = np.zeros((m, m), np.float32)
+    step = max(1, 2_000_000 // m)
+    for at in range(0, n, step):
+        some = (code >= at) & (code < at + step)
+        own = np.zeros((2 * m, min(step, n - at)), np.float32)
+        own[row[some], code[some] - at] = 1
+        near, far = own[:m], own[m:]
+        both += near @ near.T
+        if far.any():
+            cross = near @ far.T
+            both += cross + cross.T
+    return both[i, j] == 0
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -256,35 +337,48 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
-def _screened(rows: DataFrame) -> DataFrame:
-    """The rows, without ``sig``, that have a partner left: one whose signature is alike and that they meet in no lesser leaf."""
+def _alike(sigs: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs have enough equal values in their signatures."""
+    step = 65_536
+    return np.concatenate([(sigs[i[k : k + step]] == sigs[j[k : k + step]]).mean(1) >= SCREEN for k in range(0, len(i), step)] or [np.zeros(0, bool)])
+
+
+def _screened(rows: DataFrame, similarity: float) -> DataFrame:
+    """The rows, without ``n`` and ``sig``, that have a partner left: one of fitting size and signature that they are compared with in no lesser leaf."""
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_place(batches):
             bounds = _bounds(batch)
-            leaf, side = np.array(batch.column(0)), np.array(batch.column(3))
-            sigs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32).reshape(-1, WIDTH)
-            paths = _lists(batch.column(5))
+            leaf, side, size = np.array(batch.column(0)), np.array(batch.column(3)), np.array(batch.column(7))
+            sigs = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint32).reshape(-1, WIDTH)
+            paths, fars = _lists(batch.column(5)), _lists(batch.column(6))
             keep = np.zeros(batch.num_rows, bool)
             for x, y in zip(bounds[:-1], bounds[1:], strict=True):
                 if y - x < 2:
                     continue
-                own = sigs[x:y]
                 i, j = _pairs(side[x:y])
-                alike = np.concatenate([(own[i[k : k + 65_536]] == own[j[k : k + 65_536]]).mean(1) >= SCREEN for k in range(0, len(i), 65_536)] or [np.zeros(0, bool)])
-                i, j = i[alike], j[alike]
-                if len(i):
-                    new = _least_common(paths[x:y], i, j, int(leaf[x]))
-                    keep[x + i[new]] = True
-                    keep[x + j[new]] = True
+                n = size[x:y]
+                tests = [
+                    lambda i, j, n=n: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]),
+                    lambda i, j, x=x, y=y: _least_common(paths[x:y], fars[x:y], i, j, int(leaf[x])),
+                    lambda i, j, x=x, y=y: _alike(sigs[x:y], i, j),
+                ]
+                if len(i) < 2000:  # the cheaper of the two comes first
+                    tests[1:] = tests[:0:-1]
+                for test in tests:
+                    if len(i):
+                        passed = test(i, j)
+                        i, j = i[passed], j[passed]
+                keep[x + i] = True
+                keep[x + j] = True
             at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(6)], [*_PLACE, "side", "fp", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(7)], [*_PLACE, "side", "fp", "paths", "fars"])
 
-    return _groups(rows).mapInArrow(screen, "leaf long, a long, b long, side int, fp binary, paths array<long>")
+    return _groups(rows).mapInArrow(screen, "leaf long, a long, b long, side int, fp binary, paths array<long>, fars array<long>")
 
 
 def _links(rows: DataFrame, similarity: float) -> DataFrame:
-    """``fp``, ``root``, ``n_links`` (documents of linked sets) from rows with ``paths``, ``copies`` and ``tokens``.
+    """``fp``, ``root``, ``n_links`` (documents of linked sets) from rows with ``paths``, ``fars``, ``copies`` and ``tokens``.
 
     A row for each set of a place that has links there.
     """
@@ -293,18 +387,18 @@ def _links(rows: DataFrame, similarity: float) -> DataFrame:
         for batch in _by_place(batches):
             bounds = _bounds(batch)
             leaf, side = np.array(batch.column(0)), np.array(batch.column(3))
-            fps, copies = batch.column(4).to_pylist(), np.array(batch.column(6))
-            paths = _lists(batch.column(5))
+            fps, copies = batch.column(4).to_pylist(), np.array(batch.column(7))
+            paths, fars = _lists(batch.column(5)), _lists(batch.column(6))
             out: tuple[list, list, list] = ([], [], [])
             for x, y in zip(bounds[:-1], bounds[1:], strict=True):
                 if y - x < 2:
                     continue
                 i, j = _pairs(side[x:y])
-                new = _least_common(paths[x:y], i, j, int(leaf[x]))
+                new = _least_common(paths[x:y], fars[x:y], i, j, int(leaf[x]))
                 i, j = i[new], j[new]
                 if not len(i):
                     continue
-                sets = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column(7).slice(x, y - x)]
+                sets = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column(8).slice(x, y - x)]
                 linked = _similar(sets, i, j, similarity)
                 i, j = i[linked], j[linked]
                 n = y - x
@@ -375,10 +469,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``fp`` and ``tokens`` of the sets in ``wanted`` (``fp``, ``th``: the text that stands for it)."""
-    rows = wanted.count()
+    """``fp`` and ``tokens`` of the sets in ``wanted`` (``fp``, ``th``: the text that stands for it, written before).
+
+    A filter of the wanted texts goes to where the texts are; only the shingles of those that pass are moved.
+    """
     text = F.col("text").cast("string")
-    hit = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(maybe_broadcast(wanted.select("th").distinct(), rows), "th", "left_semi")
+    hit = Bloom(wanted.select("th")).among(docs.select(F.xxhash64(text).alias("th"), text.alias("text")), "th")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in a task give their set once
@@ -393,8 +489,8 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         sets.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["fp", "tokens"])
 
-    found = hit.mapInArrow(cut, "fp binary, tokens binary")
-    return found.groupBy("fp").agg(F.first("tokens").alias("tokens"))
+    found = hit.mapInArrow(cut, "fp binary, tokens binary").groupBy("fp").agg(F.first("tokens").alias("tokens"))
+    return found.join(wanted.select("fp"), "fp", "left_semi")
 
 
 def _joined(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
@@ -405,17 +501,30 @@ def _joined(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFram
 
 def _join(docs: DataFrame, similarity: float, recall: float, lasting: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     rows = lasting(_described(docs), "sets-rows")
-    sets = rows.where("fp is not null").groupBy("fp").agg(F.min("th").alias("th"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    sets = rows.where("fp is not null").groupBy("fp").agg(F.min("th").alias("th"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = materialise(sets, "sets")
-    leaves = _leaves(sets, runs(similarity, recall))
+    leaves, crowd = _leaves(sets, runs(similarity, recall))
+    leaves = leaves.select("leaf", "fp", F.lit(False).alias("far"), F.lit(1).alias("blocks"), F.lit(0).alias("farther"))
+    tokens = None
+    if crowd is not None:
+        close = materialise(crowd.select("fp").distinct().join(sets.select("fp", "th"), "fp"), "crowd-sets")
+        tokens = materialise(_tokens(docs, close), "tokens")
+        rare = materialise(_rare_leaves(crowd, tokens, similarity), "leaves")
+        leaves = leaves.unionByName(_sized(rare).select(*leaves.columns))
+        leaves = materialise(leaves, "leaves")
     # A set is in a bounded number of leaves, whatever the number of sets.
-    paths = leaves.groupBy("fp").agg(F.array_sort(F.collect_set("leaf")).alias("paths"))
-    marked = materialise(paths.join(sets.select("fp", "sig"), "fp"), "set-paths")
-    placed = _placed(leaves).join(marked, "fp").select(*_PLACE, "side", "fp", "paths", "sig")
-    kept = materialise(_screened(placed), "screened")
-    wanted = materialise(kept.select("fp").distinct().join(sets.select("fp", "th"), "fp"), "wanted")
-    tokens = materialise(_tokens(docs, wanted), "tokens")
-    packed = kept.join(sets.select("fp", "copies").join(tokens, "fp"), "fp").select(*_PLACE, "side", "fp", "paths", "copies", "tokens")
+    where = lambda far: F.array_sort(F.collect_set(F.when(F.col("far") == far, F.col("leaf"))))
+    paths = leaves.groupBy("fp").agg(where(False).alias("paths"), where(True).alias("fars"))
+    marked = materialise(paths.join(sets.select("fp", "n", "sig"), "fp"), "set-paths")
+    placed = _placed(leaves).join(marked, "fp").select(*_PLACE, "side", "fp", "paths", "fars", "n", "sig")
+    kept = materialise(_screened(placed, similarity), "screened")
+    wanted = kept.select("fp").distinct()
+    if tokens is not None:
+        wanted = wanted.join(close.select("fp"), "fp", "left_anti")
+    wanted = materialise(wanted.join(sets.select("fp", "th"), "fp"), "wanted")
+    more = materialise(_tokens(docs, wanted), "tokens")
+    tokens = more if tokens is None else tokens.unionByName(more)
+    packed = kept.join(sets.select("fp", "copies").join(tokens, "fp"), "fp").select(*_PLACE, "side", "fp", "paths", "fars", "copies", "tokens")
     links = materialise(_links(packed, similarity), "links")
     labels = components(links.select(F.col("fp").alias("x"), F.col("root").alias("y")))
     counts = links.groupBy("fp").agg(F.sum("n_links").alias("n_links"))
@@ -452,17 +561,41 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     judged = rows.where("fp is not null").join(winners, "fp").withColumn("first", F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
     # Rows of equal id and text can't be told apart: of those that come first, one stays, whichever.
     judged = judged.groupBy("doc_id", "th").agg(F.max("first").alias("first"), F.count("*").alias("rows"))
-    other = materialise(judged.where(~F.col("first") | (F.col("rows") > 1)).select(F.col("doc_id").alias("_dj_id"), F.col("th").alias("_dj_th"), "first"), "losers")
-    n = other.count()
-    named = docs.withColumn("_dj_hash", F.xxhash64(F.col("text").cast("string")))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_dj_id")) & (F.col("_dj_hash") == F.col("_dj_th"))
-    stay = named.join(maybe_broadcast(other.drop("first"), n), match, "left_anti").drop("_dj_hash")
-    tied = other.where("first")
-    if tied.isEmpty():
-        return stay
-    one = named.join(maybe_broadcast(tied.drop("first"), n), match).drop("_dj_id", "_dj_th")
-    one = one.withColumn("_dj_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).dropDuplicates(["_dj_key", "_dj_hash"]).drop("_dj_hash", "_dj_key")
-    return stay.unionByName(one)
+    keyed = lambda df: df.withColumn("key", _row_key(F.col("doc_id"), F.col("th")))
+    other = materialise(keyed(judged.where(~F.col("first") | (F.col("rows") > 1)).select("doc_id", "th", "first")), "losers")
+    own = fresh(docs, "_row_id", "_row_text", "_row_key")
+    named = docs.withColumns({own[0]: F.col("doc_id").cast("long"), own[1]: F.xxhash64(F.col("text").cast("string"))})
+    named = named.withColumn(own[2], _row_key(F.col(own[0]), F.col(own[1])))
+    stay = _without(named, own, other.drop("first"), keyed(rows.select("doc_id", "th")))
+    tied = materialise(other.where("first").drop("first"), "tied")
+    one = Bloom(tied.select("key")).among(named, own[2]).dropDuplicates(own[:2])
+    return stay.unionByName(_matched(one, own, tied, "left_semi")).drop(*own)
+
+
+def _row_key(doc_id: Column, text_hash: Column) -> Column:
+    """64 bits for an id, which may be null, and the hash of a text."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text_hash)
+
+
+def _matched(rows: DataFrame, own: list[str], keys: DataFrame, how: str) -> DataFrame:
+    """Rows joined with ``keys`` by id and hash of the text, for which ``own`` names their columns."""
+    their = fresh(rows, "_key_id", "_key_text", "_key")
+    keys = keys.select("doc_id", "th", "key").toDF(*their)
+    return rows.join(keys, F.col(own[0]).eqNullSafe(F.col(their[0])) & (F.col(own[1]) == F.col(their[1])), how)
+
+
+def _without(rows: DataFrame, own: list[str], dropped: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows that aren't among those ``dropped``; ``known`` has the keys of all rows.
+
+    Rows that the filter of dropped keys doesn't pass stay where they are. Those that it passes wrongly are found among
+    the known keys, without the rows themselves, and make a second filter: only rows that both pass are moved, to be
+    joined exactly.
+    """
+    first = Bloom(dropped.select("key"))
+    wrong = _matched(first.among(known, "key"), ["doc_id", "th"], dropped, "left_anti")
+    second = Bloom(materialise(wrong.select("key"), "kept-keys"))
+    unsure = second.among(first.among(rows, own[2]), own[2])
+    return first.apart(rows, own[2]).unionByName(_matched(unsure, own, dropped, "left_anti"))
 
 
 #: The same as DuckDB SQL, over all pairs that share a shingle (for small tables).

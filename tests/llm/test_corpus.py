@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import jaccard_join as jj
 from loomwright.llm import quality_pu, toxicity
+from loomwright.llm.common import Bloom, materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,6 +87,102 @@ def test_join_finds_every_link(spark, monkeypatch, limit, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _, _ in want.values()})
 
 
+def pairs_in(placed):
+    """How many pairs the places hold."""
+    sides = [F.count_if(F.col("side") == k).alias(f"n{k}") for k in (1, 2, 3)]
+    own = F.col("n1") * F.col("n2") + F.col("n3") * (F.col("n1") + F.col("n2")) + F.col("n3") * (F.col("n3") - 1) / 2
+    return placed.groupBy("leaf", "a", "b").agg(*sides).agg(F.sum(own)).first()[0] or 0
+
+
+@pytest.mark.parametrize("bodies", [(60, 80), (25, 35), (0, 40), (5, 14)])
+def test_a_shared_passage_is_no_reason_to_compare(spark, monkeypatch, bodies):
+    """Texts that share most of their words, some of them copies: every link is found, and far fewer pairs than all are compared where there are few."""
+    monkeypatch.setattr(jj, "LIMIT", 12)
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    monkeypatch.setattr(jj, "SAMPLE", 24)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(9000)]
+    passage = rng.choices(words, k=120)
+    texts = [passage + rng.choices(words, k=rng.randint(*bodies)) for _ in range(260)]
+    for _ in range(40):
+        copy = list(rng.choice(texts))
+        copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(copy)
+    rows = list(enumerate(map(" ".join, texts)))
+    seen, screened = [], jj._screened
+    monkeypatch.setattr(jj, "_screened", lambda placed, s: (seen.append(pairs_in(placed)), screened(placed, s))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["class_size"]) for r in jj.near_duplicates(df).collect()}
+    want = brute_links(rows)
+    assert got == want
+    links = sum(n for _, n, _ in want.values()) / 2
+    assert links < 100 or bodies[0] < 25
+    if links < 100:
+        assert seen[0] < 0.05 * len(rows) ** 2 / 2
+
+
+def text_moved(df, name="text"):
+    """Exchanges of the plan that move a column of whole texts."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        names = node.output().mkString(",")
+        if node.nodeName() == "Exchange" and re.search(rf"(?<!\w){name}#", names):
+            found.append(node)
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+def unfiltered(node):
+    """Whether texts come into an exchange straight from their scan, with no Bloom filter between."""
+    text = node.toString()
+    return "LeftSemi" not in text
+
+
+def test_texts_move_only_behind_a_filter(spark, tmp_path):
+    texts = " ".join(f"w{k}" for k in range(30))
+    spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit(texts), F.col("id") % 400).alias("text")).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    wanted = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("fp")).limit(20)
+    wanted.write.parquet(str(tmp_path / "wanted"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert not text_moved(jj._tokens(docs, spark.read.parquet(str(tmp_path / "wanted"))))
+        moved = text_moved(jj.one_of_each(docs))
+        assert moved and not any(map(unfiltered, moved))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    """With one block for thousands of keys nearly every row passes the filters: the results are the same."""
+    rows = near_copy_corpus(random.Random(12), [2, 3, 30], 60) + [(5000, "one text"), (5000, "one text"), (None, "one text"), (None, None), (None, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, _row_key int").repartition(3)
+    expected = sorted(map(str, jj.one_of_each(df).collect()))
+    before = Bloom.__init__
+
+    def full(self, keys, most=1):
+        before(self, keys, 1)
+        self.table = spark.range(1).select(F.lit(0).alias("block"), F.unhex(F.repeat(F.lit("FF"), 4096)).alias("bits"))
+
+    monkeypatch.setattr(Bloom, "__init__", full)
+    assert sorted(map(str, jj.one_of_each(df).collect())) == expected
+    assert jj.one_of_each(df).columns == df.columns
+
+
+def test_bloom_filter(spark):
+    keys = materialise(spark.range(3000).select((F.col("id") * 7919).alias("k")), "keys")
+    rows = spark.range(60_000).select((F.col("id") * 7919).alias("k"), F.lit(1).alias("_bloom_bits")).unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS k, 1 AS _bloom_bits"))
+    found = Bloom(keys)
+    inside, outside = found.among(rows, "k"), found.apart(rows, "k")
+    assert found.among(keys, "k").count() == 3000 and 3000 <= inside.count() < 3600 and inside.count() + outside.count() == 60_001
+    assert inside.columns == rows.columns and not outside.where("k is null").isEmpty()
+    assert Bloom(materialise(keys.limit(0), "keys")).among(rows, "k").count() == 0
+
+
 def test_runs_follow_the_recall():
     assert jj.runs(0.8, 0.9999) == 4 and jj.runs(0.8, 0.99) < jj.runs(0.8, 0.999999)
 
