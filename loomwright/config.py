@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import sys
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
@@ -37,7 +38,7 @@ def configure_logging(settings: Settings | None = None) -> logging.Logger:
     settings = settings or Settings.load()
     logger = logging.getLogger("loomwright")
     if not logger.handlers:
-        handler = logging.StreamHandler()
+        handler = logging.StreamHandler(sys.stdout)
         handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
         logger.addHandler(handler)
     logger.setLevel(settings.log_level.upper())

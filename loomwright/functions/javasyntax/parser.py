@@ -5,9 +5,10 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
+from loomwright.functions.giveup import ParserGaveUp
 from loomwright.functions.javasyntax.lexer import MODIFIERS, PRIMITIVES, JavaError, Token, tokens
 
-#: Constructs nested deeper are refused rather than risking the interpreter's stack.
+#: With constructs nested deeper the parser gives up rather than risking the interpreter's stack.
 MAX_DEPTH = 1200
 #: Frames that this takes; calls between Python functions don't use the machine's stack.
 FRAMES = 15_000
@@ -46,7 +47,7 @@ class _Parser:
     def move(self) -> Token:
         self.steps += 1
         if self.steps > self.limit:
-            raise JavaError(f"too ambiguous at line {self.now.line}")
+            raise ParserGaveUp(f"too ambiguous at line {self.now.line}")
         t = self.now
         if t.kind != "end":
             self.i += 1
@@ -100,7 +101,7 @@ class _Parser:
     def nested(self, rule: Callable[[], object]) -> None:
         self.depth += 1
         if self.depth > MAX_DEPTH:
-            raise JavaError(f"nested too deeply at line {self.now.line}")
+            raise ParserGaveUp(f"nested too deeply at line {self.now.line}")
         rule()
         self.depth -= 1
 
@@ -849,15 +850,17 @@ class _Parser:
 
 
 def check(text: str) -> str | None:
-    """Null if the text is a compilation unit of Java 8, else what was wrong."""
+    """Null if the text is a compilation unit of Java 8, else what was wrong. Raises ``ParserGaveUp`` without a verdict."""
     before = sys.getrecursionlimit()
     sys.setrecursionlimit(max(before, FRAMES))
     try:
         _Parser(text).unit()
     except JavaError as e:
         return f"JavaSyntaxError: {e}"
-    except RecursionError:
-        return "JavaSyntaxError: nested too deeply"
+    except ParserGaveUp:
+        raise
+    except RecursionError as e:
+        raise ParserGaveUp("nested too deeply") from e
     except Exception as e:  # whatever goes wrong is the submission's fault, never the job's
         return f"JavaSyntaxError: unable to parse — {e}"
     finally:

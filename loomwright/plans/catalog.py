@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,9 +14,14 @@ from loomwright.functions import vectors
 from loomwright.functions.admission import BOTH, NEITHER, NOT_UTF8, TOO_LARGE, status_and_detail, text_length
 from loomwright.functions.detect import EXTENSIONS, JAVA_SIGNALS, PYTHON_SIGNALS, detect_language, java_score, python_score
 from loomwright.operators.chunk import chunk_documents, chunks_of
-from loomwright.operators.embed import hashing_encoder, index_chunks
+from loomwright.operators.embed import hashing_encoder
+from loomwright.operators.search import top_k_cosine
 from loomwright.operators.validate import validate_syntax
-from loomwright.plans.intake import analyze_submissions, as_json
+from loomwright.plans.chunk_oracle import chunk_rows
+from loomwright.plans.intake import RESPONSE_COLUMNS, analyze_submissions, as_json
+from loomwright.plans.knowledge_base import Built, build_knowledge_base, count_by_extension
+from loomwright.sources import files
+from loomwright.sources.collection import read_collection
 from loomwright.sources.files import documents_from_table
 
 # The standard tables hold prose, which has no signals of a language: code and file names are derived from the ids,
@@ -22,6 +29,8 @@ from loomwright.sources.files import documents_from_table
 PY_OK, JAVA_OK, TIE, JAVA_BAD, PY_BAD = "def f():\n    return ", "public class M{}", "import java.util.*; public class M{}", "private int x; public class Y{ System.out.println( import ", "def f(:"
 NAMES = ("A.PY", "b.java", "c.txt", "")
 LIMIT = 1_048_576
+# Beginnings of file names that are awkward to list: blanks, signs of URIs, a hidden name, other scripts.
+ODD_NAMES = ("a b ", "c+d", "100%", "x%20y", "#n", "é日", "_")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +51,7 @@ _SUBMISSIONS = f"""submissions AS (
       WHEN 3 THEN '{JAVA_BAD}' WHEN 4 THEN '{PY_BAD}' ELSE text END AS code,
     CASE doc_id % 5 {" ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(NAMES))} END AS filename
   FROM documents)"""
+_text = lambda s: "'" + s.replace("'", "''") + "'"
 _PYTHON = " + ".join(f"CAST(coalesce(contains(code, '{s}'), false) AS INTEGER)" for s in PYTHON_SIGNALS)
 _JAVA = " + ".join(f"CAST(coalesce(contains(code, '{s}'), false) AS INTEGER)" for s in JAVA_SIGNALS)
 _LANGUAGE = "CASE " + " ".join(f"WHEN ends_with(lower(filename), '{e}') THEN '{lang}'" for e, lang in EXTENSIONS) + f" WHEN {_PYTHON} = 0 AND {_JAVA} = 0 THEN 'unknown' WHEN {_PYTHON} >= {_JAVA} THEN 'python' ELSE 'java' END"
@@ -77,93 +87,110 @@ def _validated(rows: DataFrame, language: str) -> DataFrame:
     return rows.select("submission_id", "template", validate_syntax(F.col("code"), F.lit(language)).alias("v"))
 
 
-def validate_python_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python's verdict on every row, whole texts of the table included."""
-    return _validated(submissions(spark, sf_dir), "python").select("submission_id", "v.is_valid", "v.error", "v.failed")
-
-
-def validate_java_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Java checker's verdict on every row, whole texts of the table included."""
-    return _validated(submissions(spark, sf_dir), "java").select("submission_id", "v.is_valid", "v.error", "v.failed")
+def _verdicts(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select("submission_id", "v.is_valid", F.col("v.error").startswith(prefix).alias("has_error"), "v.failed")
 
 
 def validate_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of ``validate_python_all`` whose verdict SQL can state."""
-    rows = submissions(spark, sf_dir).where(F.col("template").isin(0, 4))
-    return _validated(rows, "python").select("submission_id", "v.is_valid", "v.error")
+    """Python's verdict on every row, whole texts of the table included."""
+    return _verdicts(_validated(submissions(spark, sf_dir), "python"), "SyntaxError: ")
 
 
 def validate_java(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of ``validate_java_all`` whose verdict SQL can state."""
-    rows = submissions(spark, sf_dir).where(F.col("template").isin(1, 2, 3))
-    return _validated(rows, "java").select("submission_id", "v.is_valid", F.col("v.error").startswith("JavaSyntaxError: ").alias("has_java_error"))
+    """The Java checker's verdict on every row, whole texts of the table included."""
+    return _verdicts(_validated(submissions(spark, sf_dir), "java"), "JavaSyntaxError: ")
 
 
-def _responses(rows: DataFrame) -> DataFrame:
+def submission_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected language and verdict of every row."""
     language = detect_language(F.col("code"), F.col("filename"))
-    return rows.select("submission_id", language.alias("language"), validate_syntax(F.col("code"), language).alias("v"))
+    rows = submissions(spark, sf_dir).select("submission_id", language.alias("language"), validate_syntax(F.col("code"), language).alias("v"))
+    return rows.select("submission_id", "language", "v.is_valid", "v.failed")
 
 
-def submission_response_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detected language and verdict of every row."""
-    return _responses(submissions(spark, sf_dir)).select("submission_id", "language", "v.is_valid", "v.error", "v.failed")
+def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole intake over every row: pastes for even ids and null ones, uploads for odd ones, as responses in JSON."""
+    upload = F.coalesce(F.col("submission_id") % 2 == 1, F.lit(False))
+    posted = submissions(spark, sf_dir).select("submission_id", F.when(~upload, F.col("code")).alias("code"), F.when(upload, F.col("code").cast("binary")).alias("content"), "filename")
+    return _answers(analyze_submissions(posted).select("submission_id", *RESPONSE_COLUMNS))
 
 
-def submission_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of ``submission_response_all`` whose verdict SQL can state: the derived code, as one word of prose is legal Python."""
-    return _responses(submissions(spark, sf_dir).where(F.col("template") < 5)).select("submission_id", "language", "v.is_valid")
+def _answers(responses: DataFrame) -> DataFrame:
+    out = as_json(responses)
+    return out.select("submission_id", "status", *[F.get_json_object("body", f"$.{k}").alias(k) for k in ("language", "is_valid", "filename")])
 
 
-def _intake(rows: DataFrame) -> DataFrame:
-    upload = F.coalesce(F.col("submission_id") % 2 == 1, F.lit(False))
-    posted = rows.select("submission_id", F.when(~upload, F.col("code")).alias("code"), F.when(upload, F.col("code").cast("binary")).alias("content"), "filename")
-    out = as_json(analyze_submissions(posted))
-    return out.select("submission_id", "status", F.get_json_object("body", "$.language").alias("language"), F.get_json_object("body", "$.is_valid").alias("is_valid"), F.get_json_object("body", "$.filename").alias("filename"))
+def _folder(spark: SparkSession, tag: str) -> str:
+    """A new folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwright-")
+    return f"{base.rstrip('/')}/loomwright/{tag}-{uuid.uuid4().hex}"
 
 
-def intake_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole intake over every row: pastes for even ids and null ones, uploads for odd ones, as responses in JSON."""
-    return _intake(submissions(spark, sf_dir))
+def submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every submission as a file of a name that is awkward to list, read back as an upload and answered."""
+    path = _folder(spark, "submissions")
+    rows = submissions(spark, sf_dir)
+    odd = F.element_at(F.array(*map(F.lit, ODD_NAMES)), (F.col("submission_id") % len(ODD_NAMES) + 1).cast("int"))
+    files.write_files(rows.select(F.concat(odd, F.col("submission_id").cast("string"), F.lit("_"), F.coalesce("filename", F.lit("none"))).alias("name"), F.col("code").alias("content")), path)
+    uploads = files.read_submissions(spark, path).drop("path")
+    number = F.regexp_extract("filename", r"([0-9]+)_[^_]*$", 1).cast("long")
+    return _answers(analyze_submissions(uploads.withColumn("submission_id", number)).select("submission_id", *RESPONSE_COLUMNS))
 
 
-def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of ``intake_all`` whose verdict SQL can state."""
-    return _intake(submissions(spark, sf_dir).where(F.col("template") < 5))
+def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of three extensions, one of them not read, loaded again."""
+    path = _folder(spark, "documents")
+    docs = _read(spark, sf_dir, "documents")
+    ending = F.element_at(F.array(*map(F.lit, (".md", ".txt", ".rst"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    files.write_files(docs.select(F.concat(F.col("source"), F.lit("/a b/"), F.col("doc_id").cast("string"), ending).alias("name"), F.col("text").alias("content")), path)
+    loaders = {e: files.LOADERS[e] for e in (".md", ".txt")}
+    return files.read_documents(spark, path, loaders)
 
 
 def load_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of three kinds put together, duplicates kept."""
-    docs = documents_from_table(_read(spark, sf_dir, "documents")).select("source", F.length("text").alias("length"))
-    parts = [docs.where(F.col("source").cast("long") % 3 != k).withColumn("extension", F.lit(e)) for k, e in enumerate((".md", ".txt", ".pdf"))]
-    return reduce(DataFrame.unionByName, parts)
+    """Documents of several extensions, loaded together from a tree of folders."""
+    name = files.file_name(F.col("source"))
+    return _document_files(spark, sf_dir).select(name.alias("name"), F.length("text").alias("length"), F.md5("text").alias("digest"))
 
 
 def extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_union(spark, sf_dir).groupBy("extension").agg(F.count("*").alias("documents"))
+    return count_by_extension(_document_files(spark, sf_dir))
 
 
-def chunks_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of at most 1200 characters, with blanks put around them, are one stripped chunk."""
-    docs = _read(spark, sf_dir, "documents").where((F.length("text") <= 1190) & (F.length("text") > 0))
-    padded = F.concat(F.lit("\n\t "), F.col("text"), F.lit(" \t\n"))
-    return docs.select("doc_id", F.posexplode(chunks_of(padded)).alias("chunk_index", "chunk"))
+def chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunk_documents(documents_from_table(_read(spark, sf_dir, "documents")))
+    return chunks.withColumn("origin", F.col("metadata")["source"]).drop("metadata")
 
 
-def chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_documents(documents_from_table(_read(spark, sf_dir, "documents")))
+_ORIGINS = (("documents", "text"), ("pages", "html"), ("conversations", "text"), ("benchmark", "text"))
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of each source and whether each is at most the size; the pages' markup and the conversations too."""
-    tables = [("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text"), ("benchmark", "item_id", "text")]
-    rows = [_read(spark, sf_dir, t).select(F.lit(t).alias("origin"), F.explode(chunks_of(F.col(c))).alias("chunk")) for t, _, c in tables]
+    rows = [_read(spark, sf_dir, t).select(F.lit(t).alias("origin"), F.explode(chunks_of(F.col(c))).alias("chunk")) for t, c in _ORIGINS]
     return reduce(DataFrame.unionByName, rows).groupBy("origin").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("characters"))
 
 
+def _collection(spark: SparkSession, sf_dir: str) -> tuple[Built, DataFrame]:
+    """The documents, each twice, indexed twice over into one collection beside another, which is read back."""
+    path = _folder(spark, "collection")
+    docs = documents_from_table(_read(spark, sf_dir, "documents"))
+    build_knowledge_base(docs.limit(1), path, hashing_encoder(16), "other")
+    for _ in range(2):
+        built = build_knowledge_base(docs.unionByName(docs), path, hashing_encoder(), "check")
+    return built, read_collection(spark, path, "check")
+
+
 def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with vectors of the test encoder, and what identifies it."""
-    indexed = index_chunks(chunks_all(spark, sf_dir), hashing_encoder(), "check")
-    return indexed.select("chunk_id", "encoder_id", "dim", F.size("embedding").alias("width"), F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"))
+    """What a collection holds: chunks with vectors of the test encoder, and what identifies it."""
+    norm = F.round(vectors.l2_norm(F.col("embedding")), 4)
+    return _collection(spark, sf_dir)[1].select("chunk_id", "collection", "encoder_id", "dim", F.size("embedding").alias("width"), norm.alias("norm"))
+
+
+def knowledge_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that a build reports, and the rows that its collection has."""
+    built, rows = _collection(spark, sf_dir)
+    return rows.agg(F.lit(built.documents).cast("long").alias("documents"), F.lit(built.chunks).cast("long").alias("chunks"), F.count("*").alias("written"))
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +207,7 @@ def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors nearest to that of the least id (an extension)."""
     scaled = _scaled(spark, sf_dir)
     query = scaled.orderBy("vec_id").first()["v"]
-    found = vectors.top_k_cosine(scaled, query, 10, column="v")
+    found = top_k_cosine(scaled, query, 10, column="v")
     return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -190,27 +217,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_summary": language_summary,
     "admission_status": admission_status,
     "validate_python": validate_python,
-    "validate_python_all": validate_python_all,
     "validate_java": validate_java,
-    "validate_java_all": validate_java_all,
     "submission_response": submission_response,
-    "submission_response_all": submission_response_all,
     "intake": intake,
-    "intake_all": intake_all,
+    "submission_files": submission_files,
     "load_union": load_union,
     "extension_counts": extension_counts,
-    "chunks_short": chunks_short,
     "chunks_all": chunks_all,
     "chunk_stats": chunk_stats,
     "index_documents": index_documents,
+    "knowledge_base_counts": knowledge_base_counts,
     "normalize_vectors": normalize_vectors,
     "topk_cosine": topk_cosine,
 }
 
-_text = lambda s: "'" + s.replace("'", "''") + "'"
-# Whether a template's code is valid in the language it was taken for.
-_VALID = "CASE language WHEN 'python' THEN template = 0 WHEN 'java' THEN template IN (1, 2) ELSE false END"
-_UNION = " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS source, length(text) AS length, '{e}' AS extension FROM documents WHERE doc_id % 3 <> {k}" for k, e in enumerate((".md", ".txt", ".pdf")))
+# Whether a row's code is valid in the language it was taken for. Of prose SQL can tell only this: blank texts and comments
+# are code, one word (with a comment, maybe) is legal Python, and what else the tables hold isn't.
+_NO_PROSE = r"'^\s*([\p{L}_][\p{L}\p{N}_]*)?\s*(#[^\n]*\s*)*$'"
+_VALID_PYTHON = f"(template = 0 OR template = 5 AND regexp_matches(code, {_NO_PROSE}))"
+_VALID_JAVA = "(template IN (1, 2) OR template = 5 AND trim(code) = '')"
+_VALID = f"CASE language WHEN 'python' THEN {_VALID_PYTHON} WHEN 'java' THEN {_VALID_JAVA} ELSE false END"
+_ODD = "CASE submission_id % 7 " + " ".join(f"WHEN {k} THEN {_text(n)}" for k, n in enumerate(ODD_NAMES)) + " END"
+_FILES = "SELECT CAST(doc_id AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN '.md' ELSE '.txt' END AS name, length(text) AS length, md5(text) AS digest FROM documents WHERE doc_id % 3 < 2 AND text IS NOT NULL"
+_CHUNKS = f"""WITH RECURSIVE {chunk_rows("SELECT doc_id AS id, text AS t FROM documents")}, keyed AS (
+  SELECT sha256(id || chr(1) || chr(1) || chunk_index || chr(1) || chunk) AS chunk_id, CAST(id AS VARCHAR) AS source, CAST(NULL AS INTEGER) AS page, chunk_index, chunk AS text,
+    CAST(ceil(length(chunk) / 4) AS INTEGER) AS est_tokens, CAST(id AS VARCHAR) AS origin FROM chunks
+)"""
+_EVERY_TEXT = " UNION ALL ".join(f"SELECT {_text(t)} || ':' || row_number() OVER () AS id, {c} AS t FROM {t}" for t, c in _ORIGINS)
 _VECTORS = """scaled AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (1 + vec_id % 7)) AS v FROM embeddings),
 unit AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM scaled)"""
 
@@ -226,18 +259,24 @@ SELECT submission_id,
   CASE WHEN pasted = uploaded THEN 400 WHEN uploaded AND n_bytes > {LIMIT} THEN 413 WHEN uploaded AND undecodable THEN 400 ELSE 200 END AS status,
   CASE WHEN NOT pasted AND NOT uploaded THEN {_text(NEITHER)} WHEN pasted AND uploaded THEN {_text(BOTH)}
     WHEN uploaded AND n_bytes > {LIMIT} THEN {_text(TOO_LARGE)} WHEN uploaded AND undecodable THEN {_text(NOT_UTF8)} END AS detail FROM grid""",
-    "validate_python": f"WITH {_SUBMISSIONS} SELECT submission_id, template = 0 AS is_valid, CASE WHEN template = 4 THEN 'SyntaxError: invalid syntax at line 1' END AS error FROM submissions WHERE template IN (0, 4)",
-    "validate_java": f"WITH {_SUBMISSIONS} SELECT submission_id, template <> 3 AS is_valid, CASE WHEN template = 3 THEN true END AS has_java_error FROM submissions WHERE template IN (1, 2, 3)",
-    "submission_response": f"WITH {_SUBMISSIONS}, found AS (SELECT *, {_LANGUAGE} AS language FROM submissions WHERE template < 5) SELECT submission_id, language, {_VALID} AS is_valid FROM found",
+    "validate_python": f"WITH {_SUBMISSIONS} SELECT submission_id, {_VALID_PYTHON} AS is_valid, CASE WHEN NOT {_VALID_PYTHON} THEN true END AS has_error, false AS failed FROM submissions",
+    "validate_java": f"WITH {_SUBMISSIONS} SELECT submission_id, {_VALID_JAVA} AS is_valid, CASE WHEN NOT {_VALID_JAVA} THEN true END AS has_error, false AS failed FROM submissions",
+    "submission_response": f"WITH {_SUBMISSIONS}, found AS (SELECT *, {_LANGUAGE} AS language FROM submissions) SELECT submission_id, language, {_VALID} AS is_valid, false AS failed FROM found",
     "intake": f"""
-WITH {_SUBMISSIONS}, posted AS (SELECT submission_id, template, code, CASE WHEN submission_id % 2 = 1 THEN filename END AS filename FROM submissions WHERE template < 5),
+WITH {_SUBMISSIONS}, posted AS (SELECT submission_id, template, code, CASE WHEN submission_id % 2 = 1 THEN filename END AS filename FROM submissions),
+found AS (SELECT *, {_LANGUAGE} AS language, code IS NULL OR code = '' AND submission_id % 2 = 0 AS absent FROM posted)
+SELECT submission_id, CASE WHEN absent THEN 400 ELSE 200 END AS status, CASE WHEN NOT absent THEN language END AS language,
+  CASE WHEN absent THEN NULL WHEN {_VALID} THEN 'true' ELSE 'false' END AS is_valid, CASE WHEN NOT absent THEN filename END AS filename FROM found""",
+    "submission_files": f"""
+WITH {_SUBMISSIONS}, posted AS (SELECT submission_id, template, code, {_ODD} || submission_id || '_' || coalesce(filename, 'none') AS filename FROM submissions WHERE code IS NOT NULL),
 found AS (SELECT *, {_LANGUAGE} AS language FROM posted)
 SELECT submission_id, 200 AS status, language, CASE WHEN {_VALID} THEN 'true' ELSE 'false' END AS is_valid, filename FROM found""",
-    "load_union": _UNION,
-    "extension_counts": f"SELECT extension, count(*) AS documents FROM ({_UNION}) GROUP BY extension",
-    "chunks_short": r"""
-WITH padded AS (SELECT doc_id, chr(10) || chr(9) || ' ' || text || ' ' || chr(9) || chr(10) AS t FROM documents WHERE length(text) BETWEEN 1 AND 1190)
-SELECT doc_id, 0 AS chunk_index, regexp_replace(t, '^\s+|\s+$', '', 'g') AS chunk FROM padded""",
+    "load_union": _FILES,
+    "extension_counts": f"SELECT regexp_extract(name, '[.][a-z]+$') AS extension, count(*) AS documents FROM ({_FILES}) GROUP BY 1",
+    "chunks_all": f"{_CHUNKS} SELECT * FROM keyed",
+    "chunk_stats": f"WITH RECURSIVE {chunk_rows(_EVERY_TEXT)} SELECT regexp_extract(id, '^[a-z]+') AS origin, count(*) AS chunks, max(length(chunk)) AS longest, CAST(sum(length(chunk)) AS BIGINT) AS characters FROM chunks GROUP BY 1",
+    "index_documents": f"{_CHUNKS} SELECT chunk_id, 'check' AS collection, 'hashing-64' AS encoder_id, 64 AS dim, 64 AS width, CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm FROM keyed",
+    "knowledge_base_counts": f"{_CHUNKS} SELECT (SELECT 2 * count(*) FROM documents) AS documents, count(*) AS chunks, count(*) AS written FROM keyed",
     "normalize_vectors": f"WITH {_VECTORS} SELECT vec_id, round(u[1], 6) AS first, round(u[-1], 6) AS last, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm FROM unit",
     "topk_cosine": f"""
 WITH {_VECTORS}, query AS (SELECT u AS q FROM unit ORDER BY vec_id LIMIT 1)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions.admission import MAX_UPLOAD_BYTES, TOO_LARGE, admit
+from loomwright.config import Settings
+from loomwright.functions.admission import TOO_LARGE, admit
 from loomwright.functions.detect import detect_language
 from loomwright.operators.validate import validate_syntax
 
@@ -13,12 +14,13 @@ INTERNAL = "Internal Server Error"
 RESPONSE_COLUMNS = ("status", "detail", "language", "is_valid", "error", "filename")
 
 
-def analyze_submissions(submissions: DataFrame, limit: int = MAX_UPLOAD_BYTES, empty_code_is_absent: bool = True) -> DataFrame:
+def analyze_submissions(submissions: DataFrame, limit: int | None = None, empty_code_is_absent: bool = True) -> DataFrame:
     """``code``, ``content`` and ``filename`` give way to status, detail, language, verdict, error and file name.
 
     A table read from files has ``n_bytes`` too, which stands for bytes that weren't read. If the checker itself
-    fails on a row, that row has status 500 and no verdict.
+    fails on a row, that row has status 500 and no verdict. Without a ``limit`` that of the settings holds.
     """
+    limit = Settings.load().max_upload_bytes if limit is None else limit
     unread = F.col("content").isNull() & (F.coalesce(F.col("n_bytes"), F.lit(0)) > limit) if "n_bytes" in submissions.columns else F.lit(False)
     if "code" not in submissions.columns:
         submissions = submissions.withColumn("code", F.lit(None).cast("string"))

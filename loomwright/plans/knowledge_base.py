@@ -7,11 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomwright.config import configure_logging
-from loomwright.functions.chunking import CHUNK_OVERLAP, CHUNK_SIZE
+from loomwright.config import Settings, configure_logging
 from loomwright.operators.chunk import chunk_documents
 from loomwright.operators.embed import Encoder, index_chunks
-from loomwright.sources.collection import DEFAULT_COLLECTION, write_collection
+from loomwright.sources.collection import DEFAULT_COLLECTION, unique_chunks, write_collection
 
 
 @dataclass(frozen=True)
@@ -25,15 +24,21 @@ def count_by_extension(documents: DataFrame) -> DataFrame:
     return documents.groupBy(extension.alias("extension")).agg(F.count("*").alias("documents"))
 
 
-def build_knowledge_base(documents: DataFrame, path: str, encoder: Encoder, collection: str = DEFAULT_COLLECTION, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Built:
-    """Chunk, encode and write; the counts come with the write, at no further pass. Without documents nothing is touched."""
-    log = configure_logging()
+def build_knowledge_base(documents: DataFrame, path: str, encoder: Encoder, collection: str = DEFAULT_COLLECTION, size: int | None = None, overlap: int | None = None) -> Built:
+    """Chunk, encode and write; the counts come with the write, at no further pass. Without documents nothing is touched.
+
+    Size and overlap are those of the settings, unless given.
+    """
+    settings = Settings.load()
+    size, overlap = settings.chunk_size if size is None else size, settings.chunk_overlap if overlap is None else overlap
+    log = configure_logging(settings)
     if documents.isEmpty():
         log.error("no documents to index; the collection stays as it is")
         return Built(0, 0)
     loaded, cut = Observation("documents"), Observation("chunks")
     chunks = chunk_documents(documents.observe(loaded, F.count(F.lit(1)).alias("n")), size, overlap)
-    write_collection(index_chunks(chunks.observe(cut, F.count(F.lit(1)).alias("n")), encoder, collection), path)
+    unique = unique_chunks(chunks).observe(cut, F.count(F.lit(1)).alias("n"))
+    write_collection(index_chunks(unique, encoder, collection), path)
     built = Built(int(loaded.get["n"]), int(cut.get["n"]))
     log.info("indexed %d chunks of %d documents in %s", built.chunks, built.documents, collection)
     return built

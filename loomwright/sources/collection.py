@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 DEFAULT_COLLECTION = "knowledge_base"
 
 
+def unique_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks of equal id once, to be used before they are encoded: neither vectors nor repeated work are spent on copies."""
+    return chunks.dropDuplicates(["chunk_id"])
+
+
 def write_collection(indexed: DataFrame, path: str) -> None:
-    """``indexed`` names its ``collection`` in a column. Rows of equal id are written once."""
-    indexed.dropDuplicates(["collection", "chunk_id"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+    """``indexed`` names its ``collection`` in a column, and has each ``chunk_id`` once (see ``unique_chunks``)."""
+    indexed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
 
 
 def read_collection(spark: SparkSession, path: str, collection: str = DEFAULT_COLLECTION) -> DataFrame:

@@ -1,65 +1,162 @@
-"""Directories of submissions and of documents, and tables that hold either."""
+"""Directories of submissions and of documents, and tables that hold either.
+
+Files are listed and read in the executors: one task lists the root, its folders are then listed by as many tasks as
+there are partitions, and the files found are dealt out anew to be read. No name goes through the driver, and names are
+plain text throughout, never URI-encoded. Files of no bytes, and those whose names begin with ``_`` or ``.``, which
+Spark's own file readers leave out, are files like others.
+"""
 
 from __future__ import annotations
 
+import fnmatch
+import posixpath
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright import schemas
-from loomwright.functions.admission import MAX_UPLOAD_BYTES
+from loomwright.config import Settings
 
 Loader = Callable[[SparkSession, str, str], DataFrame]
 
+_BATCH_BYTES = 16 << 20
+_FOUND = "path string, is_folder boolean, n_bytes long"
+_READ = "path string, content binary, n_bytes long"
+
 
 class DocumentsNotFound(FileNotFoundError):
     pass
 
 
-def require_directory(spark: SparkSession, path: str) -> None:
+def require_directory(spark: SparkSession, path: str) -> str:
+    """The directory's full URI."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+    files = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(jpath):
         raise DocumentsNotFound(f"Documents directory not found: {path}")
+    return files.makeQualified(jpath).toString().rstrip("/")
+
+
+def file_name(path: Column) -> Column:
+    """The last part of a plain path."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, and the plain path in it. Local ones are taken as they are, whatever signs they hold."""
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    scheme, _, rest = uri.partition("://")
+    host, _, path = rest.partition("/")
+    store, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return store, posixpath.join(base, path)
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path``, ``n_bytes`` of every file under a directory, at any depth, whose name fits the pattern."""
+    root = require_directory(spark, path)
+    inside = open_store(root)[1].rstrip("/")
+    names, kinds = ("path", "is_folder", "n_bytes"), (pa.string(), pa.bool_(), pa.int64())
+
+    def look(folder: str, deep: bool) -> Iterator[tuple]:
+        store, base = open_store(folder)
+        for f in store.get_file_info(fs.FileSelector(base, recursive=deep)):
+            uri = root + f.path[len(inside) :]
+            if f.type == fs.FileType.Directory:
+                if not deep:
+                    yield uri, True, None
+            elif fnmatch.fnmatchcase(posixpath.basename(f.path), pattern):
+                yield uri, False, f.size
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                yield _batch(list(look(folder, False)), names, kinds)
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folder = batch.column(1)
+            yield batch.filter(pc.invert(folder))
+            for name in batch.filter(folder).column(0).to_pylist():
+                yield _batch(list(look(name, True)), names, kinds)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = spark.createDataFrame([(root,)], "path string").mapInArrow(top, _FOUND)
+    return first.repartition(tasks, "path").mapInArrow(below, _FOUND).repartition(tasks, "path").select("path", "n_bytes")
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*", limit: int | None = None) -> DataFrame:
+    """``path``, ``content``, ``n_bytes`` of the files under a directory; content is null, and isn't read, above ``limit`` bytes."""
+    names, kinds = ("path", "content", "n_bytes"), (pa.string(), pa.binary(), pa.int64())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = None
+                if limit is None or size <= limit:
+                    store, at = open_store(name)
+                    with store.open_input_stream(at) as file:
+                        data = file.read()
+                rows.append((name, data, size))
+                held += len(data or b"")
+                if held >= _BATCH_BYTES:
+                    yield _batch(rows, names, kinds)
+                    rows, held = [], 0
+            yield _batch(rows, names, kinds)
+
+    return list_files(spark, path, pattern).mapInArrow(read, _READ)
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Each row's ``content`` as a file ``name`` (with folders, if it has them) under a directory that all executors see.
+
+    A task that runs again writes the same files again. Rows of equal name leave one file; a null name or content makes none.
+    """
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(path)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name is not None and data is not None:
+                    at = posixpath.join(base, name)
+                    store.create_dir(posixpath.dirname(at), recursive=True)
+                    with store.open_output_stream(at) as out:
+                        out.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-def _file_name(path: Column) -> Column:
-    return F.url_decode(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\+", "%2B"))
-
-
-def _binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    rows.select(F.col("name").cast("string"), F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
-def read_submissions(spark: SparkSession, path: str, limit: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """Uploads from a directory: ``path``, ``filename``, ``content``, ``n_bytes``.
+def read_submissions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Uploads from a directory: ``path``, ``content``, ``n_bytes``, ``filename``.
 
-    The size filter reaches the scan, so files above the limit are listed but their bytes are never read:
-    their content is null, and ``n_bytes`` tells why. Files of no bytes, which the scan leaves out, are added from
-    the listing.
+    Files above the limit (the settings' ``max_upload_bytes``, unless given) are listed but never read: their content
+    is null, and ``n_bytes`` tells why.
     """
-    require_directory(spark, path)
-    files = _binary(spark, path)
-    read = files.where(F.col("length") <= limit).select("path", "content", F.col("length").alias("n_bytes"))
-    large = files.where(F.col("length") > limit).select("path", F.lit(None).cast("binary").alias("content"), F.col("length").alias("n_bytes"))
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
-    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    empty = listed.join(files.select(plain(F.col("path")).alias("_seen")), plain(F.col("path")) == F.col("_seen"), "left_anti").select("path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("n_bytes"))
-    return reduce(DataFrame.unionByName, (read, large, empty)).withColumn("filename", _file_name(F.col("path")))
+    limit = Settings.load().max_upload_bytes if limit is None else limit
+    return read_files(spark, path, limit=limit).withColumn("filename", file_name(F.col("path")))
 
 
 def _text_loader(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """A document for each file; line ends of any kind become single line feeds."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    source = F.col("_metadata.file_path")
-    return rows.select(
-        source.alias("source"),
+    return read_files(spark, path, glob).select(
+        F.col("path").alias("source"),
         F.lit(None).cast("int").alias("page"),
-        F.regexp_replace("value", r"\r\n?", "\n").alias("text"),
-        F.create_map(F.lit("source"), source).alias("metadata"),
+        F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n?", "\n").alias("text"),
+        F.create_map(F.lit("source"), "path").alias("metadata"),
     )
 
 
@@ -80,7 +177,7 @@ def pdf_loader(pages: Callable[[bytes], list[str]] = pdf_pages) -> Loader:
                 rows = [(p, k, text) for p, c in zip(files["path"], files["content"], strict=True) for k, text in enumerate(pages(bytes(c)))]
                 yield pd.DataFrame(rows, columns=["source", "page", "text"]).astype({"page": "int32"})
 
-        found = _binary(spark, path, glob).select("path", "content").mapInPandas(explode, "source string, page int, text string")
+        found = read_files(spark, path, glob).select("path", "content").mapInPandas(explode, "source string, page int, text string")
         return found.withColumn("metadata", F.create_map(F.lit("source"), "source", F.lit("page"), F.col("page").cast("string")))
 
     return load
@@ -93,14 +190,10 @@ def register_loader(extension: str, loader: Loader) -> None:
     LOADERS[extension] = loader
 
 
-def _has_files(spark: SparkSession, path: str, glob: str) -> bool:
-    return bool(_binary(spark, path, glob).inputFiles())
-
-
 def read_documents(spark: SparkSession, path: str, loaders: dict[str, Loader] | None = None) -> DataFrame:
     """The documents under a directory, all registered extensions together (duplicates kept, no order). Other files are passed over."""
     require_directory(spark, path)
-    parts = [load(spark, path, f"*{ext}") for ext, load in (LOADERS if loaders is None else loaders).items() if _has_files(spark, path, f"*{ext}")]
+    parts = [load(spark, path, f"*{ext}") for ext, load in (LOADERS if loaders is None else loaders).items()]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.DOCUMENT)
 
 

@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomwright.functions.admission import MAX_UPLOAD_BYTES
 from loomwright.plans.intake import analyze_submissions
+from loomwright.sources.files import file_name
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stream_submissions(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """New files as uploads. The source leaves out files of no bytes, which the batch reader adds."""
+    """New files as uploads, named as the batch reader names them.
+
+    Spark's file stream keeps what it has seen; it passes over files of no bytes and those whose names begin with ``_``
+    or ``.``, which the batch reader has.
+    """
     files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(path)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content", F.col("length").alias("n_bytes"))
+    return files.select("path", file_name(F.col("path")).alias("filename"), "content", F.col("length").alias("n_bytes"))
 
 
-def stream_responses(submissions: DataFrame, out: str, checkpoint: str, limit: int = MAX_UPLOAD_BYTES, once: bool = True) -> StreamingQuery:
+def stream_responses(submissions: DataFrame, out: str, checkpoint: str, limit: int | None = None, once: bool = True) -> StreamingQuery:
     """Write responses as JSON files; ``once`` works off what is there and ends."""
     writer = analyze_submissions(submissions, limit).writeStream.format("json").option("ignoreNullFields", "false").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

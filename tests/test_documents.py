@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomwright import config, sql
 from loomwright.functions.chunking import split_text
-from loomwright.functions.vectors import normalise, top_k_cosine
+from loomwright.functions.vectors import normalise
 from loomwright.operators.chunk import chunk_documents
 from loomwright.operators.embed import EncoderMismatch, check_encoder, hashing_encoder, index_chunks
+from loomwright.operators.search import search, top_k_cosine
+from loomwright.plans.chunk_oracle import chunk_rows
 from loomwright.plans.intake import analyze_submissions
 from loomwright.plans.knowledge_base import Built, build_knowledge_base, count_by_extension
 from loomwright.sources import files
@@ -103,7 +107,7 @@ def test_sources(spark, tmp_path):
     (root / "x.pdf").write_bytes(b"p1|p2")
     loaders = files.LOADERS | {".pdf": files.pdf_loader(lambda data: data.decode().split("|"))}
     got = sorted((r["source"].rsplit("/", 1)[1], r["page"], r["text"]) for r in files.read_documents(spark, str(root), loaders).collect())
-    assert got == [("a.md", None, "one\ntwo\nthree"), ("b%20c+d.txt", None, "text"), ("x.pdf", 0, "p1"), ("x.pdf", 1, "p2")]
+    assert got == [("a.md", None, "one\ntwo\nthree"), ("b c+d.txt", None, "text"), ("x.pdf", 0, "p1"), ("x.pdf", 1, "p2")]
     (tmp_path / "none").mkdir()
     assert files.read_documents(spark, str(tmp_path / "none")).isEmpty()
     with pytest.raises(FileNotFoundError, match="Documents directory not found"):
@@ -122,6 +126,80 @@ def test_submission_files_and_stream(spark, tmp_path):
     assert rows == {"a.py": 200, "big.py": 413, "bad.java": 200}
 
 
+ODD = ["a b.py", "100%.py", "x%20y.py", "c+d.java", "#n.py", "é日.py", "__init__.py", ".hidden.py", "?q=1&r.py"]
+
+
+def test_odd_names_are_listed_once_and_plain(spark, tmp_path):
+    root = tmp_path / "odd dir+%41"
+    (root / "deep er" / "empty").mkdir(parents=True)
+    for k, name in enumerate(ODD):
+        (root / name).write_bytes(b"x = 1\n" * k)  # the first is empty
+        (root / "deep er" / name).write_bytes(b"y = 1\n")
+    got = files.read_submissions(spark, str(root)).collect()
+    assert sorted((r["filename"], r["n_bytes"], len(r["content"])) for r in got) == sorted([(n, 6 * k, 6 * k) for k, n in enumerate(ODD)] + [(n, 6, 6) for n in ODD])
+    assert len({r["path"] for r in got}) == 2 * len(ODD)
+    plan = files.read_submissions(spark, str(root))._jdf.queryExecution().toString()
+    assert not any(n in plan for n in ODD)  # names don't go through the driver
+    (tmp_path / "none").mkdir()
+    assert files.read_submissions(spark, str(tmp_path / "none")).count() == 0
+    stream_responses(stream_submissions(spark, str(root)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    streamed = {r["filename"] for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert streamed == {n for n in ODD if n[0] not in "._"}
+
+
+def test_files_written_and_read(spark, tmp_path):
+    rows = [("d/a b.txt", "one"), ("e%.txt", ""), (None, "x"), ("f.txt", None), ("f2.md", "\r\nz")]
+    files.write_files(spark.createDataFrame(rows, "name string, content string"), str(tmp_path / "w"))
+    got = {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in files.read_files(spark, str(tmp_path / "w")).collect()}
+    assert got == {"a b.txt": b"one", "e%.txt": b"", "f2.md": b"\r\nz"}
+    assert {(r["source"].rsplit("/", 1)[1], r["text"]) for r in files.read_documents(spark, str(tmp_path / "w")).collect()} == {("a b.txt", "one"), ("e%.txt", ""), ("f2.md", "\nz")}
+
+
+def test_an_index_is_searched_with_its_own_encoder(spark):
+    enc = hashing_encoder(32)
+    index = index_chunks(chunk_documents(documents(spark, [("a", None, "red apples"), ("b", None, "blue sky")])), enc, "c")
+    assert search(index, "apples that are red", enc, 1).first()["similarity"] > 0
+    for other in (None, hashing_encoder(16)):
+        with pytest.raises(EncoderMismatch):
+            top_k_cosine(index, [0.0] * 32, 1, "chunk_id", encoder=other)
+    with pytest.raises(EncoderMismatch):
+        search(index, "apples", hashing_encoder(16), 1)
+
+
+def test_settings_act(spark, tmp_path, monkeypatch):
+    docs = documents(spark, [("a.md", None, "word " * 600)])
+    monkeypatch.setenv("LOOMWRIGHT_CHUNK_SIZE", "300")
+    monkeypatch.setenv("LOOMWRIGHT_CHUNK_OVERLAP", "0")
+    monkeypatch.setenv("LOOMWRIGHT_MAX_UPLOAD_BYTES", "4")
+    build_knowledge_base(docs, str(tmp_path / "kb"), hashing_encoder(4), "c")
+    sizes = [len(r["text"]) for r in read_collection(spark, str(tmp_path / "kb"), "c").collect()]
+    assert len(sizes) == 10 and max(sizes) <= 300
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.py").write_bytes(b"x = 1")
+    assert [r["status"] for r in analyze_submissions(files.read_submissions(spark, str(tmp_path / "in"))).collect()] == [413]
+
+
+def test_logs_go_to_stdout(capsys):
+    logging.getLogger("loomwright").handlers.clear()
+    config.configure_logging().info("a line")
+    logging.getLogger("loomwright").handlers.clear()
+    assert "a line" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(20, 0), (20, 5), (50, 19), (200, 20), (200, 200)])
+def test_chunks_equal_their_statement_in_sql(size, overlap):
+    rng = random.Random(size + overlap)
+    parts = ["word ", "a", ". ", "\n", "\n\n", "\n## t", "\n### u", "é😀", "\u2003", "x" * 70, "\n\n\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 120))) for _ in range(150)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE r (id INT, t VARCHAR)")
+    con.executemany("INSERT INTO r VALUES (?, ?)", list(enumerate(texts)))
+    got: dict = {}
+    for k, _, chunk in con.execute(f"WITH RECURSIVE {chunk_rows('SELECT id, t FROM r', size, overlap)} SELECT * FROM chunks ORDER BY id, chunk_index").fetchall():
+        got.setdefault(k, []).append(chunk)
+    assert [got.get(k, []) for k in range(len(texts))] == [split_text(t, size, overlap) for t in texts]
+
+
 def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql("SELECT detect_language('import x', 'A.JAVA') AS a, detect_language('import x', NULL) AS b, validate_syntax('def f(:', 'python') AS v, size(chunk_array('abc')) AS n").first()
