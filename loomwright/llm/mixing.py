@@ -4,14 +4,16 @@ Each source gets a target of words. Whole epochs of it come first; of the words
 the order of their keys, -ln(u) / quality, until the budget is full; the last one is taken in part. u comes from a
 hash of the row, so a rerun takes the same words.
 
-The order within a source is never sorted as a whole. Keys fall into ``BINS`` bins whose words are summed; the bin
-in which the budget runs out is found from these sums, split into bins again, and only what lies in its last bin
-(of 2 ** 18, for the defaults) is ranked row by row. What a task gets per source is the bins, so a source with a
-third of all rows costs no more than another.
+The order within a source is never sorted as a whole. Keys are read as numbers of 63 bits and fall into ``2 ** STEP``
+bins by their first bits, whose words are summed; the bin in which the budget runs out is found from these sums and
+split by the next bits, until it holds at most ``EDGE`` rows of a source (rows of one key are one, however many). Only
+these are ranked, which gives the one key per source at which the budget ends. What is joined to the documents is a row
+for each source: Spark broadcasts it where its size allows, and then no text is moved.
 
 Cases: a null text has size 0, as an empty one, and nothing is taken of it; a null source is a source like another
-and comes last; sources of size 0 have target 0; ties of key are broken by id, so equal rows are taken one by one;
-null ids stay null; an empty table gives no rows; further columns are ignored.
+and comes last; sources of size 0 have target 0; ties of key are broken by the hash of the row; rows equal in id,
+source and text follow one another, and any of them may be the one taken in part; null ids stay null; an empty table
+gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,105 +22,153 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import WORD, materialise, n_words
+from loomwright.llm.common import WORD, fresh, materialise, n_words
 
 # The weights of the sources in their order, and the share of all words that the mix holds.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: No target is above so many times its source's words.
 EPOCHS = 2.0
-BINS = 512
-KEYS = ("_mix_id", "_mix_source", "_mix_size", "_mix_place", "_mix_own")
+#: Least quality weight of a document.
+LEAST = 0.05
+#: Bits of a key that a round looks at, and rows of a source that are ranked one by one.
+STEP, EDGE = 9, 1000
+#: Equal rows in a task that ranks them.
+COPIES = 100_000
+_BITS = 63
+KEYS = ("id", "source", "size", "key", "own")
 
 
 def quality(text: Column) -> Column:
     """Weight of a document, 0.05 to 1: falls with the share of symbols in its text."""
     signs = F.regexp_count(text, F.lit(r"[#*$%&|<>!]"))
-    return F.greatest(F.lit(0.05), 1 - 4 * F.coalesce(signs / F.greatest(F.length(text), F.lit(1)), F.lit(0.0)))
+    return F.greatest(F.lit(LEAST), 1 - 4 * F.coalesce(signs / F.greatest(F.length(text), F.lit(1)), F.lit(0.0)))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ``KEYS``: id, source, size, place of the sampling key in [0, 1), hash of the row."""
-    text = F.col("text").cast("string")
-    own = F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), text)
-    u = (F.shiftrightunsigned(F.xxhash64(own, F.lit(977)), 11) + 0.5) / float(1 << 53)
-    # 1 - u ** (1 / w) grows with -ln(u) / w, and stays in (0, 1).
-    place = F.least(F.greatest(1 - F.exp(F.log(u) / quality(text)), F.lit(0.0)), F.lit(1 - 1e-12))
-    return docs.withColumns(dict(zip(KEYS, (F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(text), place, own), strict=True)))
+def uniform(own: Column) -> Column:
+    """A number in (0, 1] from a row's hash, one of 2 ** 53."""
+    return (F.shiftrightunsigned(F.xxhash64(own, F.lit(977)), 11) + 0.5) / float(1 << 53)
 
 
-def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
-    """``source``, ``source_size`` and ``target`` from the rows of ``keyed``.
-
-    A target is min(epochs * size, t * weight) for the one t at which they sum to the budget: sources whose
-    epochs * size / weight is below t are full, and t follows from the rest. Sorted by that ratio, the full ones
-    are a prefix.
-    """
-    total = rows.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("_mix_size").alias("source_size"))
-    # Rank and running sums over the sources (not over rows) need one task each.
-    rank = W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    weighed = total.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(rank) - 1) % len(weights) + 1).cast("int"))).withColumn("most", epochs * F.col("source_size"))
-    ratio = W.partitionBy(F.lit(0)).orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = W.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("most").over(ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    heavier = F.sum("weight").over(ratio.rowsBetween(W.currentRow, W.unboundedFollowing))
-    budget = F.sum(share * F.col("source_size")).over(everything)
-    stepped = weighed.withColumn("level", (budget - before) / heavier)
-    # The level of the first source that isn't full at it; those after it have lower ones.
-    level = F.max(F.when(F.col("most") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything)
-    return stepped.select("source", "source_size", F.least(F.col("most"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
-
-
-def _bin(depth: int) -> Column:
-    return F.floor(F.col("_mix_place") * float(BINS**depth)).cast("long")
-
+def key_columns() -> dict[str, Column]:
+    """The columns of ``KEYS``: id, source, size in words, sampling key, hash of the row."""
+    text, doc_id, source = F.col("text").cast("string"), F.col("doc_id"), F.col("source").cast("string")
+    own = F.xxhash64(doc_id.cast("string"), source, text)
+    return dict(zip(KEYS, (doc_id.cast("long"), source, n_words(text), -F.log(uniform(own)) / quality(text), own), strict=True))
 
-def _same(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
-    """Join rows with one that has a row for each source. Spark broadcasts it where its size allows, and else splits skewed tasks."""
-    return rows.join(sources.withColumnRenamed("source", "_mix_key"), F.col("_mix_source").eqNullSafe(F.col("_mix_key")), how).drop("_mix_key")
 
+def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """``source``, ``source_size`` and ``target`` from rows with ``source`` and ``size``, written once.
 
-def _cut(rows: DataFrame, budgets: DataFrame, depth: int) -> DataFrame:
-    """For each ``source``, the bin in which its budget ``left`` runs out, and what is left when that bin begins."""
-    sums = rows.groupBy("_mix_source", _bin(depth).alias("bin")).agg(F.sum("_mix_size").alias("words"))
-    upto = F.sum("words").over(W.partitionBy("_mix_source").orderBy("bin"))
-    found = _same(sums.withColumn("upto", upto), budgets).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
-    first = F.min(F.struct("bin", (F.col("left") - (F.col("upto") - F.col("words"))).alias("left")))
-    return found.groupBy(F.col("_mix_source").alias("source")).agg(first.alias("x")).select("source", "x.bin", "x.left")
+    A target is min(epochs * size, t * weight) for the one t at which they sum to the budget. t rises from the level
+    at which no source is full: sources that are full at it leave the rest of the budget to the others, until none
+    becomes full. Sources are numbered by a sort over ranges and the counts of these, so any number of them will do.
+    """
+    total = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    ranged = total.withColumn("none", F.col("source").isNull()).repartitionByRange("none", "source").withColumn("part", F.spark_partition_id())
+    ranged = materialise(ranged, "mix-sources")
+    before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    place = F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("none", "source")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    weighed = materialise(ranged.join(F.broadcast(parts), "part").select("source", "source_size", weight.alias("weight"), (epochs * F.col("source_size")).alias("most")), "mix-weights")  # as many rows as partitions
+    budget = weighed.agg(F.sum(share * F.col("source_size"))).first()[0] or 0.0
+    level, full = 0.0, -1
+    while True:
+        is_full = level * F.col("weight") >= F.col("most")
+        row = weighed.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("most"))), F.sum(F.when(~is_full, F.col("weight")))).first()
+        if row[0] <= full or not row[2]:
+            break
+        full, level = row[0], (budget - (row[1] or 0.0)) / row[2]
+    aim = F.when(is_full, F.col("most")).otherwise(F.least(F.col("most"), F.lit(level) * F.col("weight")))
+    return weighed.select("source", "source_size", aim.alias("target"))
+
+
+def _same(rows: DataFrame, source: str, sources: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows with a table that has a row for each ``source``. Spark broadcasts it where its size allows, and else splits skewed tasks."""
+    (own,) = fresh(rows, "_mix_of")
+    return rows.join(sources.withColumnRenamed("source", own), F.col(source).eqNullSafe(F.col(own)), how).drop(own)
+
+
+def _edges(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    """The row at which a source's budget ``left`` runs out: ``source``, ``edge_key``, ``edge_own``, ``copies`` of it, how many of these are taken ``whole``, and ``part`` of the next.
+
+    Sources whose rows all fit have none. ``rows`` are written narrow ones with ``place``, the key as a number.
+    """
+    bits = lambda n: F.shiftright("place", _BITS - n)
+    state = budgets.select("source", F.lit(0).cast("long").alias("bin"), "left")
+    for done in range(0, _BITS, STEP):
+        inside = _same(rows, "source", state).where(bits(done) == F.col("bin"))
+        sums = inside.groupBy("source", bits(done + STEP).alias("next")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.first("left").alias("left"))
+        upto = F.sum("words").over(W.partitionBy("source").orderBy("next"))  # of at most 2 ** STEP rows
+        found = sums.withColumn("before", upto - F.col("words")).where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left")))
+        state = materialise(found.select("source", F.col("next").alias("bin"), (F.col("left") - F.col("before")).alias("left"), "rows"), "mix-bins")
+        if (state.agg(F.max("rows")).first()[0] or 0) <= EDGE:
+            break
+    last = _same(rows, "source", state.drop("rows")).where(bits(done + STEP) == F.col("bin"))
+    equal = last.groupBy("source", "key", "own").agg(F.max("size").alias("size"), F.count("*").alias("copies"), F.first("left").alias("left"))
+    order = W.partitionBy("source").orderBy("key", "own").rowsBetween(W.unboundedPreceding, -1)
+    ranked = equal.withColumn("room", F.col("left") - F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order), F.lit(0)))
+    at = ranked.where((F.col("room") >= 0) & (F.col("room") < F.col("size") * F.col("copies")))
+    return at.select("source", F.col("key").alias("edge_key"), F.col("own").alias("edge_own"), "copies", F.floor(F.col("room") / F.col("size")).alias("whole"), (F.col("room") % F.col("size")).alias("part"))
+
+
+def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """A row for each source: its size and target, how many whole epochs are taken, and where the rest of the budget ends."""
+    aims = targets(rows, weights, share, epochs)
+    times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    aims = aims.withColumn("times", times).withColumn("left", F.round(F.col("target") - F.col("times") * F.col("source_size")).cast("long"))
+    aims = materialise(aims, "mix-targets")
+    return materialise(_same(aims.drop("left"), "source", _edges(rows, aims.select("source", "left")), "left"), "mix-plan")
 
 
-def take(rows: DataFrame, aims: DataFrame, narrow: DataFrame) -> DataFrame:
-    """``rows`` with ``_mix_source_size``, ``_mix_target`` and ``_mix_taken``, the words that the mix has of each.
+def _ranked(rows: DataFrame, source: str, copies: str) -> tuple[DataFrame, str]:
+    """``rows``, equal ones of each source, numbered from 0, and the name of the number; ``copies`` says how many there are.
 
-    ``narrow`` holds the ``KEYS`` of the same rows and serves for the sums. What is joined to ``rows`` has a row for
-    each source, so wide rows aren't shuffled.
+    They are dealt over tasks of about ``COPIES`` rows, written, and numbered from the counts of these.
     """
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    aims = aims.withColumn("epochs", epochs).withColumn("left", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    aims = materialise(aims, "mix-targets")
-    coarse = materialise(_cut(narrow, aims.select("source", "left"), 1), "mix-bins")
-    inside = _same(narrow, coarse.select("source", "bin")).where(_bin(1) == F.col("bin")).drop("bin")
-    fine = _cut(inside, coarse.select("source", "left"), 2).select("source", F.col("bin").alias("_mix_last"), F.col("left").alias("_mix_left"))
-    plan = aims.join(fine.withColumnRenamed("source", "_mix_key"), F.col("source").eqNullSafe(F.col("_mix_key")), "left").drop("_mix_key")
-    plan = materialise(plan.select("source", F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("epochs").alias("_mix_epochs"), (F.col("left") > 0).alias("_mix_some"), "_mix_last", "_mix_left"), "mix-plan")
-    rows = _same(rows, plan)
-    at_edge = F.coalesce(_bin(2) == F.col("_mix_last"), F.lit(False))
-    # A source without a last bin has a budget for all its rows, or for none.
-    all_in = F.when(F.col("_mix_last").isNull(), F.col("_mix_some")).otherwise(_bin(2) < F.col("_mix_last"))
-    whole = rows.where(~at_edge).withColumn("_mix_extra", F.when(all_in, F.col("_mix_size")).otherwise(0))
-    order = W.partitionBy("_mix_source").orderBy("_mix_place", F.col("_mix_id").asc_nulls_last(), "_mix_own").rowsBetween(W.unboundedPreceding, -1)
-    room = F.col("_mix_left") - F.coalesce(F.sum("_mix_size").over(order), F.lit(0))
-    edge = rows.where(at_edge).withColumn("_mix_extra", F.greatest(F.lit(0), F.least(F.col("_mix_size"), room)))
-    both = whole.unionByName(edge).withColumn("_mix_taken", (F.col("_mix_epochs") * F.col("_mix_size") + F.col("_mix_extra")).cast("long"))
-    return both.drop("_mix_epochs", "_mix_some", "_mix_last", "_mix_left", "_mix_extra")
+    deal, rank, before = fresh(rows, "_mix_deal", "_mix_rank", "_mix_before")
+    dealt = rows.withColumn(deal, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col(copies) / COPIES)))
+    dealt = materialise(dealt, "mix-equal")
+    counts = dealt.groupBy(F.col(source).alias("source"), F.col(deal).alias("deal")).agg(F.count("*").alias("n"))
+    counts = counts.select("source", "deal", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("deal").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    of, which = fresh(dealt, "_mix_of", "_mix_which")
+    joined = dealt.join(counts.toDF(of, which, before), F.col(source).eqNullSafe(F.col(of)) & (F.col(deal) == F.col(which))).drop(of, which)
+    number = F.row_number().over(W.partitionBy(source, deal).orderBy(deal)) - 1
+    return joined.withColumn(rank, F.col(before) + number).drop(deal, before), rank
+
+
+def take(rows: DataFrame, own: dict[str, str], found: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``rows`` with their source's size and target and the words ``taken`` of each; ``own`` names their columns of ``KEYS``, the other names are given back."""
+    kept = dict(zip(found.columns[1:], fresh(rows, *(f"_mix_{c}" for c in found.columns[1:])), strict=True))
+    out = {"taken": fresh(rows, "_mix_taken")[0]}
+    joined = _same(rows, own["source"], found.toDF("source", *kept.values()))
+    c = {k: F.col(v) for k, v in (own | kept).items()}
+    at_edge = F.coalesce((c["key"] == c["edge_key"]) & (c["own"] == c["edge_own"]), F.lit(False))
+    ahead = (c["key"] < c["edge_key"]) | (c["key"] == c["edge_key"]) & (c["own"] < c["edge_own"])
+    extra = F.when(c["edge_key"].isNull() | ahead, c["size"]).when(at_edge, c["part"]).otherwise(0)
+    total = lambda more: (c["times"] * c["size"] + more).cast("long")
+    several = at_edge & (c["copies"] > 1)
+    if found.where("copies > 1").isEmpty():
+        done = joined.withColumn(out["taken"], total(extra))
+    else:
+        ranked, rank = _ranked(joined.where(several), own["source"], kept["copies"])
+        more = F.when(F.col(rank) < c["whole"], c["size"]).when(F.col(rank) == c["whole"], c["part"]).otherwise(0)
+        done = joined.where(~several).withColumn(out["taken"], total(extra)).unionByName(ranked.withColumn(out["taken"], total(more)).drop(rank))
+    return done, own | kept | out
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    """The keys of the rows, written: the texts are read once for all that looks for the budgets' ends."""
+    rows = docs.select(*[c.alias(n) for n, c in key_columns().items()])
+    return materialise(rows.withColumn("place", (F.col("key") * float(1 << 53)).cast("long")), "mix-rows")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """``doc_id``, ``size``, its source's ``source_size`` and ``target``, and the words ``taken``."""
-    rows = materialise(keyed(docs).select(*KEYS), "mix-rows")  # narrow: the texts are read once
-    return take(rows, targets(rows, weights, share, epochs), rows).select(
-        F.col("_mix_id").alias("doc_id"), F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken")
-    )
+    rows = _narrow(docs)
+    done, name = take(rows, {k: k for k in KEYS}, plan(rows, weights, share, epochs))
+    return done.select(F.col("id").alias("doc_id"), "size", *[F.col(name[k]).alias(k) for k in ("source_size", "target", "taken")])
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -131,14 +181,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     ``n_chars``, where there is one, follows the text.
     """
-    rows = keyed(docs)
-    narrow = materialise(rows.select(*KEYS), "mix-rows")
-    found = take(rows, targets(narrow, weights, share, epochs), narrow).where("_mix_taken > 0")
-    text, size, taken = F.col("text").cast("string"), F.col("_mix_size"), F.col("_mix_taken")
+    own = dict(zip(KEYS, fresh(docs, *(f"_mix_{k}" for k in KEYS)), strict=True))
+    found = plan(_narrow(docs), weights, share, epochs)
+    done, name = take(docs.withColumns({own[k]: c for k, c in key_columns().items()}), own, found)
+    text, size, taken = F.col("text").cast("string"), F.col(name["size"]), F.col(name["taken"])
     whole = F.floor(taken / size).cast("int")
     part = (taken % size).cast("int")
     cut = F.when(part > 0, F.array(first_words(text, part))).otherwise(F.array().cast("array<string>"))
-    out = found.withColumn("text", F.explode(F.concat(F.array_repeat(text, whole), cut)))
+    out = done.where(taken > 0).withColumn("text", F.explode(F.concat(F.array_repeat(text, whole), cut)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -388,6 +389,67 @@ def test_mix_meets_targets(spark):
     assert {r["source"]: r["n"] for r in words} == taken
 
 
+def brute_mix(rows, uniform, weights=(5, 2, 1), share=1.5, epochs=2.0):
+    """Words taken of each row (id, text, source, hash), source by source in the order of the keys."""
+    sizes: dict = {}
+    for _, t, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
+    want = brute_targets(sizes, weights, share, epochs)
+    out = []
+    for source, size in sizes.items():
+        times = int(want[source] // size) if size else 0
+        left = math.floor(want[source] - times * size + 0.5)
+
+        def key(k, source=source):
+            _, t, _, own = rows[k]
+            signs = sum(c in "#*$%&|<>!" for c in t or "")
+            return -math.log(uniform[k]) / max(0.05, 1 - 4 * signs / max(1, len(t or ""))), own
+
+        for k in sorted((k for k, r in enumerate(rows) if r[2] == source), key=key):
+            n = len(WORD.findall(rows[k][1] or ""))
+            out.append((rows[k][0], n, times * n + min(n, left)))
+            left -= min(n, left)
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("edge", "symbols", "copies"), [(1000, 0.3, 0), (5, 0.3, 0), (5, 1.0, 0), (5, 0.5, 400), (1, 0.0, 400)])
+def test_the_order_of_taking_is_that_of_the_keys(spark, monkeypatch, edge, symbols, copies):
+    """Row by row as by brute force, documents of the least weight and many equal rows included."""
+    monkeypatch.setattr(mixing, "EDGE", edge)
+    monkeypatch.setattr(mixing, "COPIES", 50)
+    rng = random.Random(edge)
+    texts = [" ".join(rng.choice(["####", "$%&"] if rng.random() < symbols else ["word", "two"]) for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    rows = [(i, t, "low" if i % 2 else rng.choice(["b", "c", None]), -1, "y") for i, t in enumerate(texts)] + [(None, "the same row again", "low", -1, "y")] * copies
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_size long, _mix_taken string").repartition(5)
+    keys = {(r["id"], r["source"]): (r["own"], r["u"], r["key"]) for r in df.select(*[c.alias(n) for n, c in mixing.key_columns().items()]).withColumn("u", mixing.uniform(F.col("own"))).collect()}
+    assert len({k for _, _, k in keys.values()}) == len(keys)  # no ties among different rows
+    plain = [(i, t, s, keys[i, s][0]) for i, t, s, *_ in rows]
+    for share in (1.5, 0.45, 1.0):
+        got = sorted(((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(df, share=share).collect()), key=str)
+        assert got == brute_mix(plain, [keys[i, s][1] for i, _, s, _ in plain], share=share)
+        documents = mixing.mixed_documents(df, share=share)
+        assert documents.columns == df.columns and documents.where("_mix_size != -1 or _mix_taken != 'y'").isEmpty()
+        assert documents.agg(F.sum(F.regexp_count("text", F.lit(WORD.pattern)))).first()[0] == sum(n for _, _, n in got)
+
+
+def test_many_sources(spark):
+    names = [f"host{k}" for k in range(700)]
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(1, 9), rng.choice(names)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes: dict = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    narrow = mixing._narrow(df)
+    got = {r["source"]: r["target"] for r in mixing.targets(narrow).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_texts_of_a_mix_are_not_moved(spark):
+    plan = mixing.mixed_documents(spark.createDataFrame(list(dict.fromkeys(ODD)), SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Sort" not in plan
+
+
 def test_better_documents_come_first(spark):
     rows = [(i, ("good words here " * 5) if i % 2 else ("#### $$$$ %%%% " * 5), "a" if i < 1000 else "b") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
