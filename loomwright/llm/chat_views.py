@@ -4,44 +4,68 @@ For every participant of a conversation its dialogue is rendered with that speak
 the others' as turns of named users; turns of a system role are context, the same for everyone. The mask lists the
 stretches (code points, end exclusive) of the assistant's words, which alone are to be learnt from.
 
-A rendition is cut into parts of ``PART_TURNS`` turns by turn number, so that no task holds an unbounded
-conversation; the parts of a rendition follow one another, and ordinary ones have one. Everything is DataFrame
-functions.
+A rendition is one row and holds the whole dialogue, however long. Dialogues that are too large for a row can be cut on
+demand: with ``part_turns`` each rendition comes in parts of so many turns, by position, each opened by the system turns
+that open the dialogue; the parts in order hold every turn once beside these. Everything is DataFrame functions.
 
 Cases: a null role is the speaker ``unknown``, a null text an empty turn, a null turn number counts as 0; turns
 with equal numbers follow by role and text; repeated rows are repeated turns; a row without a conversation id is a
-dialogue of its own, as nothing tells whom it answers (equal rows share one); an empty table gives no rows; further columns are ignored. Marks inside a text are escaped.
+dialogue of its own, as nothing tells whom it answers (equal rows share one); a dialogue of system turns alone has no
+rendition; a speaker without a turn in a part has an empty mask there; an empty table gives no rows; further columns are
+ignored. Nothing in a text or a name can pass for a mark of the format, and no name can end its line.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SYSTEM = ("system",)
-PART_TURNS = 64
 OPEN, CLOSE = "<|", "|>"
+# Fixed value: what may end a line.
+LINE_ENDS = "[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def _clean(text: Column) -> Column:
-    """Nothing in a turn can pass for a mark of the format."""
     return F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(OPEN), F.lit("< |"))
 
 
-def rotate(turns: DataFrame, system: tuple[str, ...] = SYSTEM, part_turns: int = PART_TURNS) -> DataFrame:
-    """``conv_id``, ``speaker``, ``part``, ``n_turns``, ``n_learnt`` turns, the rendered ``text`` and its ``mask`` (start:end, comma-joined)."""
+def _name(role: Column) -> Column:
+    """A role's name as a header may hold it: without marks, on one line."""
+    return F.regexp_replace(F.replace(_clean(role), F.lit(CLOSE), F.lit("| >")), LINE_ENDS, " ")
+
+
+def _parts(rows: DataFrame, key: list[str], system: tuple[str, ...], part_turns: int) -> DataFrame:
+    """``turns`` of each ``part``, cut by position; the turns that open the dialogue are in all of them."""
+    dialogue = W.partitionBy(*key)
+    is_system = F.col("x.r").isin(*system)
+    placed = rows.withColumn("at", F.row_number().over(dialogue.orderBy("x")) - 1).withColumn("last", F.floor((F.count("*").over(dialogue) - 1) / part_turns))
+    placed = placed.withColumn("opens", is_system & (F.col("at") < F.min(F.when(~is_system, F.col("at"))).over(dialogue)))
+    part = F.floor(F.col("at") / part_turns)
+    spread = placed.withColumn("part", F.explode(F.when(F.col("opens"), F.sequence(part, F.col("last"))).otherwise(F.array(part))))
+    # Only its place tells equal turns apart, and it is what they are ordered by.
+    return spread.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("turns")).withColumn("turns", F.transform("turns", lambda t: t["x"]))
+
+
+def rotate(turns: DataFrame, system: tuple[str, ...] = SYSTEM, part_turns: int | None = None) -> DataFrame:
+    """``conv_id``, ``speaker``, ``part`` (0 for whole dialogues), ``n_turns``, ``n_learnt`` turns, the rendered ``text`` and its ``mask`` (start:end, comma-joined)."""
     role = F.coalesce(F.col("role").cast("string"), F.lit("unknown"))
     number = F.coalesce(F.col("turn").cast("long"), F.lit(0))
     conv_id = F.col("conv_id").cast("long")
     alone = F.when(conv_id.isNull(), F.xxhash64(number, role, F.col("text").cast("string")))
-    rows = turns.select(conv_id.alias("conv_id"), alone.alias("alone"), F.floor(number / part_turns).cast("long").alias("part"), F.struct(number.alias("n"), role.alias("r"), _clean(F.col("text")).alias("t")).alias("x"))
-    parts = rows.groupBy("conv_id", "alone", "part").agg(F.array_sort(F.collect_list("x")).alias("turns"))
-    # A conversation's distinct speakers, whichever of its parts they speak in.
-    speakers = rows.select(F.col("conv_id").alias("_conv"), F.col("alone").alias("_alone"), F.col("x.r").alias("speaker")).where(~F.col("speaker").isin(*system)).distinct()
-    found = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("alone").eqNullSafe(F.col("_alone"))).drop("_conv", "_alone")
+    key = ["conv_id", "alone"]
+    rows = turns.select(conv_id.alias("conv_id"), alone.alias("alone"), F.struct(number.alias("n"), role.alias("r"), _clean(F.col("text")).alias("t")).alias("x"))
+    names = lambda found: F.filter(found, lambda r: ~r.isin(*system))
+    if part_turns is None:
+        whole = rows.groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("turns")).withColumn("part", F.lit(0).cast("long"))
+        found = whole.withColumn("speaker", F.explode(names(F.array_distinct(F.transform("turns", lambda x: x["r"])))))
+    else:
+        speakers = rows.groupBy(*key).agg(F.collect_set("x.r").alias("found")).select(*(F.col(k).alias(f"_{k}") for k in key), F.explode(names(F.col("found"))).alias("speaker"))
+        found = _parts(rows, key, system, part_turns).join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & F.col("alone").eqNullSafe(F.col("_alone")))
 
     def head(x: Column) -> Column:
-        name = F.when(x["r"].isin(*system), x["r"]).when(x["r"] == F.col("speaker"), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), _clean(x["r"])))
+        name = F.when(x["r"].isin(*system), x["r"]).when(x["r"] == F.col("speaker"), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), _name(x["r"])))
         return F.concat(F.lit(OPEN), name, F.lit(CLOSE + "\n"))
 
     pieces = F.transform("turns", lambda x: F.struct(head(x).alias("h"), F.concat(x["t"], F.lit(OPEN + "end" + CLOSE + "\n")).alias("b"), (x["r"] == F.col("speaker")).alias("own")))
@@ -63,6 +87,7 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = SYSTEM, part_turns: int =
     )
 
 
+_SQL_NAME = f"regexp_replace(replace(replace(r, '{OPEN}', '< |'), '{CLOSE}', '| >'), '{LINE_ENDS}', ' ', 'g')"
 #: The same as DuckDB SQL. Lengths and offsets count code points there too.
 ORACLE = f"""
 WITH rows AS (
@@ -70,15 +95,15 @@ WITH rows AS (
 ), speakers AS (
   SELECT DISTINCT conv_id, alone, r AS speaker FROM rows WHERE r NOT IN ('system')
 ), pieces AS (
-  SELECT s.conv_id, s.alone, s.speaker, n // {PART_TURNS} AS part, n, r, t, r = speaker AS own,
-    '{OPEN}' || CASE WHEN r IN ('system') THEN r WHEN r = speaker THEN 'assistant' ELSE 'user name=' || replace(r, '{OPEN}', '< |') END || '{CLOSE}' || chr(10) AS h,
+  SELECT s.conv_id, s.alone, s.speaker, n, r, t, r = speaker AS own,
+    '{OPEN}' || CASE WHEN r IN ('system') THEN r WHEN r = speaker THEN 'assistant' ELSE 'user name=' || {_SQL_NAME} END || '{CLOSE}' || chr(10) AS h,
     t || '{OPEN}end{CLOSE}' || chr(10) AS b
   FROM rows JOIN speakers s ON rows.conv_id IS NOT DISTINCT FROM s.conv_id AND rows.alone IS NOT DISTINCT FROM s.alone
 ), placed AS (
   SELECT *, sum(length(h) + length(b)) OVER w - length(b) AS begin, sum(length(h) + length(b)) OVER w - 1 AS stop
-  FROM pieces WINDOW w AS (PARTITION BY conv_id, alone, speaker, part ORDER BY n, r, t ROWS UNBOUNDED PRECEDING)
+  FROM pieces WINDOW w AS (PARTITION BY conv_id, alone, speaker ORDER BY n, r, t ROWS UNBOUNDED PRECEDING)
 )
-SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (own) AS n_learnt,
+SELECT conv_id, speaker, 0 AS part, count(*) AS n_turns, count(*) FILTER (own) AS n_learnt,
   string_agg(h || b, '' ORDER BY n, r, t) AS text,
   coalesce(string_agg(CAST(begin AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY n, r, t) FILTER (own), '') AS mask
-FROM placed GROUP BY conv_id, alone, speaker, part"""
+FROM placed GROUP BY conv_id, alone, speaker"""
