@@ -2,7 +2,7 @@
 
 Base spans are those of four plain patterns over the text itself. The method adds what is disguised: a chain of
 transducers rewrites the text (look-alike and full-width characters to ASCII, invisible characters away, spelled
-digits to digits, ``(at)`` and ``(dot)`` to ``@`` and ``.``) and keeps, for each character written, the source
+digits to digits, the marks and entities that stand for ``@`` and ``.`` to these) and keeps, for each character written, the source
 characters it stands for. Identifiers are detected in the normal form, and their spans are mapped back.
 
 Every search runs in time linear in the text: candidates are found from their rarest character and no pattern
@@ -102,18 +102,23 @@ _MIXED_RUN = re.compile(rf"(?i)(?:\+|(?<!\w)plus[\x20-]{{1,2}}|(?<![\w+])){_MIXE
 _MIXED_EDIT = re.compile(rf"(?i)plus[\x20-]{{1,2}}|{_NUMBER_WORD}|oh")
 _HAS_MIXED = re.compile(rf"[0-9][\x20().-]{{0,2}}(?:{_NUMBER_WORD}|oh)(?![^\W\d_])|(?:plus|{_NUMBER_WORD})[\x20().-]{{0,2}}[0-9]")
 
-_AT_MARK = re.compile(r"(?i)[\x20]{0,2}(?:[\[({<][\x20]?(?:at|@)[\x20]?[\])}>]|&#64;|&commat;|[\x20]at[\x20](?=[\w-]{2,40}[\x20]{0,2}(?:[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>]|[\x20]dot[\x20])))[\x20]{0,2}|[\x20]{1,2}@[\x20]{0,2}|@[\x20]{1,2}")
-_DOT_MARK = re.compile(r"(?i)[\x20]{0,2}(?:[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>]|(?<=[\w-])[\x20]dot[\x20](?=[a-z]{2,}))[\x20]{0,2}")
-#: What closes a bracketed mark.
-_CLOSED = (")", "]", "}", ">", " )", " ]", " }", " >")
-#: In lower case, _DOT_MARK needs one of the first, and _AT_MARK one of the second or a bare " at " before a dot mark.
-_DOT_HINTS = (" dot ", *(w + c for w in ("dot", ".") for c in _CLOSED))
-_AT_HINTS = ("&#64;", "&commat;", " @", "@ ", *(w + c for w in ("at", "@") for c in _CLOSED))
+def _bracketed(words: str) -> str:
+    return rf"[\[({{<]\x20?(?:{words})\x20?[\])}}>]"
 
 
-def _may_have_marks(low: str) -> bool:
-    """False only where rewriting marks changes nothing that an address needs: a dot mark counts only beside an at sign."""
-    return any(x in low for x in _AT_HINTS) or (("@" in low or " at " in low) and any(x in low for x in _DOT_HINTS))
+# A mark that needs no word beside it: in brackets, or as an entity.
+_SURE_AT = rf"(?:{_bracketed('at|@')}|&#0*64;|&#x0*40;|&commat;)"
+_SURE_DOT = rf"(?:{_bracketed('dot|[.]')}|&#0*46;|&#x0*2e;|&period;)"
+_ANY_DOT = rf"(?:\x20{{0,2}}{_SURE_DOT}\x20{{0,2}}|\x20dot\x20|\.)"
+#: A bare " at " stands before a host only.
+_HOST_AHEAD = rf"(?=[\w-]{{1,63}}(?:{_ANY_DOT}[\w-]{{1,63}}){{0,8}}{_ANY_DOT}[a-z]{{2}})"
+_AT_MARK = re.compile(rf"(?i)\x20{{0,2}}{_SURE_AT}\x20{{0,2}}|\x20at\x20{_HOST_AHEAD}|\x20{{1,2}}@\x20{{0,2}}|@\x20{{1,2}}")
+_DOT_MARK = re.compile(rf"(?i)\x20{{0,2}}{_SURE_DOT}\x20{{0,2}}|(?<=[\w-])\x20dot\x20(?=[a-z]{{2}})")
+#: Between digits a dot mark needs no address around it.
+_DIGIT_DOT_MARK = re.compile(rf"(?i)(?<=[0-9])(?:\x20{{0,2}}{_SURE_DOT}\x20{{0,2}}|\x20dot\x20)(?=[0-9])")
+#: What any of these needs, for texts in lower case, from their own parts.
+_HAS_AT = re.compile(rf"{_SURE_AT}|\x20at\x20(?=[\w-]{{1,63}}{_ANY_DOT})|\x20@|@\x20")
+_HAS_DOT = re.compile(rf"{_SURE_DOT}|\x20dot\x20")
 
 
 @lru_cache(1)
@@ -199,7 +204,7 @@ def _spelled_edits(text: str) -> Iterator[tuple[int, int, str]]:
 def _mixed_edits(text: str) -> Iterator[tuple[int, int, str]]:
     """The spelled digits of a run that without them holds no card or phone number, and with them does; separators stay."""
     for run in _MIXED_RUN.finditer(text):
-        edits = [(m.start() - run.start(), m.end() - run.start(), _SPELLED.get(m[0].lower(), "+")) for m in _MIXED_EDIT.finditer(run[0])]
+        edits = [(m.start(), m.end(), _SPELLED.get(m[0].lower(), "+")) for m in _MIXED_EDIT.finditer(run[0])]
         if not edits or any(kind in ("card", "phone") for _, _, kind in find(run[0])):
             continue
         read = Mapped(run[0]).rewrite(edits)
@@ -224,14 +229,21 @@ def normalise(text: str) -> Mapped:
         out = out.rewrite(_spelled_edits(out.text))
     if _HAS_MIXED.search(low):
         out = out.rewrite(_mixed_edits(out.text))
-    if _may_have_marks(low):
+    if _has_mark(_HAS_AT, low):
         out = out.rewrite(_mark_edits(_AT_MARK, "@", out.text))
-        if "@" in out.text:
+    if _has_mark(_HAS_DOT, low):
+        out = out.rewrite(_mark_edits(_DIGIT_DOT_MARK, ".", out.text))
+        if "@" in out.text:  # no other kind has a dot beside a letter
             out = out.rewrite(_mark_edits(_DOT_MARK, ".", out.text))
     return out
 
 
-_BARE = re.compile(r"(?i)\x20(?:at|dot)\x20")
+def _has_mark(needed: re.Pattern[str], low: str) -> bool:
+    return needed.search(low) is not None
+
+
+_BARE = re.compile(r"(?i)\x20(?:at|dot)\x20|\x20@|@\x20")
+_PLAIN_HOST = re.compile(r"(?i)\x20at\x20[\w.-]+$")
 # The endings that tell an address spelled in plain words from prose.
 _ENDINGS = frozenset("com net org edu gov mil info biz io dev app uk eu".split())
 # Endings of countries; those that are English words too; words that come before a dot in prose.
@@ -246,11 +258,23 @@ _WORD_ENDINGS = frozenset("am as at be by do in is me my no so to us".split())
 _BEFORE_DOT = frozenset("the an this that these those each every any one some its his her our your their my another last first next same".split())
 
 
+# Words that come before " at " and a host's name in prose.
+_BEFORE_AT = frozenset(
+    """a about again all am an and anytime apply are arrive arrived as ask available back based be been begin book bought browse buy call check click come contact day details download
+    email end enter find first for found free from further get go good guide had has have he headquarters help her here him his home hosted i in info information is it its join
+    just last learn listed live located look looked looking looks mail mailed me meet meeting message more new news next not now off office on one online only open or order our out page pages point
+    post posted price product products published read register registered released reply resource resources run sale see seen sell shop show sign signup site sold staff
+    start stay stop store support team tell than that the their them then there these they this those time to tool up us used user version via view visit was we web website
+    week went were what when where which who will with work worked working works write you your yours""".split()
+)
+
+
 def _likely(kind: str, found: str, source: str) -> bool:
-    """A disguised address must end in letters, as top domains do, and one spelled in plain words as addresses rather than sentences do.
+    """A disguised address must end in letters, as top domains do, and one whose signs are spelled in bare words, or stand between blanks, as addresses rather than sentences do.
 
     That is in a well-known ending, or in a country's after labels that are none of ``_BEFORE_DOT``; where the
     country's ending is an English word too, the local part must hold more than letters or the domain a further label.
+    A word of ``_BEFORE_AT`` before a bare " at " and a host with its own dots is no local part.
     """
     if kind != "email":
         return True
@@ -258,9 +282,11 @@ def _likely(kind: str, found: str, source: str) -> bool:
     *labels, end = domain.split(".")
     if not end.isalpha() or len(end) < 2:
         return False
-    if end in _ENDINGS or not _BARE.search(source):
+    if not _BARE.search(source):
         return True
-    return end in _COUNTRIES and _BEFORE_DOT.isdisjoint(labels) and (end not in _WORD_ENDINGS or len(labels) > 1 or not local.isalpha())
+    if _PLAIN_HOST.search(source) and local in _BEFORE_AT:
+        return False
+    return end in _ENDINGS or end in _COUNTRIES and _BEFORE_DOT.isdisjoint(labels) and (end not in _WORD_ENDINGS or len(labels) > 1 or not local.isalpha())
 
 
 def detect(text: str | None) -> tuple[list[Span], list[Span]]:
