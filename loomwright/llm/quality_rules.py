@@ -4,6 +4,11 @@ Everything is DataFrame functions. Each text is scanned once into a few counts;
 -1 bad, 0 no opinion); the votes are counted by pattern, of which there are at most 3 to the number of rules; and
 the maximisation runs over that one row of patterns. No step needs the rows of a key together.
 
+Each rule rests on a count of its own. Nine speak against one kind of junk and else abstain; one, the share of letters,
+speaks either way. That a rule is mostly right is a prior belief: a Beta distribution that weighs as much as ``BELIEF``
+of the rule's votes, so it means the same for any number of documents, and what the votes of the other rules say moves
+it from there. Texts that fail the base rules are judged already and take no part in the estimates.
+
 Cases: a null text has no words; a text without words fails the base rules and no rule votes on it; null ids stay
 null; repeated rows are judged alike, one by one; an empty table gives no rows (the estimates then stay at their
 start); further columns are ignored.
@@ -21,13 +26,12 @@ from loomwright.llm.common import WORD, let, materialise
 SYMBOLS = "[#*$%&|<>]"
 SPAN = 8  # words in a window
 ROUNDS = 40
-#: What the maximisation starts from: most texts are good, and a rule that votes is mostly right.
+#: What is believed at first: most texts are good, and a rule that votes is mostly right.
 PRIOR, RIGHT = 0.8, 0.9
-#: Bounds of the estimates. A rule is better than chance by assumption, which also settles which side is the good one.
-PRIORS, RIGHTS = (0.1, 0.9), (0.6, 0.98)
+#: Weight of these beliefs, as shares of the texts and of a rule's votes; one vote more keeps rules without any where they are.
+PRIOR_BELIEF, BELIEF = 0.1, 1.0
 #: A text is kept from this posterior on.
 KEEP = 0.5
-_WHITE = r"[\x20\x09-\x0D]"
 
 
 def _repeated(words: Column) -> Column:
@@ -74,41 +78,61 @@ def measure(docs: DataFrame) -> DataFrame:
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
         ),
     )
-    characters = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
-    return split.select(
-        "doc_id",
-        counts.alias("c"),
-        characters(SYMBOLS).alias("n_symbols"),
-        lines.cast("long").alias("n_dup_lines"),
-        characters(r"\p{Lu}").alias("n_upper"),
-        characters("[!?]").alias("n_marks"),
-        characters("[.,;:]").alias("n_stops"),
-    ).select("doc_id", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "c.n_distinct", "n_upper", "n_marks", "n_stops")
+    # Lower-case runs as one letter: what else is counted is looked for in what is left, about half the text.
+    left = F.regexp_replace("t", r"\p{Ll}+", "a")
+    among = lambda rest, pattern: F.regexp_count(rest, F.lit(pattern)).cast("long")
+    signs = let(
+        left,
+        lambda r: let(
+            F.regexp_replace(r, r"[a\x20\x09-\x0D]+", ""),
+            lambda few: F.struct(
+                among(few, SYMBOLS).alias("n_symbols"),
+                among(few, r"\p{Lu}").alias("n_upper"),
+                among(few, "[!?]").alias("n_marks"),
+                among(few, "[.,;:]").alias("n_stops"),
+                (F.length("t") - F.length(r) + F.length(r) - F.length(F.replace(r, F.lit("a"), F.lit(""))) + among(few, r"\p{L}")).cast("long").alias("n_letters"),
+                among(r, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}]+(?![^\x20\x09-\x0D])").alias("n_bare"),
+            ),
+        ),
+    )
+    found = split.select("doc_id", counts.alias("c"), lines.cast("long").alias("n_dup_lines"), signs.alias("s"))
+    return found.select("doc_id", "c.*", "n_dup_lines", "s.*")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def votes() -> dict[str, Column]:
-    """The rules by name. Each speaks against one kind of junk and else abstains; ``prose`` speaks for a text or against it.
+def _share(count: str, of: str) -> str:
+    return f"({count} * 100.0 / greatest({of}, 1))"
 
-    Every kind of junk is known to two rules at least, else a rule that is alone in its view would be outvoted by the prior.
-    """
-    share = lambda c, of: F.col(c) * 100.0 / F.greatest(F.col(of), F.lit(1))
-    enough = F.col("n_words") >= 20
-    against = lambda c: F.when((F.col("n_words") > 0) & c, -1).otherwise(0)
-    prose = enough & (share("n_symbols", "n_words") <= 5) & (share("n_upper", "word_chars") <= 12) & (share("n_marks", "n_words") <= 8) & (share("n_stops", "n_words") >= 4)
-    return {
-        "symbols": against(share("n_symbols", "n_words") > 25),
-        "upper": against(share("n_upper", "word_chars") > 35),
-        "marks": against(share("n_marks", "n_words") > 30),
-        "repeats": against(share("n_repeat_words", "n_words") > 30),
-        "variety": against(enough & (share("n_distinct", "n_words") < 20)),
-        "lines": against((F.col("n_dup_lines") > 10) & (F.col("n_dup_lines") * 20 > F.col("n_words"))),
-        "stops": against(enough & (share("n_stops", "n_words") < 1)),
-        "prose": F.when(prose, 1).when(enough & ((share("n_symbols", "n_words") > 12) | (share("n_upper", "word_chars") > 30) | (share("n_marks", "n_words") > 20)), -1).otherwise(0),
-    }
+
+# When a rule speaks against a text, as conditions that Spark and DuckDB read alike. Each has its own count.
+_AGAINST = {
+    "symbols": f"{_share('n_symbols', 'n_words')} > 10",
+    "upper": f"{_share('n_upper', 'word_chars')} > 30",
+    "marks": f"{_share('n_marks', 'n_words')} > 20",
+    "repeats": f"{_share('n_repeat_words', 'n_words')} > 30",
+    "variety": f"n_words >= 20 AND {_share('n_distinct', 'n_words')} < 25",
+    "lines": "n_dup_lines > 10 AND n_dup_lines * 20 > n_words",
+    "stops": f"n_words >= 20 AND {_share('n_stops', 'n_words')} < 1",
+    "length": "n_words >= 20 AND (word_chars > 7 * n_words OR word_chars < 3 * n_words)",
+    "bare": f"n_words >= 20 AND {_share('n_bare', 'n_words')} > 20",
+    "letters": f"{_share('n_letters', 'word_chars')} < 80",
+}
+# When one speaks for a text.
+_FOR = {"letters": f"{_share('n_letters', 'word_chars')} >= 92"}
+RULES = tuple(_AGAINST)
+
+
+def _vote(rule: str) -> str:
+    good = f"WHEN n_words > 0 AND {_FOR[rule]} THEN 1 " if rule in _FOR else ""
+    return f"CASE {good}WHEN n_words > 0 AND {_AGAINST[rule]} THEN -1 ELSE 0 END"
+
+
+def votes() -> dict[str, Column]:
+    """The rules' votes by name; a text without words gets none."""
+    return {r: F.expr(_vote(r)) for r in RULES}
 
 
 def _posterior(vote: list[Column], prior: Column, right: list[Column]) -> Column:
@@ -117,24 +141,23 @@ def _posterior(vote: list[Column], prior: Column, right: list[Column]) -> Column
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict[str, float]:
+def estimate(voted: DataFrame, rules: list[str], rounds: int = ROUNDS, belief: float = BELIEF) -> dict[str, float]:
     """The share of good texts and each rule's accuracy: one row, from the counted vote patterns (at most 3 ** len(rules))."""
     counted = voted.groupBy(*rules).count().agg(F.sort_array(F.collect_list(F.struct(*rules, F.col("count").cast("double").alias("n")))).alias("patterns"))
-    within = lambda p, bounds: F.least(F.greatest(p, F.lit(bounds[0])), F.lit(bounds[1]))
     start = F.struct(F.lit(PRIOR).alias("prior"), *[F.lit(RIGHT).alias(r) for r in rules])
+    # The mean of a Beta distribution after so many observations, of which so many agree.
+    mean = lambda agreed, seen, share, weight: (agreed + (weight * seen + 1) * share) / (seen + weight * seen + 1)
 
     def step(state: Column, _: Column) -> Column:
         weighed = F.transform("patterns", lambda p: F.struct(p["n"].alias("n"), _posterior([p[r] for r in rules], state["prior"], [state[r] for r in rules]).alias("q"), *[p[r].alias(r) for r in rules]))
 
         def update(rows: Column) -> Column:
             total = lambda f: F.aggregate(rows, F.lit(0.0), lambda a, x: a + f(x))
-            # One row of the starting belief keeps rules without votes where they are.
-            prior = (total(lambda x: x["n"] * x["q"]) + PRIOR) / (total(lambda x: x["n"]) + 1)
-            right = {}
+            new = {"prior": mean(total(lambda x: x["n"] * x["q"]), total(lambda x: x["n"]), PRIOR, PRIOR_BELIEF)}
             for r in rules:
                 agreed = total(lambda x, r=r: x["n"] * F.when(x[r] > 0, x["q"]).when(x[r] < 0, 1 - x["q"]).otherwise(0.0))
-                right[r] = (agreed + RIGHT) / (total(lambda x, r=r: x["n"] * F.abs(x[r])) + 1)
-            return F.struct(within(prior, PRIORS).alias("prior"), *[within(p, RIGHTS).alias(r) for r, p in right.items()])
+                new[r] = mean(agreed, total(lambda x, r=r: x["n"] * F.abs(x[r])), RIGHT, belief)
+            return F.struct(*[p.alias(r) for r, p in new.items()])
 
         return let(weighed, update)
 
@@ -145,7 +168,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """Counts, base verdict, posterior quality and ``kept`` for each document."""
     rules = votes()
     voted = materialise(measure(docs).withColumns(rules), "quality-votes")  # narrow: the texts are read once
-    found = estimate(voted, list(rules))
+    found = estimate(voted.where(~base_failed()), list(rules))
     posterior = _posterior([F.col(r) for r in rules], F.lit(found["prior"]), [F.lit(found[r]) for r in rules])
     return voted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -155,24 +178,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same as DuckDB SQL: windows as rows, and a table for each round of the maximisation."""
-    share = lambda c, of: f"{c} * 100.0 / greatest({of}, 1)"
-    prose = f"n_words >= 20 AND {share('n_symbols', 'n_words')} <= 5 AND {share('n_upper', 'word_chars')} <= 12 AND {share('n_marks', 'n_words')} <= 8 AND {share('n_stops', 'n_words')} >= 4"
-    not_prose = f"n_words >= 20 AND ({share('n_symbols', 'n_words')} > 12 OR {share('n_upper', 'word_chars')} > 30 OR {share('n_marks', 'n_words')} > 20)"
-    bad = {
-        "symbols": f"{share('n_symbols', 'n_words')} > 25",
-        "upper": f"{share('n_upper', 'word_chars')} > 35",
-        "marks": f"{share('n_marks', 'n_words')} > 30",
-        "repeats": f"{share('n_repeat_words', 'n_words')} > 30",
-        "variety": f"n_words >= 20 AND {share('n_distinct', 'n_words')} < 20",
-        "lines": "n_dup_lines > 10 AND n_dup_lines * 20 > n_words",
-        "stops": f"n_words >= 20 AND {share('n_stops', 'n_words')} < 1",
-    }
-    rules = [*bad, "prose"]
-    cast = [f"CASE WHEN n_words > 0 AND {c} THEN -1 ELSE 0 END AS {r}" for r, c in bad.items()] + [f"CASE WHEN {prose} THEN 1 WHEN {not_prose} THEN -1 ELSE 0 END AS prose"]
+    rules = list(RULES)
+    cast = [f"{_vote(r)} AS {r}" for r in rules]
     odds = "ln(s.prior / (1 - s.prior))" + "".join(f" + v.{r} * ln(s.{r} / (1 - s.{r}))" for r in rules)
-    within = lambda p, bounds: f"least(greatest({p}, {bounds[0]}), {bounds[1]})"
-    agreed = lambda r: f"(sum(n * CASE WHEN {r} > 0 THEN q WHEN {r} < 0 THEN 1 - q ELSE 0 END) + {RIGHT}) / (sum(n * abs({r})) + 1)"
-    new = ", ".join([f"{within(f'(coalesce(sum(n * q), 0) + {PRIOR}) / (coalesce(sum(n), 0) + 1)', PRIORS)} AS prior", *(f"{within(f'coalesce({agreed(r)}, {RIGHT})', RIGHTS)} AS {r}" for r in rules)])
+    mean = lambda agreed, seen, share, belief: f"(coalesce({agreed}, 0) + ({belief} * coalesce({seen}, 0) + 1) * {share}) / (coalesce({seen}, 0) * (1 + {belief}) + 1)"
+    agreed = lambda r: f"sum(n * CASE WHEN {r} > 0 THEN q WHEN {r} < 0 THEN 1 - q ELSE 0 END)"
+    new = ", ".join([f"{mean('sum(n * q)', 'sum(n)', PRIOR, PRIOR_BELIEF)} AS prior", *(f"{mean(agreed(r), f'sum(n * abs({r}))', RIGHT, BELIEF)} AS {r}" for r in rules)])
     states = [f"s0 AS MATERIALIZED (SELECT CAST({PRIOR} AS DOUBLE) AS prior, {', '.join(f'CAST({RIGHT} AS DOUBLE) AS {r}' for r in rules)})"]
     for k in range(ROUNDS):
         weighed = f"SELECT n, {', '.join(f'v.{r}' for r in rules)}, 1 / (1 + exp(-({odds}))) AS q FROM patterns v, s{k} s"
@@ -189,12 +200,13 @@ WITH texts AS (
 ), counts AS (
   SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '[!?]')) AS n_marks, len(regexp_extract_all(t, '[.,;:]')) AS n_stops,
+    len(regexp_extract_all(t, '\p{{L}}')) AS n_letters, len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]'))) AS n_bare,
     len(list_distinct(w)) AS n_distinct, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(n, 0) AS n_repeat_words
   FROM texts LEFT JOIN covered USING (doc_id)
 ), votes AS MATERIALIZED (
   SELECT *, {", ".join(cast)} FROM (SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines FROM counts)
 ), patterns AS MATERIALIZED (
-  SELECT {", ".join(rules)}, CAST(count(*) AS DOUBLE) AS n FROM votes GROUP BY ALL
+  SELECT {", ".join(rules)}, CAST(count(*) AS DOUBLE) AS n FROM votes WHERE NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) GROUP BY ALL
 ), {", ".join(states)}, judged AS (
   SELECT v.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1 / (1 + exp(-({odds}))) AS p FROM votes v, s{ROUNDS} s
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -410,10 +411,42 @@ def test_estimates_find_the_worse_rule(spark):
     for _ in range(4000):
         good = rng.random() < 0.8
         rows.append((good, *[(1 if (rng.random() < p) == good else -1) if rng.random() < 0.8 else 0 for p in right.values()]))
-    found = quality_rules.estimate(spark.createDataFrame(rows, "good boolean, a int, b int, c int"), list(right))
+    found = quality_rules.estimate(spark.createDataFrame(rows, "good boolean, a int, b int, c int"), list(right), belief=0.05)
     assert abs(found["prior"] - 0.8) < 0.06 and all(abs(found[k] - p) < 0.06 for k, p in right.items())
 
 
+def brute_estimates(patterns, rounds=quality_rules.ROUNDS):
+    """The maximisation in plain numbers, from rows of votes."""
+    prior, right = quality_rules.PRIOR, [quality_rules.RIGHT] * len(quality_rules.RULES)
+    n = len(patterns)
+    for _ in range(rounds):
+        q = [1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(v * math.log(r / (1 - r)) for v, r in zip(p, right, strict=True))))) for p in patterns]
+        weight = quality_rules.PRIOR_BELIEF * n + 1
+        prior = (sum(q) + weight * quality_rules.PRIOR) / (n + weight)
+        for k in range(len(right)):
+            seen = sum(abs(p[k]) for p in patterns)
+            agreed = sum(g if p[k] > 0 else 1 - g for p, g in zip(patterns, q, strict=True) if p[k])
+            weight = quality_rules.BELIEF * seen + 1
+            right[k] = (agreed + weight * quality_rules.RIGHT) / (seen + weight)
+    return [prior, *right]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="tables aren't here")
+def test_estimates_lie_inside_and_junk_goes(spark):
+    """On the tables: no estimate at 0, at 1 or at a bound; equal to plain numbers; labelled junk goes and good texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    voted = quality_rules.materialise(quality_rules.measure(docs).withColumns(quality_rules.votes()), "votes").where(~quality_rules.base_failed())
+    found = quality_rules.estimate(voted, list(quality_rules.RULES))
+    patterns = [tuple(r) for r in voted.select(*quality_rules.RULES).collect()]
+    assert list(found.values()) == pytest.approx(brute_estimates(patterns, quality_rules.ROUNDS), abs=1e-9)
+    cast = {r: sum(abs(p[k]) for p in patterns) for k, r in enumerate(quality_rules.RULES)}
+    used = [found[r] for r in quality_rules.RULES if cast[r] > 50]
+    assert len(used) >= 4 and len({round(p, 3) for p in used}) == len(used) and all(0.4 < p < 0.99 for p in found.values())
+    rows = {(r["label"], r["kept"]): r["n"] for r in quality_rules.judge(docs).join(labels, "doc_id").where("not base_failed").groupBy("label", "kept").agg(F.count("*").alias("n")).collect()}
+    assert rows[0, False] > 0.95 * (rows[0, False] + rows[0, True]) and rows.get((1, False), 0) < 0.005 * rows[1, True]
+
+
 def test_rules_without_rows(empty, odd):
     assert quality_rules.judge(empty).count() == 0
     assert quality_rules.judge(odd).where("n_words = 0 and kept").count() == 0
