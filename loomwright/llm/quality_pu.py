@@ -9,8 +9,10 @@ A text is described by the make-up of its characters (shares of triples of chara
 repeats itself; language, source and ids aren't inputs.
 
 Cases: a null text counts as empty; an empty text has all features 0 and gets the score that follows; null ids are
-scored and never learnt from as positives; repeated rows get equal scores; without positives or documents to learn
-from every score is the prior 0.5; an empty table gives no rows; further columns are ignored.
+scored and never learnt from as positives; repeated rows get equal scores and are drawn once; of several texts with a
+trusted id that of the least hash is learnt from, and an id with both labels isn't trusted less; scores that tie get one
+verdict; without positives or documents to learn from every score is the prior 0.5; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import held_out
 
 #: Trusted positives and unlabelled rows that are learnt from.
-POSITIVES, UNLABELLED = 4000, 8000
+POSITIVES, UNLABELLED = 5000, 10_000
 THRESHOLD = 0.3
 _SEED = 40_487
 
@@ -81,29 +83,41 @@ def features(text: str | None) -> np.ndarray:
 
 
 def _samples(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the trusted positives and of the unlabelled rows: bounded, from one pass over the texts."""
+    """Features of the trusted positives and of the unlabelled rows, from one pass over the texts.
+
+    A text for each of at most POSITIVES ids, and the UNLABELLED least of the different rows that a hash draws: copies
+    are one before anything is collected, so none can push out others.
+    """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     trusted = labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    trusted = F.broadcast(trusted.orderBy(F.xxhash64(F.lit(_SEED), F.col("_id")), "_id").limit(POSITIVES).withColumn("_trusted", F.lit(True)))  # at most POSITIVES rows
+    trusted = F.broadcast(trusted.orderBy(F.xxhash64(F.lit(_SEED), F.col("_id")), "_id").limit(POSITIVES))  # at most POSITIVES rows
+    own = F.xxhash64(F.lit(_SEED + 1), doc_id, text)
     share = min(1.0, 1.2 * UNLABELLED / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64(F.lit(_SEED + 1), doc_id, text), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = docs.select(doc_id.alias("_doc"), text.alias("_text"), drawn.alias("_drawn")).join(trusted, F.col("_doc") == F.col("_id"), "left")
-    rows = rows.where(F.col("_drawn") | F.col("_trusted")).select("_text", F.coalesce("_trusted", F.lit(False)).alias("p"), F.col("_drawn").alias("u"))
+    drawn = F.pmod(own, F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = docs.select(doc_id.alias("_doc"), text.alias("_text"), own.alias("_own"), drawn.alias("_drawn")).join(trusted, F.col("_doc") == F.col("_id"), "left")
+    rows = rows.where(F.col("_drawn") | F.col("_id").isNotNull()).select("_text", "_id", "_own", "_drawn")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(0)]  # half the driver's memory
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x, pa.binary())], ["p", "u", "x"])
-
-    described = rows.mapInArrow(describe, "p boolean, u boolean, x binary")
-    found = described.limit(2 * (POSITIVES + UNLABELLED)).collect()
-    found.sort(key=lambda r: zlib.crc32(r["x"]))  # tasks end in any order
-
-    def stack(kind: str, most: int) -> np.ndarray:
-        chosen = [r["x"] for r in found if r[kind]][:most]
+            out: list[tuple] = []
+            for text, trusted_id, own, drawn in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                x = features(text.as_py()).astype(np.float16).tobytes()  # half the driver's memory
+                if trusted_id is not None:
+                    out.append((True, trusted_id, own, x))
+                if drawn:
+                    out.append((False, own, own, x))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["p", "key", "own", "x"])
+
+    found = rows.mapInArrow(describe, "p boolean, key long, own long, x binary").groupBy("p", "key").agg(F.min_by("x", "own").alias("x")).collect()
+    found.sort(key=lambda r: r["key"])
+
+    def stack(positive: bool, most: int) -> np.ndarray:
+        chosen = [r["x"] for r in found if r["p"] == positive][:most]
         return np.frombuffer(b"".join(chosen), np.float16).reshape(len(chosen), N_FEATURES).astype(np.float32)
 
-    return stack("p", POSITIVES), stack("u", UNLABELLED)
+    return stack(True, POSITIVES), stack(False, UNLABELLED)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -150,21 +164,38 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     return float(np.clip(qu[best] / qp[best], 0.02, 0.98))
 
 
+def risk_gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative unbiased risk of a batch, with logistic losses, and the direction of the step.
+
+    Positives weigh ``prior``; the negatives' risk is that of the unlabelled as negatives less that of the positives as
+    negatives. Where this falls below zero it counts as zero, and the step goes against its gradient alone.
+    """
+    zp, zu = p @ w, u @ w
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    of_negative = (_sigmoid(zu) @ u) / len(u) - prior * (_sigmoid(zp) @ p) / len(p)
+    if negative < 0:
+        return float(positive), -of_negative
+    return float(positive + negative), of_negative - prior * ((1 - _sigmoid(zp)) @ p) / len(p)
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 60, batch: int = 1024, penalty: float = 2e-4) -> tuple[Linear, float]:
     """The scorer of least non-negative risk, and the estimated prior."""
-    both = np.vstack([positive, unlabelled])
-    model = Linear(both.mean(0, dtype=float), both.std(0, dtype=float) + 0.02)
-    del both
+    rows = len(positive) + len(unlabelled)
+    mean = (positive.sum(0, dtype=float) + unlabelled.sum(0, dtype=float)) / rows
+    square = sum(np.einsum("ij,ij->j", x, x, dtype=float) for x in (positive, unlabelled)) / rows
+    model = Linear(mean, np.sqrt(np.maximum(square - mean**2, 0)) + 0.02)
     rng = np.random.default_rng(7)
-    # Half of each sample ranks, the other half is ranked.
-    ranker = Linear(model.mean, model.spread)
     p, u = model.standard(positive), model.standard(unlabelled)
-    half = lambda x: (x[::2], x[1::2])
-    (p0, p1), (u0, u1) = half(p), half(u)
-    for _ in range(250):
-        grad = (_sigmoid(u0 @ ranker.w) @ u0) / len(u0) - ((1 - _sigmoid(p0 @ ranker.w)) @ p0) / len(p0)
-        ranker.step(grad, 0.05, 1e-3)
-    prior = estimate_prior(p1 @ ranker.w, u1 @ ranker.w)
+    # Half of each sample ranks and the other half is ranked; then the other way round.
+    found = []
+    for k in (0, 1):
+        ranker = Linear(model.mean, model.spread)
+        for _ in range(250):
+            grad = (_sigmoid(u[k::2] @ ranker.w) @ u[k::2]) / max(1, len(u[k::2])) - ((1 - _sigmoid(p[k::2] @ ranker.w)) @ p[k::2]) / max(1, len(p[k::2]))
+            ranker.step(grad, 0.05, 1e-3)
+        found.append(estimate_prior(p[1 - k :: 2] @ ranker.w, u[1 - k :: 2] @ ranker.w))
+    prior = sum(found) / 2
     model.w[-1] = np.log(prior / (1 - prior))
     for epoch in range(epochs):
         rate = 0.03 * 0.5 ** (epoch / 15)
@@ -173,12 +204,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 60, batch: i
         for a, b in zip(np.array_split(order_p, steps), np.array_split(order_u, steps), strict=True):
             if not len(a) or not len(b):
                 continue
-            zp, zu = p[a] @ model.w, u[b] @ model.w
-            # Logistic losses log(1 + exp(-z)) for a positive and log(1 + exp(z)) for a negative.
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            of_negative = (_sigmoid(zu) @ u[b]) / len(b) - prior * (_sigmoid(zp) @ p[a]) / len(a)
-            of_positive = -prior * ((1 - _sigmoid(zp)) @ p[a]) / len(a)
-            model.step(of_positive + of_negative if negative >= 0 else -of_negative, rate, penalty)
+            grad = risk_gradient(p[a], u[b], model.w, prior)[1]
+            model.step(grad, rate, penalty)
     return model, prior
 
 

@@ -284,6 +284,113 @@ def test_classifiers_of_odd_rows(spark, module):
         assert len(got) == d.count() and all(0 <= r["score"] <= 1 for r in got)
 
 
+def plain_risk(p, u, w, prior):
+    """The risk as a sum over rows."""
+    loss = lambda x, y: np.log1p(np.exp(-y * float(x @ w)))
+    positive = prior * np.mean([loss(x, 1) for x in p])
+    negative = np.mean([loss(x, -1) for x in u]) - prior * np.mean([loss(x, -1) for x in p])
+    return positive + max(0.0, negative), negative
+
+
+@pytest.mark.parametrize("shift", [0.0, -3.0])
+def test_risk_and_its_gradient(shift):
+    """Against the plain sums and their differences; below zero the step raises the negatives' risk."""
+    rng = np.random.default_rng(1)
+    p, u, w = rng.normal(0.8, 1, (30, 4)), rng.normal(0, 1, (50, 4)) + shift, rng.normal(0, 1, 4)
+    w = np.abs(w) if shift else w
+    risk, grad = quality_pu.risk_gradient(p, u, w, 0.7)
+    want, negative = plain_risk(p, u, w, 0.7)
+    assert risk == pytest.approx(want) and (negative < 0) == bool(shift)
+    part = lambda w: plain_risk(p, u, w, 0.7)[1 if shift else 0]
+    slope = np.array([(part(w + d) - part(w - d)) / 2e-6 for d in np.eye(4) * 1e-6])
+    assert grad == pytest.approx(-slope if shift else slope, abs=1e-6)
+
+
+def test_samples_are_bounded_and_copies_count_once(spark, monkeypatch):
+    monkeypatch.setattr(quality_pu, "POSITIVES", 20)
+    monkeypatch.setattr(quality_pu, "UNLABELLED", 40)
+    rows = [(k, "a" * (k % 23 + 1) + " " + "B" * (k // 23 + 1)) for k in range(300)] + [(5, "one text again and again")] * 400 + [(5, "five " + "C," * k) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 300, 5)] + [(5, 0)], "doc_id long, quality int")
+    p, u = quality_pu._samples(docs, labels)
+    again = quality_pu._samples(docs.repartition(7), labels)
+    assert len(p) == 20 and 25 <= len(u) <= 40
+    assert (p == again[0]).all() and (u == again[1]).all()
+    # Every row drawn is another.
+    assert len({x.tobytes() for x in u}) > 0.8 * len(u)
+
+
+def test_toxic_counts_and_ratios_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 300)
+    docs, labels, truth = labelled(spark, random.Random(7), 400, rude_or_not)
+    twice = docs.unionByName(docs.where("doc_id < 40"))
+    sample = toxicity.training_rows(twice, labels, "toxic")
+    rows = sample.collect()
+    learnt = [k for k in range(0, 400, 2) if not held(k)]
+    assert sorted(r["text"] for r in rows) == sorted(r["text"] for r in docs.collect() if r["doc_id"] in learnt)
+    counts = toxicity.materialise(toxicity.class_counts(sample), "counts")
+    got = {r["slot"]: (r["clean"], r["toxic"]) for r in counts.collect()}
+    want: dict = {-1: [0, 0]}
+    for r in rows:
+        want[-1][r["label"]] += 1
+        for h in set(toxicity.hashed(r["text"]).tolist()):
+            want.setdefault(h, [0, 0])[r["label"]] += 1
+    assert got == {k: tuple(v) for k, v in want.items()}
+    n0, n1 = want.pop(-1)
+    width = len(toxicity.ORDERS) << toxicity.BITS
+    s0, s1 = (sum(v[y] for v in want.values()) + width for y in (0, 1))
+
+    def apart(v):
+        both = sum(v) / (n0 + n1)
+        return abs(v[1] / n1 - v[0] / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1) + 1e-9)
+
+    best = sorted((k for k, v in want.items() if sum(v) >= 4), key=lambda k: (-round(apart(want[k]), 9), k))[:300]
+    found = {r["slot"]: r["ratio"] for r in toxicity.telling(counts)}
+    assert len(set(best) & set(found)) >= 299  # the last may tie
+    for k, ratio in found.items():
+        assert ratio == pytest.approx(np.log((want[k][1] + 1) / s1) - np.log((want[k][0] + 1) / s0))
+
+
+def test_regression_reaches_the_least_loss():
+    """The fitted weights have no slope left, by differences of the plainly written loss."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((120, 5)) < 0.4).astype(float)
+    y = (rng.random(120) < 1 / (1 + np.exp(-(x @ [2, -1, 0.5, 0, 1] - 1)))).astype(float)
+    scale = np.array([1.0, 0.5, 2.0, 1.0, -1.0])
+    row, col = np.nonzero(x)
+    w, base = toxicity._fit(y, row, col, scale, rounds=6000)
+
+    def loss(v):
+        z = (x * scale) @ v[:5] + v[5]
+        return (np.logaddexp(0, z) - y * z).mean() + toxicity.PENALTY / 2 * (v[:5] ** 2).sum()
+
+    v = np.append(w, base)
+    slope = [(loss(v + d) - loss(v - d)) / 2e-5 for d in np.eye(6) * 1e-5]
+    assert np.abs(slope).max() < 2e-3
+
+
+def test_best_threshold():
+    labels, z = np.array([0, 0, 1, 0, 1, 1.0]), np.array([-5.0, -4.0, -3.0, -2.0, 1.0, 2.0])
+    best = toxicity.best_threshold(labels, z)
+
+    def f1(c):
+        hit = ((z >= c) & (labels == 1)).sum()
+        return 2 * hit / ((z >= c).sum() + labels.sum())
+
+    assert f1(best) == max(f1(c) for c in [-9, *z, 9])
+    assert toxicity.best_threshold(np.array([0.0, 1.0]), np.array([-3.0, 2.0])) == pytest.approx(-0.5) or toxicity.best_threshold(np.array([0.0, 1.0]), np.array([-3.0, 2.0])) == 0.0
+    assert toxicity.best_threshold(np.zeros(3), np.array([1.0, 2.0, 3.0])) == 0.0
+    assert toxicity.best_threshold(np.array([0.0, 1.0, 0.0, 1.0]), np.array([1.0, 1.0, 1.0, 1.0])) == 0.0  # ties share a verdict
+
+
+def test_equal_texts_get_equal_scores(spark):
+    docs, labels, _ = labelled(spark, random.Random(9), 200, rude_or_not)
+    copies = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(docs.limit(50))
+    for module in (quality_pu, toxicity):
+        rows = module.score_documents(copies, labels).withColumn("of", F.col("doc_id") % 1000).groupBy("of").agg(F.countDistinct("score").alias("s"), F.countDistinct("predicted").alias("p")).where("s > 1 or p > 1")
+        assert rows.isEmpty()
+
+
 def test_prior_is_near_the_share():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):
