@@ -42,8 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Everything that this process writes there is in one folder.
+_RUN = uuid.uuid4().hex
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/loomwright/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/loomwright/{_RUN}/{tag}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder. Results that haven't been saved elsewhere go with it."""
+    _delete(spark, f"{shared_dir(spark)}/loomwright/{_RUN}")
 
 
 _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
@@ -74,10 +88,8 @@ def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], D
         yield lasting
     finally:
         _MADE.reset(token)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in made:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(spark, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

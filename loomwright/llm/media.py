@@ -5,12 +5,14 @@ into ZIP archives of about ``roll_mb`` and reports their names; only archives of
 manifest, which the driver writes last. A task that ran twice or died leaves a file that no manifest names.
 
 Reading: the plan splits each archive of the manifest into byte ranges of ``range_mb``. A task takes the members
-whose headers begin in its range, fetches each by its own offset, and retries that member alone when a read is
-short or its checksum is wrong. Members leave in Arrow batches of at most ``batch_mb``. The directory is
-opened through the file system that its URI names, on driver and executors alike.
+whose headers begin in its range, fetches each by its own offset, and retries that member alone, from a newly opened
+archive, when a read fails, is short, or its checksum is wrong. Members leave in Arrow batches of at most ``batch_mb``.
+The directory is opened through the file system that its URI names, on driver and executors alike.
 
 Cases: a null payload is stored as an empty one; a null key stays null; repeated rows are members of their own;
-an empty table leaves an empty manifest and reads as no rows; further columns are ignored.
+an empty table leaves an empty manifest and reads as no rows; further columns are ignored. A member that stays damaged
+is a row without media whose ``error`` says why, and null features; an archive whose own directory can't be read is
+one such row, without a key. All other members are read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
@@ -39,8 +43,10 @@ MANIFEST = "manifest.json"
 WIDTH = 64
 MB = 1 << 20
 ATTEMPTS = 4
+WAIT = 0.2  # seconds before the second attempt
 _LOCAL_HEADER = struct.Struct("<IHHHHHIIIHH")
 
+T = TypeVar("T")
 FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -166,22 +172,54 @@ class _Writer(DataSourceArrowWriter):
                 files.delete_file(f"{path}/{name}")
 
 
-def retried(read: Callable[[], bytes], attempts: int = ATTEMPTS, wait: float = 0.2) -> bytes:
-    """``read`` again, after growing waits, when the store fails or the bytes are short or damaged."""
+#: What a store or an archive may fail with.
+FAULTS = (OSError, EOFError, ValueError, NotImplementedError, struct.error, zipfile.BadZipFile, zlib.error)
+
+
+def retried(read: Callable[[], T], attempts: int = ATTEMPTS, wait: float = WAIT, again: Callable[[], None] = lambda: None) -> T:
+    """``read`` again, after growing waits and a call of ``again``, when the store fails or the bytes are short or damaged."""
     for k in range(attempts):
         try:
             return read()
-        except (OSError, ValueError, struct.error):
+        except FAULTS:
             if k == attempts - 1:
                 raise
             time.sleep(wait * 2**k)
+            again()
     raise AssertionError
 
 
-def member(file, info: zipfile.ZipInfo) -> bytes:  # noqa: ANN001
+class Archive:
+    """An archive that is opened when first needed, and again after ``close``."""
+
+    def __init__(self, files, path: str) -> None:  # noqa: ANN001
+        self.files, self.path, self.opened = files, path, None
+
+    @property
+    def file(self):  # noqa: ANN202
+        if self.opened is None:
+            self.opened = self.files.open_input_file(self.path)
+        return self.opened
+
+    def close(self) -> None:
+        opened, self.opened = self.opened, None
+        if opened is not None:
+            with suppress(*FAULTS):
+                opened.close()
+
+    def members(self) -> list[zipfile.ZipInfo]:
+        def read() -> list[zipfile.ZipInfo]:
+            with zipfile.ZipFile(self.file) as archive:
+                return archive.infolist()
+
+        return retried(read, again=self.close)
+
+
+def member(archive: Archive, info: zipfile.ZipInfo) -> bytes:
     """The bytes of a stored member, from its offset alone."""
 
     def read() -> bytes:
+        file = archive.file
         file.seek(info.header_offset)
         head = file.read(_LOCAL_HEADER.size)
         fields = _LOCAL_HEADER.unpack(head)
@@ -191,7 +229,7 @@ def member(file, info: zipfile.ZipInfo) -> bytes:  # noqa: ANN001
             raise ValueError(f"member {info.filename} at {info.header_offset} is short or damaged")
         return data
 
-    return retried(read)
+    return retried(read, again=archive.close)
 
 
 class _Reader(DataSourceReader):
@@ -202,8 +240,12 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         files, path = filesystem(self.path)
-        with files.open_input_stream(f"{path}/{MANIFEST}") as f:
-            names = json.loads(f.read())
+
+        def manifest() -> bytes:
+            with files.open_input_stream(f"{path}/{MANIFEST}") as f:
+                return f.read()
+
+        names = json.loads(retried(manifest))
         ranges = [Range(name, at, min(size, at + self.range)) for name, size in names for at in range(0, size, self.range)]
         return ranges or [Range("", 0, 0)]
 
@@ -211,25 +253,36 @@ class _Reader(DataSourceReader):
         if not partition.name:
             return
         files, path = filesystem(self.path)
-        with files.open_input_file(f"{path}/{partition.name}") as file:
-            with zipfile.ZipFile(file) as archive:
-                mine = [i for i in archive.infolist() if partition.start <= i.header_offset < partition.stop]
-            rows: list[tuple] = []
-            size = 0
+        archive = Archive(files, f"{path}/{partition.name}")
+        rows: list[tuple] = []
+        size = 0
+        try:
+            try:
+                mine = [i for i in archive.members() if partition.start <= i.header_offset < partition.stop]
+            except FAULTS as e:
+                mine = []
+                if partition.start == 0:  # said once for the archive
+                    rows.append((None, None, partition.name, None, f"{partition.name}: {type(e).__name__}: {e}"))
             for info in mine:
                 _, key, n_bytes = info.filename.removesuffix(".png").split("_")
-                media = member(file, info)
-                rows.append((int(key) if key else None, int(n_bytes), f"{partition.name}:{info.header_offset}", media))
-                size += len(media)
+                media, error = None, None
+                try:
+                    media = member(archive, info)
+                except FAULTS as e:
+                    error = f"{partition.name}: {type(e).__name__}: {e}"
+                rows.append((int(key) if key else None, int(n_bytes), f"{partition.name}:{info.header_offset}", media, error))
+                size += len(media or b"")
                 if size >= self.batch:
                     yield self._batch(rows)
                     rows, size = [], 0
             if rows:
                 yield self._batch(rows)
+        finally:
+            archive.close()
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (("key", pa.int64()), ("n_bytes", pa.int64()), ("origin", pa.string()), ("media", pa.binary()))
+        kinds = (("key", pa.int64()), ("n_bytes", pa.int64()), ("origin", pa.string()), ("media", pa.binary()), ("error", pa.string()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
 
@@ -239,7 +292,7 @@ class MediaArchive(DataSource):
         return FORMAT
 
     def schema(self) -> str:
-        return "key long, n_bytes long, origin string, media binary"
+        return "key long, n_bytes long, origin string, media binary, error string"
 
     def reader(self, schema) -> _Reader:  # noqa: ANN001
         return _Reader(self.options)
@@ -273,15 +326,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def media_features(archives: DataFrame) -> DataFrame:
-    """``doc_id`` and the columns of ``FEATURES``, all from the stored bytes."""
+    """``doc_id`` and the columns of ``FEATURES``, all from the stored bytes, and ``error``."""
 
     @F.pandas_udf(FEATURES.replace("n_bytes long, ", "", 1))
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FEATURES.split(", ")][1:]
         for media in batches:
-            yield pd.DataFrame([describe(bytes(b)) for b in media], columns=names)
+            rows = [describe(bytes(b)) if b is not None else (None,) * len(names) for b in media]
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
 
-    return archives.select(F.col("key").alias("doc_id"), "n_bytes", look("media").alias("f")).select("doc_id", "n_bytes", "f.*")
+    return archives.select(F.col("key").alias("doc_id"), "n_bytes", look("media").alias("f"), "error").select("doc_id", "n_bytes", "f.*", "error")
 
 
 def store_and_describe(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import json
 import math
 import os
 import random
 import re
+import struct
+import time
+import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -362,8 +368,118 @@ def test_media_round_trip(spark, odd, empty, tmp_path):
     assert len(parts) > 3 and sum(b.num_rows for p in parts for b in reader.read(p)) == len(ODD)
 
 
-def test_member_is_read_again():
-    calls = []
+def stored(path):
+    """The archives that a manifest names, and their members' bytes by key, through the standard library."""
+    names = [n for n, _ in json.loads((path / media.MANIFEST).read_text())]
+    found = {}
+    for name in names:
+        with zipfile.ZipFile(path / name) as z:
+            found |= {int(i.filename.split("_")[1]): z.read(i) for i in z.infolist()}
+    return names, found
+
+
+def plain_decode(png):
+    """Rows of samples of an 8-bit grey image: every filter type of the format, byte by byte."""
+    at, data, head = 8, b"", None
+    while at < len(png):
+        (size,) = struct.unpack(">I", png[at : at + 4])
+        kind, body = png[at + 4 : at + 8], png[at + 8 : at + 8 + size]
+        head, data = (struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head), data + (body if kind == b"IDAT" else b"")
+        at += 12 + size
+    width, height, depth, colour, *_ = head
+    assert (depth, colour) == (8, 0)
+    raw, rows = zlib.decompress(data), []
+    for y in range(height):
+        line = raw[y * (width + 1) : (y + 1) * (width + 1)]
+        row = []
+        for x, v in enumerate(line[1:]):
+            left, up = (row[x - 1] if x else 0), (rows[-1][x] if rows else 0)
+            corner = rows[-1][x - 1] if rows and x else 0
+            paeth = min((left, up, corner), key=lambda p: abs(left + up - corner - p))
+            row.append((v + (0, left, up, (left + up) // 2, paeth)[line[0]]) % 256)
+        rows.append(row)
+    return rows
+
+
+def test_stored_form_and_features_by_an_independent_reader(spark, tmp_path):
+    rng = random.Random(4)
+    texts = {k: "".join(rng.choice("abc é日\n") for _ in range(rng.randint(0, 900))) for k in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r for r in media.store_and_describe(df, str(tmp_path)).collect()}
+    _, members = stored(tmp_path)
+    assert set(members) == set(got) == set(texts)
+    for k, png in members.items():
+        rows = plain_decode(png)
+        flat = [v for row in rows for v in row]
+        data = texts[k].encode()
+        assert bytes(flat) == data + bytes(len(flat) - len(data)) and len(flat) % 64 == 0 and 0 < len(flat) < len(data) + 65
+        r = got[k]
+        assert (r["media_bytes"], r["media_sha256"], r["error"]) == (len(png), hashlib.sha256(png).hexdigest(), None)
+        n, mean = len(flat), sum(flat) / len(flat)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(flat).values())
+        std = math.sqrt(sum((v - mean) ** 2 for v in flat) / n)
+        shape, found_mean, found_std, found_entropy, bands = (x.split("=")[-1] for x in r["feature"].split(";"))
+        assert shape == f"{len(rows)}x64" and len(bands) == 8
+        assert [float(x) for x in (found_mean, found_std, found_entropy)] == pytest.approx([mean, std, entropy], abs=1e-4)
+
+
+def test_damaged_members_cost_only_themselves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "WAIT", 0.001)
+    df = spark.createDataFrame([(k, f"text {k} " * 50) for k in range(40)], "doc_id long, text string").repartition(4)
+    media.write_archives(df.select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("payload")), str(tmp_path))
+    names, members = stored(tmp_path)
+    assert len(names) == 4
+    with zipfile.ZipFile(tmp_path / names[0]) as z:  # a byte within one member's data is turned
+        hurt = z.infolist()[2]
+    raw = bytearray((tmp_path / names[0]).read_bytes())
+    raw[hurt.header_offset + 30 + len(hurt.filename) + 20] ^= 255
+    (tmp_path / names[0]).write_bytes(raw)
+    with zipfile.ZipFile(tmp_path / names[1]) as z:
+        cut = {int(i.filename.split("_")[1]) for i in z.infolist()}
+    (tmp_path / names[1]).write_bytes((tmp_path / names[1]).read_bytes()[:-400])  # the directory is cut off
+    rows = media.media_features(media.read_archives(spark, str(tmp_path))).collect()
+    bad = [r for r in rows if r["error"]]
+    assert {(r["doc_id"], r["n_bytes"] is None, r["media_sha256"]) for r in bad} == {(int(hurt.filename.split("_")[1]), False, None), (None, True, None)}
+    assert all("damaged" in r["error"] or names[1] in r["error"] for r in bad)
+    good = {r["doc_id"]: r["media_sha256"] for r in rows if not r["error"]}
+    assert set(good) == set(members) - cut - {int(hurt.filename.split("_")[1])}
+    assert all(hashlib.sha256(members[k]).hexdigest() == v for k, v in good.items())
+
+
+class Flaky:
+    """A file system whose first handles on a file are cut short or fail."""
+
+    def __init__(self, files, bad):
+        self.files, self.bad, self.opens = files, bad, 0
+
+    def __getattr__(self, name):
+        return getattr(self.files, name)
+
+    def open_input_file(self, path):
+        self.opens += 1
+        if self.opens <= self.bad:
+            if self.opens % 2:
+                raise OSError("the store is away")
+            return io.BytesIO(self.files.open_input_file(path).read()[:100])
+        return self.files.open_input_file(path)
+
+
+def test_an_archive_is_opened_again(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(k, f"text {k} " * 50) for k in range(10)], "doc_id long, text string").repartition(1)
+    media.write_archives(df.select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("payload")), str(tmp_path))
+    monkeypatch.setattr(time, "sleep", lambda s: None)
+    whole = media.filesystem
+    for bad, lost in ((3, 0), (99, 1)):
+        flaky = Flaky(whole(str(tmp_path))[0], bad)
+        monkeypatch.setattr(media, "filesystem", lambda uri, flaky=flaky: (flaky, whole(uri)[1]))
+        reader = media._Reader({"path": str(tmp_path)})
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert sum(r["error"] is not None for r in rows) == lost and len(rows) == (1 if lost else 10)
+        assert flaky.opens >= (media.ATTEMPTS if lost else bad + 1)
+
+
+def test_reads_are_tried_again():
+    calls, again = [], []
 
     def read():
         calls.append(1)
@@ -371,7 +487,7 @@ def test_member_is_read_again():
             raise OSError("gone")
         return b"x"
 
-    assert media.retried(read, wait=0.001) == b"x" and len(calls) == 3
+    assert media.retried(read, wait=0.001, again=lambda: again.append(1)) == b"x" and (len(calls), len(again)) == (3, 2)
     with pytest.raises(ValueError, match="damaged"):
         media.decode_png(media.encode_png(bytes(64))[:-20] + b"\0" * 20)
 
