@@ -434,3 +434,81 @@ def test_pipeline_stages(spark, tmp_path):
     assert found["packing"].groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
     rerun = [sorted(map(tuple, df.collect())) for df in (found["packing"].select("doc_id", "start", "length", "ids_crc32"), pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32"))]
     assert [r[0] for r in rerun[0]] and len(rerun[0]) == len(rerun[1])
+
+
+#: Nulls in every column, blank, very long and repeated texts, one language of letters outside ASCII, and columns that the stages' own are named like.
+ODD = [
+    (1, "Plain words in a sentence, and more of them. " * 6, "en", "a", 276, "x", 1, -1),
+    (1, "Plain words in a sentence, and more of them. " * 6, "en", "a", 276, "x", 1, -1),
+    (2, "Plain words in a sentence, and more of them. " * 6, None, "b", 276, "x", 2, -1),
+    (None, None, None, None, None, None, None, None),
+    (None, "Write to me@example.com or me (at) example (dot) org. " + "Then some words follow, as they do in prose. " * 9, "en", None, None, "y", None, -1),
+    (3, "", "en", "a", 0, None, 3, -1),
+    (4, " \t\n", "en", "b", 3, None, 3, -1),
+    (5, "many words of a long text that goes on. " * 40_000, "en", "b", None, None, 3, -1),
+    (6, "Été à la plage, où l'on lit des livres. " * 20, "fr", "c", 800, "z", 3, -1),
+]
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, _row_key int, _mix_size int"
+
+
+@pytest.mark.parametrize("with_labels", [True, False])
+def test_pipeline_of_odd_rows(spark, tmp_path, with_labels):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    path = str(tmp_path)
+    docs = spark.createDataFrame(ODD, ODD_SCHEMA).repartition(3)
+    docs.write.parquet(f"{path}/documents.parquet")
+    rows = [(1, 1, 0), (6, 1, 0), (4, 0, 1), (None, 1, 1), (2, None, None)] if with_labels else []
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    kept = spark.read.parquet(f"{path}/documents.parquet")
+    found = {}
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, kept, path).write.parquet(f"{path}/{k}")
+        kept = found[name] = spark.read.parquet(f"{path}/{k}")
+        if name != "packing":
+            assert kept.columns == docs.columns
+            assert kept.where("doc_id is not null and _mix_size != -1").isEmpty() and {r["label"] for r in kept.select("label").collect()} <= {"x", "y", "z", None}
+    if not with_labels:
+        assert found["quality classifier"].count() == len(ODD)
+    before, after = (sorted(map(str, found[n].collect())) for n in ("quality classifier", "n-gram Jaccard join"))
+    # Of the first three rows one stays; all others do.
+    copies = [r for r in before if "Plain words" in r]
+    assert len([r for r in after if "Plain words" in r]) == min(1, len(copies)) and set(after) <= set(before)
+    assert sorted(r for r in after if "Plain words" not in r) == sorted(r for r in before if "Plain words" not in r)
+    assert found["PII"].where(F.col("text").contains("example")).isEmpty() and found["PII"].count() == len(after)
+    assert found["PII"].where("text is null").count() == found["n-gram Jaccard join"].where("text is null").count()
+    sizes = found["PII"].groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(WORD.pattern))).alias("n")).collect()
+    mixed = found["mixing"].agg(F.sum(F.regexp_count("text", F.lit(WORD.pattern)))).first()[0]
+    assert abs(mixed - 1.5 * sum(r["n"] or 0 for r in sizes)) <= 2 * len(sizes)
+    assert found["packing"].groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], ODD_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_cleanup_deletes_what_was_written(spark, tmp_path):
+    from loomwright.llm import common
+
+    at = common.scratch(spark, "x").rsplit("/", 1)[0]
+    materialise(spark.range(3), "x")
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.exists(jvm.org.apache.hadoop.fs.Path(at))
+    common.cleanup(spark)
+    assert not files.exists(jvm.org.apache.hadoop.fs.Path(at))
+
+
+def test_join_of_very_long_texts_and_equal_rows(spark):
+    rng = random.Random(14)
+    long = rng.choices([f"w{k}" for k in range(5000)], k=30_000)
+    near = list(long)
+    for _ in range(300):
+        near[rng.randrange(len(near))] = "other"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (2, " ".join(near)), (3, " ".join(long[:9000])), (None, " ".join(long))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["class_id"], r["n_links"], r["class_size"]) for r in jj.near_duplicates(df).collect())
+    assert got == [(0, 1, 3, 4), (1, 1, 3, 4), (2, 1, 3, 4), (2, 1, 3, 4), (3, 3, 0, 1)]
+    assert sorted(r["doc_id"] for r in jj.one_of_each(df).collect()) == [1, 3]
