@@ -2,6 +2,12 @@
 
 Each stage takes the documents that the one before kept and returns documents with the same columns, the last one
 packed pieces. ``run`` applies them one after another, each result written to the shared folder and read again.
+
+Cases: a null text is judged, kept, masked and packed as an empty one, and as a null it leaves the stages that return
+documents; texts without words are copies of nothing and take no words in the mix, so it leaves them out; null ids and
+sources are kept as such; repeated rows are copies of one another; ties are broken by hashes of the rows; without labels
+to learn from the classifier gives everything its prior and rejects nothing; an empty table gives no rows at any stage.
+Further columns go through unchanged, whatever their names. ``n_chars``, where there is one, follows the text.
 """
 
 from __future__ import annotations
