@@ -116,9 +116,19 @@ _AT_MARK = re.compile(rf"(?i)\x20{{0,2}}{_SURE_AT}\x20{{0,2}}|\x20at\x20{_HOST_A
 _DOT_MARK = re.compile(rf"(?i)\x20{{0,2}}{_SURE_DOT}\x20{{0,2}}|(?<=[\w-])\x20dot\x20(?=[a-z]{{2}})")
 #: Between digits a dot mark needs no address around it.
 _DIGIT_DOT_MARK = re.compile(rf"(?i)(?<=[0-9])(?:\x20{{0,2}}{_SURE_DOT}\x20{{0,2}}|\x20dot\x20)(?=[0-9])")
-#: What any of these needs, for texts in lower case, from their own parts.
-_HAS_AT = re.compile(rf"{_SURE_AT}|\x20at\x20(?=[\w-]{{1,63}}{_ANY_DOT})|\x20@|@\x20")
-_HAS_DOT = re.compile(rf"{_SURE_DOT}|\x20dot\x20")
+# What any of these needs, in texts in lower case: plain strings first, as most texts have none of them.
+_CLOSED = (")", "]", "}", ">", " )", " ]", " }", " >")
+_CLOSED_AT = tuple("at" + c for c in _CLOSED)
+_OPENED_DOT = tuple(o + "." for o in ("(", "[", "{", "<", "( ", "[ ", "{ ", "< "))
+_BARE_AT = re.compile(rf"\x20at\x20(?=[\w-]{{1,63}}{_ANY_DOT})")
+
+
+def _may_have_at(low: str) -> bool:
+    return "@" in low or "&#" in low or "&commat;" in low or any(x in low for x in _CLOSED_AT) or (" at " in low and _BARE_AT.search(low) is not None)
+
+
+def _may_have_dot(low: str) -> bool:
+    return "dot" in low or "&#" in low or "&period;" in low or any(x in low for x in _OPENED_DOT)
 
 
 @lru_cache(1)
@@ -225,23 +235,20 @@ def normalise(text: str) -> Mapped:
     if _has_odd(text):
         out = out.rewrite(_alike_edits(out.text))
     low = out.text.lower()
-    if sum(map(low.count, _SPELLED)) >= 3 and _HAS_SPELLED.search(low):
+    spelled = sum(map(low.count, _SPELLED))
+    if spelled >= 3 and _HAS_SPELLED.search(low):
         out = out.rewrite(_spelled_edits(out.text))
-    if _HAS_MIXED.search(low):
+    if (spelled or "plus" in low) and _DIGIT.search(low) and _HAS_MIXED.search(low):
         out = out.rewrite(_mixed_edits(out.text))
-    if _has_mark(_HAS_AT, low):
+    if _may_have_at(low):
         out = out.rewrite(_mark_edits(_AT_MARK, "@", out.text))
-    if _has_mark(_HAS_DOT, low):
+    if _may_have_dot(low):
         out = out.rewrite(_mark_edits(_DIGIT_DOT_MARK, ".", out.text))
         if "@" in out.text:  # no other kind has a dot beside a letter
             out = out.rewrite(_mark_edits(_DOT_MARK, ".", out.text))
     return out
 
 
-def _has_mark(needed: re.Pattern[str], low: str) -> bool:
-    return needed.search(low) is not None
-
-
 _BARE = re.compile(r"(?i)\x20(?:at|dot)\x20|\x20@|@\x20")
 _PLAIN_HOST = re.compile(r"(?i)\x20at\x20[\w.-]+$")
 # The endings that tell an address spelled in plain words from prose.
