@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import Bloom, materialise
+
 # The address rules (verdict, host/path).
 ADDRESSES = (
     ("allow", "org/"),
@@ -106,10 +108,11 @@ def token_counts(urls: DataFrame, rules: Iterable[Rule]) -> dict[str, int]:
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    tokens = urls.sparkSession.createDataFrame(pd.DataFrame({"token": wanted}))
+    tokens = materialise(urls.sparkSession.createDataFrame(pd.DataFrame({"token": wanted})).withColumn("key", F.xxhash64("token")), "url-tokens")
     own = urls.select(F.explode(F.array_distinct(F.split(F.lower("url"), "[^a-z0-9]+"))).alias("token"))
-    # One row a token, and none for urls' other tokens: Spark sends the tokens to the urls while they are few.
-    return {r["token"]: r["count"] for r in own.join(tokens, "token", "left_semi").groupBy("token").count().collect()}
+    # Only the rules' tokens pass, and are counted where the urls are before anything moves, however common one is.
+    mine = Bloom(tokens.select("key")).among(own.withColumn("key", F.xxhash64("token")), "key")
+    return {r["token"]: r["count"] for r in mine.groupBy("token").count().join(tokens.select("token"), "token", "left_semi").collect()}
 
 
 class Index:
