@@ -104,17 +104,18 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(found)
 
 
+#: Tokens that are hashed at a time.
+_STRIPE = 2048
 _SEEDS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """For each position the least of the tokens' hashes, as 32 bits."""
-    out = np.empty(WIDTH, np.uint32)
+    """For each position the least of the tokens' hashes, as 32 bits: the upper half of products with odd numbers."""
     low = mix(tokens)
-    for k in range(WIDTH):
-        h = low * _SEEDS[k]
-        out[k] = (h ^ (h >> np.uint64(32))).astype(np.uint32).min()
-    return out
+    out = np.full(WIDTH, np.iinfo(np.uint64).max)
+    for at in range(0, len(low), _STRIPE):
+        np.minimum(out, np.multiply.outer(_SEEDS, low[at : at + _STRIPE]).min(1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def fingerprint(tokens: np.ndarray) -> bytes:
