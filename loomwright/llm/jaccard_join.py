@@ -78,12 +78,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+_ODD = 0x9E3779B97F4A7C15
+#: Powers that are kept for the next text: enough for most.
+_KEPT = 1 << 18
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
     p[:1] = 1
     return np.multiply.accumulate(p)
 
 
+#: What the words of a stretch are multiplied with, by place.
+_TURNS = _powers(0xD1342543DE82EF95, 65)[1:]
+_POWERS, _BACK = _powers(_ODD, _KEPT), _powers(pow(_ODD, -1, 1 << 64), _KEPT)
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the stretches of ``size`` words (runs of anything but ASCII white space)."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
@@ -92,16 +102,18 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
         return np.zeros(0, np.uint64)
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     first, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # A word's hash: its bytes weighted by powers of an odd number, counted from its own start.
-    word = np.maximum(np.cumsum(edge[:-1] == 1) - 1, 0)
-    place = np.where(inside, np.arange(len(raw)) - first[word], 0)
-    weighed = np.where(inside, (raw.astype(np.uint64) + np.uint64(1)) * _powers(int(place.max()) + 1)[place], np.uint64(0))
-    words = mix(np.add.reduceat(weighed, first) + (stop - first).astype(np.uint64))
+    # A word's hash: its bytes weighted by powers of an odd number, counted from its own start. Summed over the text
+    # with powers from the text's start, and brought back to the word's by the inverse.
+    n = len(raw)
+    powers, back = (_POWERS, _BACK) if n < _KEPT else (_powers(_ODD, n + 1), _powers(pow(_ODD, -1, 1 << 64), n + 1))
+    upto = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:n], out=upto[1:])
+    words = mix((upto[stop] - upto[first]) * back[first] + (stop - first).astype(np.uint64))
     n = max(1, len(words) - size + 1)
     found = np.zeros(n, np.uint64)
     for k in range(min(size, len(words))):
-        found = mix(found + words[k : k + n] * np.uint64(2 * k + 3))
-    return np.unique(found)
+        found += words[k : k + n] * _TURNS[k % len(_TURNS)]
+    return np.unique(mix(found))
 
 
 #: Tokens that are hashed at a time.
@@ -111,10 +123,9 @@ _SEEDS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A
 
 def signature(tokens: np.ndarray) -> np.ndarray:
     """For each position the least of the tokens' hashes, as 32 bits: the upper half of products with odd numbers."""
-    low = mix(tokens)
     out = np.full(WIDTH, np.iinfo(np.uint64).max)
-    for at in range(0, len(low), _STRIPE):
-        np.minimum(out, np.multiply.outer(_SEEDS, low[at : at + _STRIPE]).min(1), out=out)
+    for at in range(0, len(tokens), _STRIPE):
+        np.minimum(out, np.multiply.outer(_SEEDS, tokens[at : at + _STRIPE]).min(1), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
