@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import chat_views, jaccard_join, media, mixing, packing, pii, quality_pu, quality_rules, toxicity, url_rules
+from loomwright.llm import chat_views, jaccard_join, media, merkle, mixing, packing, pii, quality_pu, quality_rules, toxicity, url_rules
 from loomwright.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_line_ends).drop("path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_pu": op1_quality_pu,
     "op2_chat_views": op2_chat_views,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -68,4 +73,5 @@ ORACLES: dict[str, str] = {
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op6_url_filters": url_rules.oracle(),
     "op10_quality_rules": quality_rules.oracle(),
+    "op11_merkle_manifest": merkle.ORACLE,
 }
