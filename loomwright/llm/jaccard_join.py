@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import Bloom, fresh, materialise, passing_tables
+from loomwright.llm.words import mix, stretches, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -59,11 +60,6 @@ SAMPLE, CORE = 64, 0.5
 #: A pair is screened out when fewer of its signatures' values agree; at 0.8 that is 4 standard deviations off.
 SCREEN = 0.6
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
 def runs(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     """Trees needed for the recall of pairs at the threshold."""
     lost = 0.0
@@ -72,48 +68,10 @@ def runs(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(max(lost, 1e-12))))
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-_ODD = 0x9E3779B97F4A7C15
-#: Powers that are kept for the next text: enough for most.
-_KEPT = 1 << 18
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.multiply.accumulate(p)
-
-
-#: What the words of a stretch are multiplied with, by place.
-_TURNS = _powers(0xD1342543DE82EF95, 65)[1:]
-_POWERS, _BACK = _powers(_ODD, _KEPT), _powers(pow(_ODD, -1, 1 << 64), _KEPT)
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the stretches of ``size`` words (runs of anything but ASCII white space)."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    inside = ~_SPACE[raw]
-    if not inside.any():
-        return np.zeros(0, np.uint64)
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    first, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # A word's hash: its bytes weighted by powers of an odd number, counted from its own start. Summed over the text
-    # with powers from the text's start, and brought back to the word's by the inverse.
-    n = len(raw)
-    powers, back = (_POWERS, _BACK) if n < _KEPT else (_powers(_ODD, n + 1), _powers(pow(_ODD, -1, 1 << 64), n + 1))
-    upto = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:n], out=upto[1:])
-    words = mix((upto[stop] - upto[first]) * back[first] + (stop - first).astype(np.uint64))
-    n = max(1, len(words) - size + 1)
-    found = np.zeros(n, np.uint64)
-    for k in range(min(size, len(words))):
-        found += words[k : k + n] * _TURNS[k % len(_TURNS)]
-    return np.unique(mix(found))
+    words = word_hashes((text or "").encode("utf-8", "surrogatepass"))[0]
+    return np.unique(stretches(words, size)) if len(words) else np.zeros(0, np.uint64)
 
 
 #: Tokens that are hashed at a time.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import chat_views, jaccard_join, kmeans, media, merkle, mixing, packing, pii, quality_pu, quality_rules, toxicity, url_rules
+from loomwright.llm import chat_views, jaccard_join, kmeans, media, merkle, mixing, packing, pii, quality_pu, quality_rules, relative_lz, toxicity, url_rules
 from loomwright.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_line_ends).drop("path")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
@@ -79,5 +84,6 @@ ORACLES: dict[str, str] = {
     "op6_url_filters": url_rules.oracle(),
     "op10_quality_rules": quality_rules.oracle(),
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_substring_dedup": relative_lz.ORACLE,
     "op13_centroid_clustering": kmeans.ORACLE,
 }
