@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_UPLOAD_BYTES = 1_048_576
+from loomwright.config import Settings
+
+# Fixed value: the limit of an upload, where no setting says otherwise.
+MAX_UPLOAD_BYTES = Settings().max_upload_bytes
 
 # The messages of the rejections.
 NEITHER = "Provide either 'code' (pasted text) or 'file' (upload), not neither."
@@ -26,8 +29,9 @@ def _rules(code: Column, content: Column, n_bytes: Column, limit: int) -> list[t
     ]
 
 
-def status_and_detail(code: Column, content: Column, limit: int = MAX_UPLOAD_BYTES) -> Column:
-    """``struct<status int, detail string>``; 200 and null for admitted rows."""
+def status_and_detail(code: Column, content: Column, limit: int | None = None) -> Column:
+    """``struct<status int, detail string>``; 200 and null for admitted rows. The limit is the settings', unless given."""
+    limit = Settings.load().max_upload_bytes if limit is None else limit
     rules = _rules(code, content, F.octet_length(content), limit)
     verdict = lambda s, d: F.struct(F.lit(s).alias("status"), F.lit(d).cast("string").alias("detail"))
     out = verdict(200, None)
@@ -36,7 +40,7 @@ def status_and_detail(code: Column, content: Column, limit: int = MAX_UPLOAD_BYT
     return out
 
 
-def admit(submissions: DataFrame, limit: int = MAX_UPLOAD_BYTES, empty_code_is_absent: bool = True) -> DataFrame:
+def admit(submissions: DataFrame, limit: int | None = None, empty_code_is_absent: bool = True) -> DataFrame:
     """``submissions`` with ``status``, ``detail`` and ``source_text`` (null when rejected).
 
     A form field ``code`` left empty counts as absent unless told otherwise; an upload of no bytes is an empty file.

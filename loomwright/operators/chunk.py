@@ -1,18 +1,27 @@
-"""Documents to chunks, from the DataFrame API and as a table function."""
+"""Documents to chunks, from the DataFrame API and as table functions. Size and overlap are the settings', unless given."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, UserDefinedTableFunction
 
-from loomwright.functions.chunking import CHUNK_OVERLAP, CHUNK_SIZE, split_text
+from loomwright.config import Settings
+from loomwright.functions.chunking import split_text
 
 
-def chunks_of(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+def _sizes(size: int | None, overlap: int | None) -> tuple[int, int]:
+    settings = Settings.load()
+    return settings.chunk_size if size is None else size, settings.chunk_overlap if overlap is None else overlap
+
+
+def chunks_of(text: Column, size: int | None = None, overlap: int | None = None) -> Column:
     """The chunks of a text as an array of strings."""
+    size, overlap = _sizes(size, overlap)
 
     @F.pandas_udf("array<string>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -22,12 +31,13 @@ def chunks_of(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
     return split(text)
 
 
-def chunk_documents(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+def chunk_documents(documents: DataFrame, size: int | None = None, overlap: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each chunk of ``source, page, text, metadata``: same metadata, index, stable id and token estimate.
 
-    The id hashes source, page, index and text, so a second run makes the same rows.
+    The id hashes source, page, index and text, so a second run makes the same rows. Further columns go along if they
+    are to be kept.
     """
-    split = documents.select("source", "page", "metadata", F.posexplode(chunks_of(F.col("text"), size, overlap)).alias("chunk_index", "text"))
+    split = documents.select("source", "page", "metadata", *keep, F.posexplode(chunks_of(F.col("text"), size, overlap)).alias("chunk_index", "text"))
     page = F.coalesce(F.col("page").cast("string"), F.lit(""))
     chunk_id = F.sha2(F.concat_ws("\u0001", "source", page, F.col("chunk_index").cast("string"), "text"), 256)
     return split.select(
@@ -38,14 +48,50 @@ def chunk_documents(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int =
         "text",
         "metadata",
         F.ceil(F.length("text") / 4).cast("int").alias("est_tokens"),
+        *keep,
     )
 
 
-class ChunkText:
-    """Table function ``chunk_text(text, size, overlap)``: rows of ``chunk_index``, ``chunk``."""
+def _free(names: list[str], wanted: str) -> str:
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def table_functions(size: int | None = None, overlap: int | None = None) -> dict[str, UserDefinedTableFunction]:
+    """``chunk_text`` and ``chunk_documents`` for SQL. Size and overlap, where a call gives none, are those of now, not of a worker."""
+    usual = _sizes(size, overlap)
+    chosen = lambda size, overlap: (usual[0] if size is None else size, usual[1] if overlap is None else overlap)
+
+    class ChunkText:
+        """``chunk_text(text[, size, overlap])``: rows of ``chunk_index``, ``chunk``."""
+
+        def eval(self, text: str, size: int | None = None, overlap: int | None = None) -> Iterator[tuple[int, str]]:
+            yield from enumerate(split_text(text, *chosen(size, overlap)))
+
+    class ChunkDocuments:
+        """``chunk_documents(TABLE(t)[, size, overlap, text_column])``: the table's other columns, ``chunk_index`` and ``chunk``.
+
+        A row for each chunk. The schema follows the table's; where it has columns of these two names, the new ones get
+        an underscore at their end.
+        """
 
-    def eval(self, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Iterator[tuple[int, str]]:
-        yield from enumerate(split_text(text, size, overlap))
+        @staticmethod
+        def analyze(table: AnalyzeArgument, size: AnalyzeArgument | None = None, overlap: AnalyzeArgument | None = None, text_column: AnalyzeArgument | None = None) -> AnalyzeResult:
+            text = "text" if text_column is None else text_column.value
+            if not table.isTable or text not in table.dataType.names:
+                raise ValueError(f"chunk_documents needs a table with a column {text}")
+            if not isinstance(table.dataType[text].dataType, T.StringType):
+                raise ValueError(f"{text} isn't a string")
+            rest = [f for f in table.dataType.fields if f.name != text]
+            names = [f.name for f in rest]
+            return AnalyzeResult(T.StructType([*rest, T.StructField(_free(names, "chunk_index"), T.IntegerType()), T.StructField(_free(names, "chunk"), T.StringType())]))
 
+        def eval(self, row: Row, size: int | None = None, overlap: int | None = None, text_column: str = "text") -> Iterator[tuple]:
+            at = row.__fields__.index(text_column)
+            rest = (*row[:at], *row[at + 1 :])
+            for k, chunk in enumerate(split_text(row[at], *chosen(size, overlap))):
+                yield (*rest, k, chunk)
 
-chunk_text = F.udtf(ChunkText, returnType="chunk_index int, chunk string")
+    return {"chunk_text": F.udtf(ChunkText, returnType="chunk_index int, chunk string"), "chunk_documents": F.udtf(ChunkDocuments)}

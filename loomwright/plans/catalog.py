@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright import sql
 from loomwright.functions import vectors
 from loomwright.functions.admission import BOTH, NEITHER, NOT_UTF8, TOO_LARGE, status_and_detail, text_length
 from loomwright.functions.detect import EXTENSIONS, JAVA_SIGNALS, PYTHON_SIGNALS, detect_language, java_score, python_score
@@ -17,15 +16,20 @@ from loomwright.operators.chunk import chunk_documents, chunks_of
 from loomwright.operators.embed import hashing_encoder
 from loomwright.operators.search import top_k_cosine
 from loomwright.operators.validate import validate_syntax
+from loomwright.operators.vector_search import build_index, nearest, search_index
 from loomwright.plans.chunk_oracle import chunk_rows
 from loomwright.plans.intake import RESPONSE_COLUMNS, analyze_submissions, as_json
 from loomwright.plans.knowledge_base import Built, build_knowledge_base, count_by_extension
-from loomwright.sources import files
+from loomwright.sources import files, uploads
 from loomwright.sources.collection import read_collection
 from loomwright.sources.files import documents_from_table
+from loomwright.storage import scratch
+from loomwright.streaming import sink
+from loomwright.streaming.intake import stream_submissions
 
-# The standard tables hold prose, which has no signals of a language: code and file names are derived from the ids,
-# in Spark and in SQL alike. 6 and 5 have no common factor, so all thirty combinations occur.
+# The standard tables hold prose, which has no signals of a language: code and file names are derived from the ids, and the
+# text goes along whole, as comments or a string, in Spark and in SQL alike. So every character is admitted, searched for
+# signals and parsed, and SQL knows the verdict on any text. 6 and 5 have no common factor: all thirty combinations occur.
 PY_OK, JAVA_OK, TIE, JAVA_BAD, PY_BAD = "def f():\n    return ", "public class M{}", "import java.util.*; public class M{}", "private int x; public class Y{ System.out.println( import ", "def f(:"
 NAMES = ("A.PY", "b.java", "c.txt", "")
 LIMIT = 1_048_576
@@ -37,18 +41,36 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _commented(text: Column, mark: str) -> Column:
+    """A text as comment lines: what would end a line, or mean something in a comment, is replaced."""
+    return F.concat(F.lit(f"\n{mark} "), F.replace(F.translate(text, "\\\r\0", "/  "), F.lit("\n"), F.lit(f"\n{mark} ")))
+
+
+def _quoted(text: Column) -> Column:
+    """A text as a Python string."""
+    escaped = F.replace(F.replace(F.translate(text, "\0", " "), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    return F.concat(F.lit("text = \'\'\'"), escaped, F.lit("\'\'\'"))
+
+
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    six, five = F.col("doc_id") % 6, F.col("doc_id") % 5
-    code = F.when(six == 0, F.concat(F.lit(PY_OK), F.col("doc_id").cast("string"))).when(six == 1, JAVA_OK).when(six == 2, TIE).when(six == 3, JAVA_BAD).when(six == 4, PY_BAD).otherwise(F.col("text"))
+    six, five, text = F.col("doc_id") % 6, F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    python, java = _commented(text, "#"), _commented(text, "//")
+    heads = (F.concat(F.lit(PY_OK), F.col("doc_id").cast("string"), python), F.concat(F.lit(JAVA_OK), java), F.concat(F.lit(TIE), java), F.concat(F.lit(JAVA_BAD), java), F.concat(F.lit(PY_BAD), python))
+    code = reduce(lambda c, x: c.when(six == x[0], x[1]), list(enumerate(heads))[1:], F.when(six == 0, heads[0])).otherwise(_quoted(text))
     name = reduce(lambda c, x: c.when(five == x[0], x[1]), list(enumerate(NAMES))[1:], F.when(five == 0, NAMES[0]))
-    return docs.select(F.col("doc_id").alias("submission_id"), six.cast("int").alias("template"), code.alias("code"), name.alias("filename"))
+    return docs.select(F.col("doc_id").alias("submission_id"), six.cast("int").alias("template"), F.when(F.col("text").isNotNull() | (six != 5), code).alias("code"), name.alias("filename"))
+
+
+def _sql_commented(mark: str) -> str:
+    return f"chr(10) || '{mark} ' || replace(translate(coalesce(text, ''), chr(92) || chr(13) || chr(0), '/  '), chr(10), chr(10) || '{mark} ')"
 
 
 _SUBMISSIONS = f"""submissions AS (
   SELECT doc_id AS submission_id, CAST(doc_id % 6 AS INTEGER) AS template,
-    CASE doc_id % 6 WHEN 0 THEN 'def f():' || chr(10) || '    return ' || CAST(doc_id AS VARCHAR) WHEN 1 THEN '{JAVA_OK}' WHEN 2 THEN '{TIE}'
-      WHEN 3 THEN '{JAVA_BAD}' WHEN 4 THEN '{PY_BAD}' ELSE text END AS code,
+    CASE doc_id % 6 WHEN 0 THEN 'def f():' || chr(10) || '    return ' || CAST(doc_id AS VARCHAR) || {_sql_commented("#")} WHEN 1 THEN '{JAVA_OK}' || {_sql_commented("//")}
+      WHEN 2 THEN '{TIE}' || {_sql_commented("//")} WHEN 3 THEN '{JAVA_BAD}' || {_sql_commented("//")} WHEN 4 THEN '{PY_BAD}' || {_sql_commented("#")}
+      ELSE 'text = \'\'\'\'\'\'' || replace(replace(translate(text, chr(0), ' '), '\\', '\\\\'), '\'\'', '\\\'\'') || '\'\'\'\'\'\'' END AS code,
     CASE doc_id % 5 {" ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(NAMES))} END AS filename
   FROM documents)"""
 _text = lambda s: "'" + s.replace("'", "''") + "'"
@@ -71,13 +93,13 @@ def language_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admission_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid of pasted, uploaded, large and undecodable rows; the bytes are made from the id."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id")
-    i = F.col("doc_id")
-    code = F.when(i % 3 == 0, F.lit("x = 1"))
-    n = F.when(i % 7 == 0, LIMIT + 1).when(i % 7 == 1, LIMIT).otherwise(F.lit(10) + i % 7)
-    good = F.repeat(F.lit("a"), n.cast("int")).cast("binary")
-    bad = F.unhex(F.repeat(F.lit("FF"), n.cast("int")))
+    """A grid of pasted, uploaded, large and undecodable rows, made from the whole texts."""
+    docs, i = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("doc_id")
+    text, size = F.col("text"), F.octet_length("text")
+    code = F.when(i % 3 == 0, text)
+    most = F.when(i % 7 == 0, LIMIT + 1).when(i % 7 == 1, LIMIT).otherwise(0)
+    good = F.concat(text, F.repeat(F.lit("a"), F.greatest(most - size, F.lit(0)).cast("int"))).cast("binary")
+    bad = F.concat(F.unhex(F.lit("FF")), text.cast("binary"), F.repeat(F.lit("a"), F.greatest(most - size - 1, F.lit(0)).cast("int")).cast("binary"))
     content = F.when(i % 4 == 0, good).when(i % 4 == 1, bad).when(i % 4 == 2, good)
     judged = docs.select("doc_id", status_and_detail(code, content, LIMIT).alias("v"))
     return judged.select(i.alias("submission_id"), "v.status", "v.detail")
@@ -120,15 +142,9 @@ def _answers(responses: DataFrame) -> DataFrame:
     return out.select("submission_id", "status", *[F.get_json_object("body", f"$.{k}").alias(k) for k in ("language", "is_valid", "filename")])
 
 
-def _folder(spark: SparkSession, tag: str) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwright-")
-    return f"{base.rstrip('/')}/loomwright/{tag}-{uuid.uuid4().hex}"
-
-
 def submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every submission as a file of a name that is awkward to list, read back as an upload and answered."""
-    path = _folder(spark, "submissions")
+    path = scratch(spark, "submissions")
     rows = submissions(spark, sf_dir)
     odd = F.element_at(F.array(*map(F.lit, ODD_NAMES)), (F.col("submission_id") % len(ODD_NAMES) + 1).cast("int"))
     files.write_files(rows.select(F.concat(odd, F.col("submission_id").cast("string"), F.lit("_"), F.coalesce("filename", F.lit("none"))).alias("name"), F.col("code").alias("content")), path)
@@ -139,7 +155,7 @@ def submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files of three extensions, one of them not read, loaded again."""
-    path = _folder(spark, "documents")
+    path = scratch(spark, "documents")
     docs = _read(spark, sf_dir, "documents")
     ending = F.element_at(F.array(*map(F.lit, (".md", ".txt", ".rst"))), (F.col("doc_id") % 3 + 1).cast("int"))
     files.write_files(docs.select(F.concat(F.col("source"), F.lit("/a b/"), F.col("doc_id").cast("string"), ending).alias("name"), F.col("text").alias("content")), path)
@@ -171,26 +187,67 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).groupBy("origin").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("characters"))
 
 
-def _collection(spark: SparkSession, sf_dir: str) -> tuple[Built, DataFrame]:
-    """The documents, each twice, indexed twice over into one collection beside another, which is read back."""
-    path = _folder(spark, "collection")
-    docs = documents_from_table(_read(spark, sf_dir, "documents"))
+def _collection(spark: SparkSession, sf_dir: str) -> tuple[Built, Built, DataFrame]:
+    """The documents, each twice, in a collection that held others before: one in a hundred was another text, some have vanished, some are new."""
+    path = scratch(spark, "collection")
+    rows, i = _read(spark, sf_dir, "documents"), F.col("doc_id")
+    docs = documents_from_table(rows)
+    gone = rows.where(i % 50 == 3).withColumn("doc_id", -i - 1)
+    before = rows.where(i % 100 != 11).withColumn("text", F.when(i % 100 == 7, F.concat(F.lit("Before. "), "text")).otherwise(F.col("text")))
     build_knowledge_base(docs.limit(1), path, hashing_encoder(16), "other")
-    for _ in range(2):
-        built = build_knowledge_base(docs.unionByName(docs), path, hashing_encoder(), "check")
-    return built, read_collection(spark, path, "check")
+    build_knowledge_base(documents_from_table(before.unionByName(gone)), path, hashing_encoder(), "check")
+    built = build_knowledge_base(docs.unionByName(docs), path, hashing_encoder(), "check")
+    again = build_knowledge_base(docs, path, hashing_encoder(), "check")
+    return built, again, read_collection(spark, path, "check")
 
 
 def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a collection holds: chunks with vectors of the test encoder, and what identifies it."""
     norm = F.round(vectors.l2_norm(F.col("embedding")), 4)
-    return _collection(spark, sf_dir)[1].select("chunk_id", "collection", "encoder_id", "dim", F.size("embedding").alias("width"), norm.alias("norm"))
+    return _collection(spark, sf_dir)[2].select("chunk_id", "collection", "encoder_id", "dim", F.size("embedding").alias("width"), norm.alias("norm"))
 
 
 def knowledge_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts that a build reports, and the rows that its collection has."""
-    built, rows = _collection(spark, sf_dir)
-    return rows.agg(F.lit(built.documents).cast("long").alias("documents"), F.lit(built.chunks).cast("long").alias("chunks"), F.count("*").alias("written"))
+    """What builds report: documents and chunks, the chunks encoded for a change and for none, and the rows that the collection has."""
+    built, again, rows = _collection(spark, sf_dir)
+    told = {"documents": built.documents, "chunks": built.chunks, "encoded": built.encoded, "encoded_again": again.encoded, "left_again": again.left}
+    return rows.agg(*[F.lit(v).cast("long").alias(k) for k, v in told.items()], F.count("*").alias("written"))
+
+
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' markup cut by the table function, from SQL, with the pages' other columns."""
+    sql.register(spark)
+    _read(spark, sf_dir, "pages").createOrReplaceTempView("loomwright_pages")
+    return spark.sql("SELECT page_id, url, chunk_index, md5(chunk) AS digest, length(chunk) AS length FROM chunk_documents(TABLE(loomwright_pages), 800, 100, 'html')")
+
+
+def _text_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files, three in four of them in one folder."""
+    path, i = scratch(spark, "files"), F.col("doc_id")
+    folder = F.when(i % 4 == 0, F.concat(F.lit("deep/"), (i % 8).cast("string"), F.lit("/"))).otherwise("flat/")
+    ending = F.element_at(F.array(*map(F.lit, (".md", ".TXT", ""))), (i % 3 + 1).cast("int"))
+    files.write_files(_read(spark, sf_dir, "documents").select(F.concat(folder, F.lit("_"), i.cast("string"), ending).alias("name"), F.col("text").alias("content")), path)
+    return path
+
+
+def files_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by the data source, from SQL, with filters on size and extension that keep other files closed."""
+    uploads.register(spark)
+    path = _text_files(spark, sf_dir)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW loomwright_uploaded USING {uploads.NAME} OPTIONS (path '{path}')")
+    return spark.sql("SELECT filename, extension, n_bytes, md5(content) AS digest FROM loomwright_uploaded WHERE n_bytes >= 200 AND extension IN ('.md', '.txt')")
+
+
+def files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream, judged into answers and rejects, each once though a batch is given twice."""
+    path = _text_files(spark, sf_dir)
+    log, out = scratch(spark, "files-log"), scratch(spark, "files-out")
+    submitted = stream_submissions(spark, path, log, 4000)
+    sink.run(submitted, out, scratch(spark, "files-state"), 4000).awaitTermination()
+    batch = files.read_submissions(spark, path, 4000)
+    assert not sink.write_batch(batch, 0, out, 4000)
+    name = files.file_name(F.col("path"))
+    return sink.read(spark, out).select(name.alias("name"), "status", "kind", F.get_json_object("body", "$.language").alias("language"))
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +268,27 @@ def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _read(spark, sf_dir, "embeddings")
+    return rows.where(F.col("vec_id") % 50 == 0), rows
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to each of those whose id 50 divides, exactly."""
+    found = nearest(*_asked(spark, sf_dir), 10)
+    return found.select("query", F.col("rank").cast("long").alias("rank"), "id", F.round("similarity", 6).alias("similarity"))
+
+
+def indexed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an inverted file over all vectors; how many of the exact ten each query finds."""
+    asked, rows = _asked(spark, sf_dir)
+    index = build_index(rows, scratch(spark, "vector-index"))
+    found = search_index(spark, index, asked, 10, probes=16)
+    exact = nearest(asked, rows, 10)
+    both = exact.select("query", "id").join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return both.groupBy("query").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_language": detect,
     "detect_scores": detect_scores,
@@ -227,18 +305,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_stats": chunk_stats,
     "index_documents": index_documents,
     "knowledge_base_counts": knowledge_base_counts,
+    "chunk_table": chunk_table,
+    "files_source": files_source,
+    "files_stream": files_stream,
+    "nearest_vectors": nearest_vectors,
+    "indexed_vectors": indexed_vectors,
     "normalize_vectors": normalize_vectors,
     "topk_cosine": topk_cosine,
 }
 
-# Whether a row's code is valid in the language it was taken for. Of prose SQL can tell only this: blank texts and comments
-# are code, one word (with a comment, maybe) is legal Python, and what else the tables hold isn't.
-_NO_PROSE = r"'^\s*([\p{L}_][\p{L}\p{N}_]*)?\s*(#[^\n]*\s*)*$'"
-_VALID_PYTHON = f"(template = 0 OR template = 5 AND regexp_matches(code, {_NO_PROSE}))"
-_VALID_JAVA = "(template IN (1, 2) OR template = 5 AND trim(code) = '')"
+# Whether a row's code is valid in the language it was taken for: the templates decide, whatever the text.
+_VALID_PYTHON, _VALID_JAVA = "(template IN (0, 5))", "(template IN (1, 2))"
 _VALID = f"CASE language WHEN 'python' THEN {_VALID_PYTHON} WHEN 'java' THEN {_VALID_JAVA} ELSE false END"
 _ODD = "CASE submission_id % 7 " + " ".join(f"WHEN {k} THEN {_text(n)}" for k, n in enumerate(ODD_NAMES)) + " END"
 _FILES = "SELECT CAST(doc_id AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN '.md' ELSE '.txt' END AS name, length(text) AS length, md5(text) AS digest FROM documents WHERE doc_id % 3 < 2 AND text IS NOT NULL"
+_TEXT_FILES = "SELECT '_' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' ELSE '' END AS filename, CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '' END AS extension, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS digest FROM documents WHERE text IS NOT NULL"
 _CHUNKS = f"""WITH RECURSIVE {chunk_rows("SELECT doc_id AS id, text AS t FROM documents")}, keyed AS (
   SELECT sha256(id || chr(1) || chr(1) || chunk_index || chr(1) || chunk) AS chunk_id, CAST(id AS VARCHAR) AS source, CAST(NULL AS INTEGER) AS page, chunk_index, chunk AS text,
     CAST(ceil(length(chunk) / 4) AS INTEGER) AS est_tokens, CAST(id AS VARCHAR) AS origin FROM chunks
@@ -254,13 +335,13 @@ ORACLES: dict[str, str] = {
     "admission_status": f"""
 WITH grid AS (
   SELECT doc_id AS submission_id, doc_id % 3 = 0 AS pasted, doc_id % 4 <> 3 AS uploaded, doc_id % 4 = 1 AS undecodable,
-    CASE doc_id % 7 WHEN 0 THEN {LIMIT + 1} WHEN 1 THEN {LIMIT} ELSE 10 + doc_id % 7 END AS n_bytes FROM documents)
+    greatest(CASE doc_id % 7 WHEN 0 THEN {LIMIT + 1} WHEN 1 THEN {LIMIT} ELSE 0 END, strlen(coalesce(text, '')) + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END) AS n_bytes FROM documents)
 SELECT submission_id,
   CASE WHEN pasted = uploaded THEN 400 WHEN uploaded AND n_bytes > {LIMIT} THEN 413 WHEN uploaded AND undecodable THEN 400 ELSE 200 END AS status,
   CASE WHEN NOT pasted AND NOT uploaded THEN {_text(NEITHER)} WHEN pasted AND uploaded THEN {_text(BOTH)}
     WHEN uploaded AND n_bytes > {LIMIT} THEN {_text(TOO_LARGE)} WHEN uploaded AND undecodable THEN {_text(NOT_UTF8)} END AS detail FROM grid""",
-    "validate_python": f"WITH {_SUBMISSIONS} SELECT submission_id, {_VALID_PYTHON} AS is_valid, CASE WHEN NOT {_VALID_PYTHON} THEN true END AS has_error, false AS failed FROM submissions",
-    "validate_java": f"WITH {_SUBMISSIONS} SELECT submission_id, {_VALID_JAVA} AS is_valid, CASE WHEN NOT {_VALID_JAVA} THEN true END AS has_error, false AS failed FROM submissions",
+    "validate_python": f"WITH {_SUBMISSIONS} SELECT submission_id, {_VALID_PYTHON} AS is_valid, CASE WHEN NOT {_VALID_PYTHON} THEN true END AS has_error, false AS failed FROM submissions WHERE code IS NOT NULL UNION ALL SELECT submission_id, NULL, NULL, false FROM submissions WHERE code IS NULL",
+    "validate_java": f"WITH {_SUBMISSIONS} SELECT submission_id, {_VALID_JAVA} AS is_valid, CASE WHEN NOT {_VALID_JAVA} THEN true END AS has_error, false AS failed FROM submissions WHERE code IS NOT NULL UNION ALL SELECT submission_id, NULL, NULL, false FROM submissions WHERE code IS NULL",
     "submission_response": f"WITH {_SUBMISSIONS}, found AS (SELECT *, {_LANGUAGE} AS language FROM submissions) SELECT submission_id, language, {_VALID} AS is_valid, false AS failed FROM found",
     "intake": f"""
 WITH {_SUBMISSIONS}, posted AS (SELECT submission_id, template, code, CASE WHEN submission_id % 2 = 1 THEN filename END AS filename FROM submissions),
@@ -276,7 +357,16 @@ SELECT submission_id, 200 AS status, language, CASE WHEN {_VALID} THEN 'true' EL
     "chunks_all": f"{_CHUNKS} SELECT * FROM keyed",
     "chunk_stats": f"WITH RECURSIVE {chunk_rows(_EVERY_TEXT)} SELECT regexp_extract(id, '^[a-z]+') AS origin, count(*) AS chunks, max(length(chunk)) AS longest, CAST(sum(length(chunk)) AS BIGINT) AS characters FROM chunks GROUP BY 1",
     "index_documents": f"{_CHUNKS} SELECT chunk_id, 'check' AS collection, 'hashing-64' AS encoder_id, 64 AS dim, 64 AS width, CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm FROM keyed",
-    "knowledge_base_counts": f"{_CHUNKS} SELECT (SELECT 2 * count(*) FROM documents) AS documents, count(*) AS chunks, count(*) AS written FROM keyed",
+    "knowledge_base_counts": f"{_CHUNKS} SELECT (SELECT 2 * count(*) FROM documents) AS documents, count(*) AS chunks, count(*) FILTER (CAST(source AS BIGINT) % 100 IN (7, 11)) AS encoded, CAST(0 AS BIGINT) AS encoded_again, CAST(0 AS BIGINT) AS left_again, count(*) AS written FROM keyed",
+    "chunk_table": f"WITH RECURSIVE {chunk_rows('SELECT page_id AS id, html AS t FROM pages', 800, 100)} SELECT page_id, url, chunk_index, md5(chunk) AS digest, length(chunk) AS length FROM chunks JOIN pages ON page_id = id",
+    "files_source": f"SELECT * FROM ({_TEXT_FILES}) WHERE n_bytes >= 200 AND extension <> ''",
+    "files_stream": f"""
+SELECT filename AS name, CASE WHEN n_bytes > 4000 THEN 413 ELSE 200 END AS status, CASE WHEN n_bytes > 4000 THEN 'rejects' ELSE 'answers' END AS kind,
+  CASE WHEN n_bytes <= 4000 THEN language END AS language FROM (SELECT *, {_LANGUAGE} AS language FROM (SELECT *, text AS code FROM ({_TEXT_FILES}) JOIN documents ON doc_id = CAST(regexp_extract(filename, '[0-9]+') AS BIGINT)))""",
+    "nearest_vectors": """
+WITH unit AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS u FROM embeddings),
+scored AS (SELECT q.vec_id AS query, v.vec_id AS id, list_sum(list_transform(range(1, len(q.u) + 1), lambda i: q.u[i] * v.u[i])) AS s FROM unit q, unit v WHERE q.vec_id % 50 = 0)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank, id, round(s, 6) AS similarity FROM scored QUALIFY rank <= 10""",
     "normalize_vectors": f"WITH {_VECTORS} SELECT vec_id, round(u[1], 6) AS first, round(u[-1], 6) AS last, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm FROM unit",
     "topk_cosine": f"""
 WITH {_VECTORS}, query AS (SELECT u AS q FROM unit ORDER BY vec_id LIMIT 1)

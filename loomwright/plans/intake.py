@@ -18,18 +18,20 @@ def analyze_submissions(submissions: DataFrame, limit: int | None = None, empty_
     """``code``, ``content`` and ``filename`` give way to status, detail, language, verdict, error and file name.
 
     A table read from files has ``n_bytes`` too, which stands for bytes that weren't read. If the checker itself
-    fails on a row, that row has status 500 and no verdict. Without a ``limit`` that of the settings holds.
+    fails on a row, or the row's file couldn't be read (``read_error``), that row has status 500 and no verdict. Without a
+    ``limit`` that of the settings holds.
     """
     limit = Settings.load().max_upload_bytes if limit is None else limit
     unread = F.col("content").isNull() & (F.coalesce(F.col("n_bytes"), F.lit(0)) > limit) if "n_bytes" in submissions.columns else F.lit(False)
+    lost = F.col("read_error").isNotNull() if "read_error" in submissions.columns else F.lit(False)
     if "code" not in submissions.columns:
         submissions = submissions.withColumn("code", F.lit(None).cast("string"))
-    rest = [c for c in submissions.columns if c not in ("code", "content", "filename", "n_bytes")]
-    names = submissions.withColumn("_upload", F.col("filename")).withColumn("_unread", unread)
+    rest = [c for c in submissions.columns if c not in ("code", "content", "filename", "n_bytes", "read_error")]
+    names = submissions.withColumn("_unread", unread).withColumn("_lost", lost)
     admitted = admit(names, limit, empty_code_is_absent)
-    ok = (F.col("status") == 200) & ~F.col("_unread")
+    ok = (F.col("status") == 200) & ~F.col("_unread") & ~F.col("_lost")
     judged = admitted.withColumn("language", F.when(ok, detect_language(F.col("source_text"), F.col("filename")))).withColumn("_v", validate_syntax(F.when(ok, F.col("source_text")), F.col("language")))
-    failed = F.coalesce(F.col("_v.failed"), F.lit(False))
+    failed = F.coalesce(F.col("_v.failed"), F.lit(False)) | F.col("_lost")
     return judged.select(
         *rest,
         F.when(F.col("_unread"), 413).when(failed, 500).otherwise(F.col("status")).cast("int").alias("status"),

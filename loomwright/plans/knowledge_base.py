@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.config import Settings, configure_logging
 from loomwright.operators.chunk import chunk_documents
 from loomwright.operators.embed import Encoder, index_chunks
-from loomwright.sources.collection import DEFAULT_COLLECTION, unique_chunks, write_collection
+from loomwright.sources import collection as store
+from loomwright.sources.collection import DEFAULT_COLLECTION
+from loomwright.storage import scratch
 
 
 @dataclass(frozen=True)
 class Built:
+    """Documents given, and chunks that the collection has; chunks that were encoded for it, and documents that left."""
+
     documents: int
     chunks: int
+    encoded: int = field(default=0, compare=False)
+    left: int = field(default=0, compare=False)
 
 
 def count_by_extension(documents: DataFrame) -> DataFrame:
@@ -25,20 +31,20 @@ def count_by_extension(documents: DataFrame) -> DataFrame:
 
 
 def build_knowledge_base(documents: DataFrame, path: str, encoder: Encoder, collection: str = DEFAULT_COLLECTION, size: int | None = None, overlap: int | None = None) -> Built:
-    """Chunk, encode and write; the counts come with the write, at no further pass. Without documents nothing is touched.
+    """Make a collection hold the chunks of these documents and no others. Only documents that it hasn't are cut and encoded.
 
-    Size and overlap are those of the settings, unless given.
+    Size and overlap are those of the settings, unless given; with others than before everything is cut anew. Without
+    documents nothing is touched. A collection of another encoder is refused (``EncoderMismatch``).
     """
     settings = Settings.load()
     size, overlap = settings.chunk_size if size is None else size, settings.chunk_overlap if overlap is None else overlap
-    log = configure_logging(settings)
+    log, spark = configure_logging(settings), documents.sparkSession
     if documents.isEmpty():
         log.error("no documents to index; the collection stays as it is")
         return Built(0, 0)
-    loaded, cut = Observation("documents"), Observation("chunks")
-    chunks = chunk_documents(documents.observe(loaded, F.count(F.lit(1)).alias("n")), size, overlap)
-    unique = unique_chunks(chunks).observe(cut, F.count(F.lit(1)).alias("n"))
-    write_collection(index_chunks(unique, encoder, collection), path)
-    built = Built(int(loaded.get["n"]), int(cut.get["n"]))
-    log.info("indexed %d chunks of %d documents in %s", built.chunks, built.documents, collection)
+    change = store.compare(spark, documents, path, collection, encoder, size, overlap, scratch(spark, "build"))
+    chunks = chunk_documents(change.fresh, size, overlap, keep=("_doc",)).withColumnRenamed("_doc", "doc")
+    told, encoded, left = store.commit(spark, change, index_chunks(chunks, encoder, collection), path, collection, encoder, size, overlap)
+    built = Built(change.loaded, told.chunks, encoded, left)
+    log.info("%s has %d chunks of %d documents, %d of them encoded anew", collection, built.chunks, built.documents, built.encoded)
     return built

@@ -1,9 +1,8 @@
 """Directories of submissions and of documents, and tables that hold either.
 
-Files are listed and read in the executors: one task lists the root, its folders are then listed by as many tasks as
-there are partitions, and the files found are dealt out anew to be read. No name goes through the driver, and names are
-plain text throughout, never URI-encoded. Files of no bytes, and those whose names begin with ``_`` or ``.``, which
-Spark's own file readers leave out, are files like others.
+Files are listed once, level by level, and read in the executors (``listing``, ``reading``). No name goes through the driver,
+and names are plain text throughout, never URI-encoded. Files of no bytes, and those whose names begin with ``_`` or ``.``,
+which Spark's own file readers leave out, are files like others.
 """
 
 from __future__ import annotations
@@ -15,108 +14,39 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright import schemas
 from loomwright.config import Settings
+from loomwright.sources.listing import DocumentsNotFound, file_name, list_tree, open_store, require_directory
+from loomwright.sources.reading import DDL, as_batch, contents
 
-Loader = Callable[[SparkSession, str, str], DataFrame]
+__all__ = ["LOADERS", "DocumentsNotFound", "documents_from_table", "file_name", "list_files", "pdf_loader", "read_documents", "read_files", "read_listed", "read_submissions", "register_loader", "require_directory", "write_files"]
 
-_BATCH_BYTES = 16 << 20
-_FOUND = "path string, is_folder boolean, n_bytes long"
-_READ = "path string, content binary, n_bytes long"
+#: From listed files of one extension to documents.
+Loader = Callable[[DataFrame], DataFrame]
 
 
-class DocumentsNotFound(FileNotFoundError):
-    pass
-
-
-def require_directory(spark: SparkSession, path: str) -> str:
-    """The directory's full URI."""
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(jpath):
-        raise DocumentsNotFound(f"Documents directory not found: {path}")
-    return files.makeQualified(jpath).toString().rstrip("/")
-
-
-def file_name(path: Column) -> Column:
-    """The last part of a plain path."""
-    return F.element_at(F.split(path, "/"), -1)
-
-
-def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI, and the plain path in it. Local ones are taken as they are, whatever signs they hold."""
-    if uri.startswith("file:") or "://" not in uri:
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    scheme, _, rest = uri.partition("://")
-    host, _, path = rest.partition("/")
-    store, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
-    return store, posixpath.join(base, path)
-
-
-def _batch(rows: list[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path``, ``n_bytes``, ``modified`` of every file under a directory, at any depth, whose name fits the pattern."""
+    found = list_tree(spark, path)
+    return found if pattern == "*" else found.where(file_name(F.col("path")).rlike(fnmatch.translate(pattern).removesuffix(r"\Z") + r"\z"))
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path``, ``n_bytes`` of every file under a directory, at any depth, whose name fits the pattern."""
-    root = require_directory(spark, path)
-    inside = open_store(root)[1].rstrip("/")
-    names, kinds = ("path", "is_folder", "n_bytes"), (pa.string(), pa.bool_(), pa.int64())
-
-    def look(folder: str, deep: bool) -> Iterator[tuple]:
-        store, base = open_store(folder)
-        for f in store.get_file_info(fs.FileSelector(base, recursive=deep)):
-            uri = root + f.path[len(inside) :]
-            if f.type == fs.FileType.Directory:
-                if not deep:
-                    yield uri, True, None
-            elif fnmatch.fnmatchcase(posixpath.basename(f.path), pattern):
-                yield uri, False, f.size
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for folder in batch.column(0).to_pylist():
-                yield _batch(list(look(folder, False)), names, kinds)
+def read_listed(listed: DataFrame, limit: int | None = None) -> DataFrame:
+    """Listed files with ``content`` and ``read_error``: one of them is null. Above ``limit`` bytes nothing is read, and both are."""
 
-    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            folder = batch.column(1)
-            yield batch.filter(pc.invert(folder))
-            for name in batch.filter(folder).column(0).to_pylist():
-                yield _batch(list(look(name, True)), names, kinds)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield from map(as_batch, contents(rows, limit))
 
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = spark.createDataFrame([(root,)], "path string").mapInArrow(top, _FOUND)
-    return first.repartition(tasks, "path").mapInArrow(below, _FOUND).repartition(tasks, "path").select("path", "n_bytes")
+    tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.select("path", "n_bytes", "modified").repartition(tasks, "path").mapInArrow(read, DDL)
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*", limit: int | None = None) -> DataFrame:
-    """``path``, ``content``, ``n_bytes`` of the files under a directory; content is null, and isn't read, above ``limit`` bytes."""
-    names, kinds = ("path", "content", "n_bytes"), (pa.string(), pa.binary(), pa.int64())
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, held = [], 0
-            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = None
-                if limit is None or size <= limit:
-                    store, at = open_store(name)
-                    with store.open_input_stream(at) as file:
-                        data = file.read()
-                rows.append((name, data, size))
-                held += len(data or b"")
-                if held >= _BATCH_BYTES:
-                    yield _batch(rows, names, kinds)
-                    rows, held = [], 0
-            yield _batch(rows, names, kinds)
-
-    return list_files(spark, path, pattern).mapInArrow(read, _READ)
+    return read_listed(list_files(spark, path, pattern), limit)
 
 
 def write_files(rows: DataFrame, path: str) -> None:
@@ -144,18 +74,23 @@ def read_submissions(spark: SparkSession, path: str, limit: int | None = None) -
     """Uploads from a directory: ``path``, ``content``, ``n_bytes``, ``filename``.
 
     Files above the limit (the settings' ``max_upload_bytes``, unless given) are listed but never read: their content
-    is null, and ``n_bytes`` tells why.
+    is null, and ``n_bytes`` tells why. A file that can't be read has a ``read_error`` instead.
     """
     limit = Settings.load().max_upload_bytes if limit is None else limit
-    return read_files(spark, path, limit=limit).withColumn("filename", file_name(F.col("path")))
+    return read_files(spark, path, limit=limit).drop("modified").withColumn("filename", file_name(F.col("path")))
+
+
+def _content() -> Column:
+    """The bytes of a document's file. A document that can't be read fails the job: an index without it would pass for whole."""
+    return F.coalesce("content", F.raise_error(F.concat_ws(": ", "path", F.coalesce("read_error", F.lit("not read")))).cast("binary"))
 
 
-def _text_loader(spark: SparkSession, path: str, glob: str) -> DataFrame:
+def _text_loader(listed: DataFrame) -> DataFrame:
     """A document for each file; line ends of any kind become single line feeds."""
-    return read_files(spark, path, glob).select(
+    return read_listed(listed).select(
         F.col("path").alias("source"),
         F.lit(None).cast("int").alias("page"),
-        F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n?", "\n").alias("text"),
+        F.regexp_replace(F.make_valid_utf8(_content().cast("string")), r"\r\n?", "\n").alias("text"),
         F.create_map(F.lit("source"), "path").alias("metadata"),
     )
 
@@ -171,13 +106,13 @@ def pdf_pages(content: bytes) -> list[str]:
 def pdf_loader(pages: Callable[[bytes], list[str]] = pdf_pages) -> Loader:
     """A document for each page, with the page's number from 0."""
 
-    def load(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    def load(listed: DataFrame) -> DataFrame:
         def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for files in batches:
                 rows = [(p, k, text) for p, c in zip(files["path"], files["content"], strict=True) for k, text in enumerate(pages(bytes(c)))]
                 yield pd.DataFrame(rows, columns=["source", "page", "text"]).astype({"page": "int32"})
 
-        found = read_files(spark, path, glob).select("path", "content").mapInPandas(explode, "source string, page int, text string")
+        found = read_listed(listed).select("path", _content().alias("content")).mapInPandas(explode, "source string, page int, text string")
         return found.withColumn("metadata", F.create_map(F.lit("source"), "source", F.lit("page"), F.col("page").cast("string")))
 
     return load
@@ -191,9 +126,12 @@ def register_loader(extension: str, loader: Loader) -> None:
 
 
 def read_documents(spark: SparkSession, path: str, loaders: dict[str, Loader] | None = None) -> DataFrame:
-    """The documents under a directory, all registered extensions together (duplicates kept, no order). Other files are passed over."""
-    require_directory(spark, path)
-    parts = [load(spark, path, f"*{ext}") for ext, load in (LOADERS if loaders is None else loaders).items()]
+    """The documents under a directory, all registered extensions together (duplicates kept, no order). Other files are passed over.
+
+    The tree is listed once for all extensions.
+    """
+    listed = list_files(spark, path)
+    parts = [load(listed.where(F.endswith("path", F.lit(ext)))) for ext, load in (LOADERS if loaders is None else loaders).items()]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.DOCUMENT)
 
 

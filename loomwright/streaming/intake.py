@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomwright.config import Settings
 from loomwright.plans.intake import analyze_submissions
-from loomwright.sources.files import file_name
+from loomwright.sources import uploads
 
-_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
+def stream_submissions(spark: SparkSession, path: str, log: str | None = None, limit: int | None = None) -> DataFrame:
+    """Uploads as the batch reader gives them, each file once; ``log`` is kept beside the directory unless it is named.
 
-def stream_submissions(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """New files as uploads, named as the batch reader names them.
-
-    Spark's file stream keeps what it has seen; it passes over files of no bytes and those whose names begin with ``_``
-    or ``.``, which the batch reader has.
+    What the directory holds now is found by this call, what comes later by ``uploads.discover``, once or again and again
+    (``uploads.keep_discovering``).
     """
-    files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(path)
-    return files.select("path", file_name(F.col("path")).alias("filename"), "content", F.col("length").alias("n_bytes"))
+    log = f"{path.rstrip('/')}.loomwright-log" if log is None else log
+    limit = Settings.load().max_upload_bytes if limit is None else limit
+    uploads.discover(spark, path, log)
+    return uploads.stream(spark, log, limit).select("path", "filename", "content", "n_bytes", "read_error")
 
 
 def stream_responses(submissions: DataFrame, out: str, checkpoint: str, limit: int | None = None, once: bool = True) -> StreamingQuery:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import logging
 import random
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomwright import config, sql
+from loomwright.functions.admission import status_and_detail
 from loomwright.functions.chunking import split_text
 from loomwright.functions.vectors import normalise
 from loomwright.operators.chunk import chunk_documents
@@ -123,7 +125,7 @@ def test_submission_files_and_stream(spark, tmp_path):
     assert got == {"a.py": (200, "python", True), "empty.py": (200, "python", True), "big.py": (413, None, None), "bad.java": (200, "java", False)}
     stream_responses(stream_submissions(spark, str(root)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     rows = {r["path"].rsplit("/", 1)[1]: r["status"] for r in spark.read.json(str(tmp_path / "out")).collect()}
-    assert rows == {"a.py": 200, "big.py": 413, "bad.java": 200}
+    assert rows == {"a.py": 200, "big.py": 413, "bad.java": 200, "empty.py": 200}
 
 
 ODD = ["a b.py", "100%.py", "x%20y.py", "c+d.java", "#n.py", "é日.py", "__init__.py", ".hidden.py", "?q=1&r.py"]
@@ -144,7 +146,7 @@ def test_odd_names_are_listed_once_and_plain(spark, tmp_path):
     assert files.read_submissions(spark, str(tmp_path / "none")).count() == 0
     stream_responses(stream_submissions(spark, str(root)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     streamed = {r["filename"] for r in spark.read.json(str(tmp_path / "out")).collect()}
-    assert streamed == {n for n in ODD if n[0] not in "._"}
+    assert streamed == set(ODD)
 
 
 def test_files_written_and_read(spark, tmp_path):
@@ -208,6 +210,47 @@ def test_sql_functions(spark):
     assert [(r["id"], r["chunk_index"], r["chunk"]) for r in sorted(got)] == [(1, 0, "one two"), (1, 1, "three")]
 
 
+def test_chunks_of_a_table_from_sql(spark):
+    sql.register(spark)
+    rows = [(1, "one two three", "x", 7), (2, "", "y", 8), (None, None, None, None), (4, "four", "z", 9)]
+    spark.createDataFrame(rows, "id int, text string, chunk string, n int").createOrReplaceTempView("t_docs")
+    got = spark.sql("SELECT * FROM chunk_documents(TABLE(t_docs), 8, 0)")
+    assert got.columns == ["id", "chunk", "n", "chunk_index", "chunk_"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x", 7, 0, "one two"), (1, "x", 7, 1, "three"), (4, "z", 9, 0, "four")]
+    named = spark.sql("SELECT * FROM chunk_documents(TABLE(SELECT id, text AS body FROM t_docs), text_column => 'body')")
+    assert sorted(tuple(r) for r in named.collect()) == [(1, 0, "one two three"), (4, 0, "four")]
+    with pytest.raises(Exception, match="column html"):
+        spark.sql("SELECT * FROM chunk_documents(TABLE(t_docs), text_column => 'html')").collect()
+
+
+def test_admission_and_vectors_from_sql(spark, monkeypatch):
+    monkeypatch.setenv("LOOMWRIGHT_MAX_UPLOAD_BYTES", "4")
+    sql.register(spark)
+    row = spark.sql("SELECT admit('x', NULL).status AS a, admit(NULL, NULL).detail AS b, admit(NULL, X'FF').status AS c, admit(NULL, X'6161616161').status AS d, admit('', X'61').status AS e, text_length('é😀') AS n, round(cosine(array(3D, 4D), array(6D, 8D)), 9) AS s, l2_normalise(array(0D)) AS z").first()
+    assert tuple(row) == (200, "Provide either 'code' (pasted text) or 'file' (upload), not neither.", 400, 413, 400, 2, 1.0, [0.0])
+    df = spark.createDataFrame([(None, bytearray(b"abcde"))], "code string, content binary")
+    assert df.select(status_and_detail(F.col("code"), F.col("content")).alias("v")).first()["v"]["status"] == 413
+
+
+def test_settings_reach_every_entry_point(spark, monkeypatch):
+    monkeypatch.setenv("LOOMWRIGHT_CHUNK_SIZE", "8")
+    monkeypatch.setenv("LOOMWRIGHT_CHUNK_OVERLAP", "0")
+    sql.register(spark)
+    df = spark.createDataFrame([("a", None, "one two three", None)], "source string, page int, text string, metadata map<string,string>")
+    df.createOrReplaceTempView("t_set")
+    assert [r["text"] for r in chunk_documents(df).collect()] == ["one two", "three"]
+    assert spark.sql("SELECT chunk_array(text) FROM t_set").first()[0] == ["one two", "three"]
+    assert spark.sql("SELECT count(*) FROM t_set, LATERAL chunk_text(text)").first()[0] == 2
+    assert spark.sql("SELECT count(*) FROM chunk_documents(TABLE(t_set))").first()[0] == 2
+
+
+def test_chunks_of_a_long_text_without_separators_are_quick():
+    text = "x" * 2_000_000
+    began = time.perf_counter()
+    assert sum(map(len, split_text(text, 1200, 0))) == len(text)
+    assert time.perf_counter() - began < 0.5
+
+
 def test_settings(tmp_path):
     (tmp_path / ".env").write_text("LOOMWRIGHT_CHUNK_SIZE=900\nOTHER=1\n# no\n", encoding="utf-8")
     got = config.Settings.load({"LOOMWRIGHT_LOG_LEVEL": "debug"}, str(tmp_path / ".env"))

@@ -1,0 +1,184 @@
+"""Listing, the file data source and the upload stream."""
+
+from __future__ import annotations
+
+import os
+import shutil
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
+
+from loomwright.plans.intake import analyze_submissions
+from loomwright.sources import files, listing, reading, uploads
+from loomwright.streaming.intake import stream_responses, stream_submissions
+
+
+def tree(root, flat=0, folders=0):
+    """Some odd files, a folder of many files, and many folders of one."""
+    (root / "a/b/c/d").mkdir(parents=True)
+    (root / "a/b/c/d/deep.txt").write_text("deep")
+    for name in ("_x.py", ".y.py", "empty.py", "é #%.md"):
+        (root / name).write_text("" if name == "empty.py" else name)
+    (root / "flat").mkdir()
+    for k in range(flat):
+        (root / "flat" / f"f{k}.txt").write_bytes(b"x" * (k % 7))
+    for k in range(folders):
+        (root / "many" / f"d{k}").mkdir(parents=True)
+        (root / "many" / f"d{k}" / "one.txt").write_bytes(b"")
+    return {os.path.join(at, n)[len(str(root)) + 1 :]: os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(root) for n in names}
+
+
+def relative(df, root):
+    rows = [(r["path"].split(str(root) + "/", 1)[1], r["n_bytes"]) for r in df.collect()]
+    assert len(dict(rows)) == len(rows)
+    return dict(rows)
+
+
+def test_listing_equals_a_walk(spark, tmp_path, monkeypatch):
+    wanted = tree(tmp_path / "t", 500, 300)
+    os.symlink(tmp_path / "t", tmp_path / "t" / "loop")
+    os.symlink(tmp_path / "gone", tmp_path / "t" / "dangling")
+    assert relative(listing.list_tree(spark, str(tmp_path / "t")), tmp_path / "t") == wanted
+    assert relative(files.list_files(spark, str(tmp_path / "t"), "f1?.txt"), tmp_path / "t") == {k: v for k, v in wanted.items() if k.startswith("flat/f1") and len(k) == 12}
+    assert not any("f17" in str(p) for p in [listing.list_tree(spark, str(tmp_path / "t"))._jdf.queryExecution().toString()])
+
+
+def test_a_flat_folder_is_cut_into_ranges(tmp_path, monkeypatch):
+    wanted = tree(tmp_path, 3000)
+    monkeypatch.setattr(listing, "PAGE", 100)
+    parts = listing.cut(f"{tmp_path}/flat")
+    assert len(parts) == 30 and listing.cut(str(tmp_path)) == [listing.Range(str(tmp_path))]
+    rows = [[e.name for e in listing.entries(p)] for p in parts]
+    assert sorted(n for r in rows for n in r) == sorted(k[5:] for k in wanted if k.startswith("flat/"))
+    assert max(map(len, rows)) < 200
+    level = pa.RecordBatch.from_arrays([pa.array([f"{tmp_path}/flat"]), pa.array([None], pa.string()), pa.array([None], pa.string())], ["path", "low", "high"])
+    first = list(listing._look(iter([level])))
+    assert {k for b in first for k in b.column(0).to_pylist()} == {"range"}
+    again = list(listing._look(b.select(["path", "low", "high"]) for b in first))
+    assert max(b.num_rows for b in again) <= 100 and sum(b.num_rows for b in again) == 3000
+
+
+def test_a_million_names_in_bounded_batches(tmp_path, monkeypatch):
+    """No page above the limit, and ranges of about equal size, without making the files."""
+    many = [f"part-{k:07d}" for k in range(1_000_000)]
+    monkeypatch.setattr(listing, "names", lambda folder: iter(many))
+    parts = listing.cut("/x")
+    assert len(parts) == listing.RANGES
+    edges = [many.index(p.low) if p.low else 0 for p in parts] + [len(many)]
+    assert max(b - a for a, b in zip(edges, edges[1:], strict=False)) < 2 * len(many) / listing.RANGES
+    sizes = [b.num_rows for b in listing.batches_of((("file", n, None, None, 1, None) for n in many), listing._ARROW)]
+    assert max(sizes) == listing.PAGE and sum(sizes) == len(many)
+
+
+def test_unreadable_files_are_rows(spark, tmp_path):
+    tree(tmp_path / "t")
+    found = listing.list_tree(spark, str(tmp_path / "t"))
+    os.remove(tmp_path / "t" / "_x.py")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in files.read_listed(found).collect()}
+    assert rows["_x.py"]["content"] is None and "_x.py" in rows["_x.py"]["read_error"]
+    assert rows["deep.txt"]["read_error"] is None and bytes(rows["deep.txt"]["content"]) == b"deep"
+    uploads_ = files.read_listed(found).withColumn("filename", files.file_name(F.col("path")))
+    answers = {r["path"].rsplit("/", 1)[1]: (r["status"], r["detail"]) for r in analyze_submissions(uploads_).collect()}
+    assert answers["_x.py"] == (500, "Internal Server Error") and answers["empty.py"] == (200, None)
+    with pytest.raises(Exception, match="deep.txt"):
+        os.remove(tmp_path / "t" / "a/b/c/d/deep.txt")
+        files._text_loader(found.where(F.endswith("path", F.lit(".txt")))).collect()
+
+
+@pytest.mark.parametrize("units", [1, 5, 400])
+def test_units_cover_every_file_once(tmp_path, monkeypatch, units):
+    wanted = tree(tmp_path, 300, 40)
+    monkeypatch.setattr(listing, "PAGE", 50)
+    plan = uploads.plan_units(str(tmp_path), units)
+    found = [path[len(str(tmp_path)) + 1 :] for u in plan for path, _, _ in uploads.walk(u)]
+    assert sorted(found) == sorted(wanted)
+    assert units == 1 or len(plan) > 4
+
+
+def test_the_format_reads_what_the_loader_reads(spark, tmp_path):
+    wanted = tree(tmp_path / "t", 200, 20)
+    uploads.register(spark)
+    df = spark.read.format(uploads.NAME).load(str(tmp_path / "t"))
+    assert relative(df, tmp_path / "t") == wanted
+    other = {r["path"].removeprefix("file:"): bytes(r["content"]) for r in files.read_files(spark, str(tmp_path / "t")).collect()}
+    assert {r["path"]: bytes(r["content"]) for r in df.collect()} == other
+    names = {r["filename"] for r in df.where("n_bytes > 3 AND extension = '.txt' AND filename LIKE 'f1%'").collect()}
+    assert names == {k[5:] for k, v in wanted.items() if k.startswith("flat/f1") and v > 3}
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW uploaded USING {uploads.NAME} OPTIONS (path '{tmp_path}/t', content 'false')")
+    assert spark.sql("SELECT count(*) FROM uploaded WHERE n_bytes = 0 AND read_error IS NULL").first()[0] == sum(v == 0 for v in wanted.values())
+    at = str(tmp_path / "listing")
+    listing.list_tree(spark, str(tmp_path / "t")).write.parquet(at)
+    assert relative(spark.read.format(uploads.NAME).option("listing", at).option("content", "false").load(), tmp_path / "t") == wanted
+    with pytest.raises(Exception, match="not found"):
+        spark.read.format(uploads.NAME).load(str(tmp_path / "none")).count()
+
+
+def test_filters_keep_files_closed(tmp_path, monkeypatch):
+    wanted = tree(tmp_path, 100)
+    opened = []
+    monkeypatch.setattr(reading, "read_bytes", lambda uri: opened.append(uri) or b"")
+    reader = uploads.FileReader({"path": str(tmp_path)})
+    left = list(reader.pushFilters([ds.GreaterThan(("n_bytes",), 4), ds.EqualTo(("extension",), ".txt"), ds.EqualTo(("read_error",), "x"), ds.Not(ds.EqualTo(("filename",), "x"))]))
+    assert [type(f) for f in left] == [ds.EqualTo, ds.Not]
+    rows = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    assert rows == len(opened) == sum(1 for k, v in wanted.items() if v > 4 and k.endswith(".txt"))
+
+
+def test_filters_reach_the_reader_through_spark(spark, tmp_path):
+    tree(tmp_path / "t", 30)
+    uploads.register(spark)
+    df = spark.read.format(uploads.NAME).load(str(tmp_path / "t")).where("n_bytes > 4 AND length(content) > 0")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "n_bytes" not in plan.split("Filter", 1)[1].split("\n", 1)[0]  # what is left above the scan has only the other condition
+    assert min(r["n_bytes"] for r in df.collect()) == 5
+
+
+def test_stream_equals_batch_and_goes_on_once(spark, tmp_path):
+    root, log, out, state = (str(tmp_path / n) for n in ("t", "log", "out", "state"))
+    tree(tmp_path / "t", 20)
+    stream_responses(stream_submissions(spark, root, log), out, state).awaitTermination(120)
+
+    def answered():
+        rows = [(r["path"], r["status"], r["language"], r["filename"]) for r in spark.read.json(out).collect()]
+        assert len({r[0] for r in rows}) == len(rows)
+        return sorted(rows)
+
+    def batch():
+        return sorted((r["path"], r["status"], r["language"], r["filename"]) for r in analyze_submissions(files.read_submissions(spark, root)).collect())
+
+    assert answered() == batch()
+    (tmp_path / "t" / "late").mkdir()
+    (tmp_path / "t" / "late" / "_new.java").write_bytes(b"")
+    (tmp_path / "t" / ".z.py").write_text("x = (")
+    for _ in range(2):  # the second time there is nothing new
+        stream_responses(stream_submissions(spark, root, log), out, state).awaitTermination(120)
+        assert answered() == batch()
+    assert uploads.discover(spark, root, log) == 2
+
+
+def test_a_batch_that_wasnt_finished_is_read_again(spark, tmp_path):
+    root, log = tmp_path / "t", str(tmp_path / "log")
+    tree(root, 5)
+    seen, fail = [], [True]
+
+    def sink(df, batch):
+        rows = [r["path"] for r in df.select("path").collect()]
+        if fail[0]:
+            raise RuntimeError("lost")
+        seen.extend(rows)
+
+    def run():
+        q = uploads.stream(spark, log).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    uploads.discover(spark, str(root), log)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    fail[0] = False
+    run()
+    assert sorted(seen) == sorted(r["path"] for r in listing.list_tree(spark, str(root)).collect())
+    passing = f"{log}/passing-killed"  # a process that died while it wrote
+    shutil.copytree(f"{log}/{1:012d}", passing)
+    assert uploads.discover(spark, str(root), log) == 1

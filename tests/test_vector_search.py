@@ -1,0 +1,67 @@
+"""Exact and indexed search of many queries against brute force."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from loomwright.operators import vector_search as vs
+
+
+def table(spark, m, first=0, parts=4):
+    return spark.createDataFrame([(first + k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(parts)
+
+
+def brute(queries, vectors, k):
+    unit = lambda m: m.astype(np.float32).astype(np.float64) / np.linalg.norm(m.astype(np.float32).astype(np.float64), axis=1)[:, None]
+    s = unit(queries) @ unit(vectors).T
+    return [[int(i) for i in sorted(range(len(vectors)), key=lambda i: (-round(row[i], 9), i))[:k]] for row in s]
+
+
+def ranked(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query"], r["rank"])):
+        out.setdefault(r["query"], []).append(r["id"])
+    return out
+
+
+@pytest.fixture(scope="module")
+def clouds():
+    rng = np.random.default_rng(4)
+    middle = rng.normal(0, 1, (30, 24))
+    hot = middle[0] + rng.normal(0, 0.2, (700, 24))  # a third of all rows in one place
+    return np.concatenate([hot, middle[rng.integers(0, 30, 1400)] + rng.normal(0, 0.4, (1400, 24))])
+
+
+def test_exact_search_equals_brute_force(spark, clouds, monkeypatch):
+    monkeypatch.setattr(vs, "BLOCK", 100)
+    queries = clouds[::9]
+    got = ranked(vs.nearest(table(spark, queries, 10_000), table(spark, clouds), 7))
+    assert [got[10_000 + k] for k in range(len(queries))] == brute(queries, clouds, 7)
+    monkeypatch.setattr(vs, "BROADCAST_BYTES", 0)
+    assert ranked(vs.nearest(table(spark, queries, 10_000), table(spark, clouds), 7)) == got
+
+
+def test_odd_vectors_find_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [2.0, 0.0]), (9, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert ranked(vs.nearest(df, df, 5)) == {1: [1, 8, 9], 8: [1, 8, 9], 9: [9, 1, 8]}
+    assert vs.nearest(df.limit(0), df, 5).collect() == [] and vs.nearest(df, df.limit(0), 5).collect() == []
+
+
+def test_the_index_covers_every_row_and_finds_most(spark, tmp_path, clouds, monkeypatch):
+    monkeypatch.setattr(vs, "BLOCK", 128)
+    index = vs.build_index(table(spark, clouds), str(tmp_path / "ivf"), cells=20, sample=500)
+    filed = index.table(spark)
+    assert sorted(i for r in filed.select("ids").collect() for i in r["ids"]) == list(range(len(clouds)))
+    assert max(len(r["ids"]) for r in filed.select("ids").collect()) <= 128
+    queries = clouds[::11]
+    wanted = brute(queries, clouds, 10)
+    found = vs.search_index(spark, index, table(spark, queries, 5000), 10, probes=6)
+    got = ranked(found)
+    recall = np.mean([len(set(got[5000 + k]) & set(wanted[k])) / 10 for k in range(len(queries))])
+    assert recall >= 0.9
+    everywhere = ranked(vs.search_index(spark, index, table(spark, queries, 5000), 10, probes=20, rerank=20))
+    assert np.mean([len(set(everywhere[5000 + k]) & set(wanted[k])) / 10 for k in range(len(queries))]) >= 0.999
+    one = vs.search_index(spark, index, table(spark, queries[:1], 5000), 10, probes=1)
+    assert "PartitionFilters: [cell_group" in one._jdf.queryExecution().toString().replace("isnotnull(cell_group#", "cell_group#")
