@@ -43,11 +43,11 @@ def whole_vectors(rows: DataFrame, column: str = "embedding", key: str = "vec_id
     return rows.where(F.coalesce(sound, F.lit(False))).select(F.col(key).alias("vec_id"), scaled.alias("v"))
 
 
-def starting(vectors: DataFrame, k: int = K, seed: int = 2) -> np.ndarray:
+def starting(vectors: DataFrame, k: int = K, seed: int = 2, width: int = WIDTH) -> np.ndarray:
     """The ``k`` vectors of least hash, in ascending order."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     found = vectors.select(order.alias("h"), "v").orderBy(F.col("h").asc_nulls_last(), "v").limit(k).collect()
-    return np.array([r["v"] for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r["v"] for r in found], np.int64).reshape(len(found), width)
 
 
 @dataclass
@@ -220,7 +220,7 @@ def cluster(rows: DataFrame, k: int = K, rounds: int = ROUNDS, column: str = "em
     with passing_tables(spark) as lasting:
         vectors = whole_vectors(rows, column, key, width, scale)
         kind = vectors.schema["vec_id"].dataType.simpleString()
-        centroids = starting(vectors, k, seed)
+        centroids = starting(vectors, k, seed, width)
         if not len(centroids):
             return spark.createDataFrame([], f"vec_id {kind}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
         trees = materialise(_planted(vectors, width), "kd-trees")

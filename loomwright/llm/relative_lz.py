@@ -134,7 +134,7 @@ def _met(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     return marked.where("_hot").drop("_hot").unionByName(marked.where("_hot IS NULL").select(*rows.columns).join(cold, keys))
 
 
-def _blocks(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+def _blocks(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``d``, ``th``, ``block`` and ``words`` (the text from some words before the block to some after it) of wanted blocks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +142,8 @@ def _blocks(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
             texts = _bytes(batch.column(2))
             rows, block, out = [], [], []
             for k, (_, first, stop) in enumerate(_hashed(texts)):
-                for b in range(-(-len(first) // BLOCK)):
-                    x, y = _around(b, len(first))
+                for b in range(-(-len(first) // size)):
+                    x, y = _around(b, size, len(first))
                     rows.append(k)
                     block.append(b)
                     out.append(texts[k][first[x] : stop[y - 1]].decode("utf-8", "surrogatepass"))
@@ -157,9 +157,9 @@ def _blocks(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.groupBy("d", "th", "block").agg(F.first("words").alias("words")).join(wanted, ["d", "th", "block"], "left_semi")
 
 
-def _around(block: int, n: int) -> Span:
+def _around(block: int, size: int, n: int) -> Span:
     """The words of a block: those of all windows whose anchor begins in it."""
-    return max(0, block * BLOCK - (WINDOW - GRAM)), min(n, (block + 1) * BLOCK + WINDOW)
+    return max(0, block * size - (WINDOW - GRAM)), min(n, (block + 1) * size + WINDOW)
 
 
 class Reference:
@@ -227,7 +227,7 @@ def repeated(words: np.ndarray, ref: Reference, ahead: int | None = None) -> np.
 _FOUND = "d long, th long, start int, stop int, w1 long, w2 long"
 
 
-def _compared(pairs: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, size: int) -> DataFrame:
     """Repeated spans of the blocks (``start``, ``stop`` in words), and windows that are left to be grouped (``start``, ``w1``, ``w2``)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def _compared(pairs: DataFrame) -> DataFrame:
                 if len(own) < WINDOW:
                     continue
                 block, their, same = batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
-                began, theirs = _around(block, 1 << 40)[0], _around(their, 1 << 40)[0]
+                began, theirs = _around(block, size, 1 << 40)[0], _around(their, size, 1 << 40)[0]
                 name = batch.column(6)[k].as_py()
                 if last[0] != name:
                     last = (name, Reference(other))
@@ -262,23 +262,23 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return pairs.select("d", "th", "block", "fblock", same.alias("same"), "words", "fwords", "places").mapInArrow(compare, _FOUND)
 
 
-def _spans(docs: DataFrame) -> DataFrame:
+def _spans(docs: DataFrame, size: int) -> DataFrame:
     """``d``, ``th`` and ``spans`` of the documents with repeated windows."""
     keyed, (d, th) = _keyed(docs.select("doc_id", "text"))
     keyed = keyed.select(F.col(d).alias("d"), F.col(th).alias("th"), F.col("text").cast("string").alias("text"))
     marks = materialise(_anchored(keyed), "anchors")
     each = marks.select("d", "th", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("d", "th", F.col("a.h").alias("h"), F.col("a.pos").alias("pos"))
     hits = _after_first(each, ["h"], ["d", "th", "pos"])
-    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    block = lambda c: F.floor(F.col(c) / size).cast("int")
     sides = hits.select("d", "th", block("pos").alias("block"), F.col("first.d").alias("fd"), F.col("first.th").alias("fth"), block("first.pos").alias("fblock"), "pos")
     pairs = materialise(sides.groupBy("d", "th", "block", "fd", "fth", "fblock").agg(F.collect_set("pos").alias("places")), "block-pairs")
     theirs = pairs.groupBy(F.col("fd").alias("d"), F.col("fth").alias("th"), F.col("fblock").alias("block")).agg(F.count("*").alias("times"))
     theirs = materialise(theirs, "reference-blocks")
     wanted = materialise(pairs.select("d", "th", "block").unionByName(theirs.drop("times")).distinct(), "wanted-blocks")
-    blocks = materialise(_blocks(keyed, wanted), "blocks")
+    blocks = materialise(_blocks(keyed, wanted, size), "blocks")
     reference = theirs.join(blocks, ["d", "th", "block"]).select(F.col("d").alias("fd"), F.col("th").alias("fth"), F.col("block").alias("fblock"), F.col("words").alias("fwords"), "times")
     paired = _met(pairs, materialise(reference, "reference-words"), ["fd", "fth", "fblock"]).join(blocks, ["d", "th", "block"])
-    found = materialise(_compared(paired), "compared")
+    found = materialise(_compared(paired, size), "compared")
     rest = _after_first(found.where("w1 IS NOT NULL").select("w1", "w2", "d", "th", "start"), ["w1", "w2"], ["d", "th", "start"])
     spans = found.where("stop IS NOT NULL").select("d", "th", "start", "stop").unionByName(rest.select("d", "th", "start", (F.col("start") + WINDOW).alias("stop")))
     return spans.groupBy("d", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
@@ -291,10 +291,10 @@ def _kept(words: list[bytes], spans: list[Span]) -> list[bytes]:
     return list(compress(words, keep))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents with further columns: ``n_words``, ``removed`` (spans in words, end exclusive) and ``kept`` (what is left, joined by blanks)."""
     with passing_tables(docs.sparkSession) as lasting:
-        spans = lasting(_spans(docs), "repeated-spans")
+        spans = lasting(_spans(docs, block), "repeated-spans")
     keyed, own = _keyed(docs)
     key, found = fresh(keyed, "_key", "_spans")
     keyed = keyed.withColumn(key, F.xxhash64(*own))
@@ -320,9 +320,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(drop, ", ".join([*kinds, "n_words long", "removed array<struct<start: int, stop: int>>", "kept string"]))
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and the hash ``kept_sha256`` of what is left of each document."""
-    found = without_repeats(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    found = without_repeats(docs.select("doc_id", F.col("text").cast("string").alias("text")), block)
     words_left = F.when(F.col("kept") == "", 0).otherwise(F.size(F.split("kept", " ")))
     return found.select("doc_id", "n_words", (F.col("n_words") - words_left).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -141,11 +141,11 @@ def plain_removed(rows):
     return sorted((result[d, t] for d, _, t in rows), key=repr)
 
 
-def removed_rows(df):
+def removed_rows(df, block=relative_lz.BLOCK):
     from pyspark.sql import functions as F
 
     keyed = [tuple(r) for r in df.select("doc_id", F.xxhash64(F.col("text").cast("string")), "text").collect()]
-    return sorted((tuple(r) for r in relative_lz.digests(df).collect()), key=repr), plain_removed(keyed)
+    return sorted((tuple(r) for r in relative_lz.digests(df, block).collect()), key=repr), plain_removed(keyed)
 
 
 def repeating_corpus(rng, n):
@@ -172,14 +172,13 @@ def repeating_corpus(rng, n):
 
 
 @pytest.mark.parametrize("block", [32, 512])
-def test_removed_words_equal_all_windows(spark, monkeypatch, block):
-    monkeypatch.setattr(relative_lz, "BLOCK", block)
+def test_removed_words_equal_all_windows(spark, block):
     rng = random.Random(block)
     texts = repeating_corpus(rng, 150)
     rows = [(k, t) for k, t in enumerate(texts)] + [(200 + k, texts[3]) for k in range(60)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    found, wanted = removed_rows(df)
+    found, wanted = removed_rows(df, block)
     assert found == wanted and sum(r[2] for r in found) > 1000
 
 
