@@ -13,8 +13,11 @@ similarity of their sets is at least 0.8. Steps, none of which needs the rows of
    the node tells which tokens are common (in ``CORE`` of it or more). Two sets of similarity s share one of their
    rarest (1 - s) * n + 1 tokens; each of those that isn't common is a leaf. Sets that share none but common tokens
    differ in all their others, so one of them has at most (1 - s) / (1 + s) of its tokens outside the core: such near
-   sets are compared with one another, and with those somewhat farther off, in blocks; two far sets never. What is
-   left after ``DEPTH`` levels is treated alike, so nothing is dropped, and this step loses no pair.
+   sets are compared with one another, and with those somewhat farther off, in blocks; two far sets never. The same holds
+   of a leaf: a set is far there if more than that share of its tokens is rarer than the leaf's, as then only a smaller
+   set can be similar, which isn't far. A leaf that is still crowded, for its token is that of a section which many texts
+   share, is a dense node again, with a sample and an order of its own, ``LAYERS`` times at most. What is left after
+   ``DEPTH`` levels is treated alike, so nothing is dropped, and this step loses no pair.
 4. Each pair of sets is looked at in one leaf only, the least of those in which both are compared. Sizes and signatures
    screen the pairs of a leaf; sets with a partner left get their shingles there, by another pass over the texts that
    need it, and their similarity is computed from them.
@@ -56,7 +59,9 @@ DEPTH = 12
 #: A split keeps this share of a node together: the node is dense. From 1 / sqrt(FANOUT) on splits don't save pairs.
 DENSE = 0.7
 #: Sets of a dense node that are looked at for its common tokens (about), and the share of them that has a common one.
-SAMPLE, CORE = 64, 0.5
+SAMPLE, CORE = 128, 0.5
+#: A leaf of a dense node with more sets is taken for a dense node itself, so many times at most. Below, comparing costs less.
+CROWDED, LAYERS = 1 << 13, 2
 #: A pair is screened out when fewer of its signatures' values agree; at 0.8 that is 4 standard deviations off.
 SCREEN = 0.6
 
@@ -181,26 +186,27 @@ def _cores(crowd: DataFrame, tokens: DataFrame) -> DataFrame:
     return crowd.where(drawn).select("node", "fp").join(tokens, "fp").select("node", "tokens").groupBy("node").applyInArrow(count, "node long, asked int, seen binary, times binary")
 
 
-def _rare_leaves(crowd: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
-    """``leaf``, ``fp``, ``far`` that bring together every similar pair of a dense node.
+def _rare_leaves(crowd: DataFrame, tokens: DataFrame, similarity: float, layer: int = 0) -> DataFrame:
+    """``leaf``, ``fp``, ``far``, ``core`` that bring together every similar pair of a dense node.
 
     A leaf is named by its token, so that the dense nodes of several trees that hold the same sets make the same
-    leaves; the leaf of near sets by the least of its common tokens.
+    leaves; the leaf of near sets (``core``) by the least of its common tokens. In further layers the node is part of the name.
     """
     cores = materialise(_cores(crowd, tokens), "cores")
-    rows = crowd.select("node", "fp").join(cores, "node", "left").join(tokens, "fp").select("fp", "asked", "seen", "times", "tokens")
+    rows = crowd.select("node", "fp").join(cores, "node", "left").join(tokens, "fp").select("fp", "asked", "seen", "times", "tokens", "node")
     near, most = (1 - similarity) / (1 + similarity) + 1e-9, (1 - similarity) / similarity + 1e-9
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves, fps, far = [], [], []
+            leaves, fps, far, core = [], [], [], []
 
-            def put(names: np.ndarray, fp: bytes, is_far: bool) -> None:
-                leaves.append(names)
+            def put(names: np.ndarray, node: int, fp: bytes, is_far: np.ndarray, is_core: bool) -> None:
+                leaves.append(mix(names ^ mix(np.array([node], np.int64).view(np.uint64))) if layer else names)
                 fps.extend([fp] * len(names))
-                far.extend([is_far] * len(names))
+                far.append(is_far)
+                core.extend([is_core] * len(names))
 
-            for fp, asked, seen, times, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for fp, asked, seen, times, own, node in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 own = np.frombuffer(own, np.uint64)
                 known, often = np.frombuffer(seen or b"", np.uint64), np.frombuffer(times or b"", np.int32)
                 count = np.zeros(len(own), np.int32)
@@ -210,22 +216,48 @@ def _rare_leaves(crowd: DataFrame, tokens: DataFrame, similarity: float) -> Data
                 is_core = count >= max(2, CORE * (asked or 0))
                 rare = np.flatnonzero(~is_core)
                 first = rare[np.argsort(count[rare], kind="stable")][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
-                put(mix(own[first]), fp, False)
+                put(mix(own[first]), node, fp, np.arange(len(first)) > near * len(own), False)
                 common = known[often >= max(2, CORE * (asked or 0))]
                 if len(common) and len(rare) <= most * len(own):
-                    put(mix(mix(common[:1])), fp, len(rare) > near * len(own))
+                    put(mix(mix(common[:1])), node, fp, np.array([len(rare) > near * len(own)]), True)
             names = np.concatenate([*leaves, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(fps, pa.binary()), pa.array(far, pa.bool_())], ["leaf", "fp", "far"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(fps, pa.binary()), pa.array(np.concatenate([*far, np.zeros(0, bool)])), pa.array(core, pa.bool_())], ["leaf", "fp", "far", "core"])
 
-    return rows.mapInArrow(go_on, "leaf long, fp binary, far boolean").groupBy("leaf", "fp").agg(F.min("far").alias("far"))
+    return rows.mapInArrow(go_on, "leaf long, fp binary, far boolean, core boolean").groupBy("leaf", "fp").agg(F.min("far").alias("far"), F.min("core").alias("core"))
 
 
-def _sized(leaves: DataFrame) -> DataFrame:
+def _dense_leaves(crowd: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """``leaf``, ``fp``, ``far``, ``blocks``, ``farther`` of dense nodes, crowded leaves gone through again."""
+    found: list[DataFrame] = []
+    for layer in range(LAYERS + 1):
+        rare = materialise(_merged(materialise(_rare_leaves(crowd, tokens, similarity, layer), "leaves")), "leaves")
+        sizes = rare.groupBy("leaf").agg(F.count("*").alias("all"), F.count_if(F.col("far")).alias("away"), F.max("core").alias("core"))
+        sizes = materialise(sizes.where((F.col("all") > 1) & (F.col("all") > F.col("away"))), "leaf-sizes")
+        again = sizes.where((F.col("all") > CROWDED) & ~F.col("core")) if layer < LAYERS else sizes.where(F.lit(False))
+        found.append(_sized(rare, sizes.join(again.select("leaf"), "leaf", "left_anti")))
+        if again.isEmpty():
+            break
+        crowd = materialise(rare.join(again.select("leaf", F.col("all").alias("count")), "leaf").select(F.col("leaf").alias("node"), "fp", "count"), "crowd")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _merged(leaves: DataFrame) -> DataFrame:
+    """Leaves of the same sets as one: the tokens of a passage are named by the same texts, and bring nobody together twice.
+
+    Leaves are told to be the same by the number of their sets and two sums of hashes. A set is near if it is in one of them.
+    """
+    own = [F.sum(F.xxhash64("fp", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
+    told = leaves.groupBy("leaf").agg(F.count("*").alias("n"), *own).where("n > 1")
+    names = told.groupBy("n", "s1", "s2").agg(F.min("leaf").alias("one"), F.collect_set("leaf").alias("leaves"))
+    renamed = names.select("one", F.explode("leaves").alias("leaf"))
+    return leaves.join(renamed, "leaf").groupBy(F.col("one").alias("leaf"), "fp").agg(F.min("far").alias("far"), F.min("core").alias("core"))
+
+
+def _sized(leaves: DataFrame, sizes: DataFrame) -> DataFrame:
     """``leaves`` with the number of ``blocks`` of near sets that a leaf is cut into, and of ``farther`` ones; without those that hold no pair."""
     cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("all"), F.count_if(F.col("far")).alias("away"))
-    sizes = sizes.where((F.col("all") > 1) & (F.col("all") > F.col("away")))
-    return leaves.join(sizes.select("leaf", cut(F.col("all") - F.col("away")).alias("blocks"), cut(F.col("away")).alias("farther")), "leaf")
+    told = sizes.select("leaf", cut(F.col("all") - F.col("away")).alias("blocks"), cut(F.col("away")).alias("farther"))
+    return leaves.join(told, "leaf").select("leaf", "fp", "far", "blocks", "farther")
 
 
 def _placed(leaves: DataFrame) -> DataFrame:
@@ -479,8 +511,7 @@ def _join(docs: DataFrame, similarity: float, recall: float, lasting: Callable[[
     if crowd is not None:
         close = materialise(crowd.select("fp").distinct().join(sets.select("fp", "th"), "fp"), "crowd-sets")
         tokens = materialise(_tokens(docs, close), "tokens")
-        rare = materialise(_rare_leaves(crowd, tokens, similarity), "leaves")
-        leaves = leaves.unionByName(_sized(rare).select(*leaves.columns))
+        leaves = leaves.unionByName(_dense_leaves(crowd, tokens, similarity).select(*leaves.columns))
         leaves = materialise(leaves, "leaves")
     # A set is in a bounded number of leaves, whatever the number of sets.
     where = lambda far: F.array_sort(F.collect_set(F.when(F.col("far") == far, F.col("leaf"))))
