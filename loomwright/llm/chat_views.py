@@ -12,19 +12,25 @@ Cases: a null role is the speaker ``unknown``, a null text an empty turn, a null
 with equal numbers follow by role and text; repeated rows are repeated turns; a row without a conversation id is a
 dialogue of its own, as nothing tells whom it answers (equal rows share one); a dialogue of system turns alone has no
 rendition; a speaker without a turn in a part has an empty mask there; an empty table gives no rows; further columns are
-ignored. Nothing in a text or a name can pass for a mark of the format, and no name can end its line.
+ignored. Nothing in a text or a name can pass for a mark of the format, and no name can end its line: in a name the signs
+of marks, what ends a line and ``%`` are written as ``%`` and their code, so different names stay different.
+
+Offsets are running sums, taken once for a dialogue with everyone named: a speaker's own headers differ from that by the same
+length in every turn, so a span moves by it for each own turn before. A rendition costs time in its length, however many turns.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SYSTEM = ("system",)
 OPEN, CLOSE = "<|", "|>"
-# Fixed value: what may end a line.
-LINE_ENDS = "[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+# How names show the signs of marks, what may end a line, and the sign of these codes, which comes first.
+CODES = {"%": "%25", "<": "%3C", "|": "%7C", ">": "%3E", "\n": "%0A", "\x0b": "%0B", "\x0c": "%0C", "\r": "%0D", "\x1c": "%1C", "\x1d": "%1D", "\x1e": "%1E", "\x85": "%85", "\u2028": "%u2028", "\u2029": "%u2029"}
 
 
 def _clean(text: Column) -> Column:
@@ -32,20 +38,19 @@ def _clean(text: Column) -> Column:
 
 
 def _name(role: Column) -> Column:
-    """A role's name as a header may hold it: without marks, on one line."""
-    return F.regexp_replace(F.replace(_clean(role), F.lit(CLOSE), F.lit("| >")), LINE_ENDS, " ")
+    """A role's name as a header may hold it."""
+    return reduce(lambda name, code: F.replace(name, F.lit(code[0]), F.lit(code[1])), CODES.items(), role)
 
 
 def _parts(rows: DataFrame, key: list[str], system: tuple[str, ...], part_turns: int) -> DataFrame:
-    """``turns`` of each ``part``, cut by position; the turns that open the dialogue are in all of them."""
+    """The turns with their ``part``, cut by position; the turns that open the dialogue are in all of them."""
     dialogue = W.partitionBy(*key)
     is_system = F.col("x.r").isin(*system)
-    placed = rows.withColumn("at", F.row_number().over(dialogue.orderBy("x")) - 1).withColumn("last", F.floor((F.count("*").over(dialogue) - 1) / part_turns))
+    placed = rows.withColumn("last", F.floor((F.count("*").over(dialogue) - 1) / part_turns))
     placed = placed.withColumn("opens", is_system & (F.col("at") < F.min(F.when(~is_system, F.col("at"))).over(dialogue)))
     part = F.floor(F.col("at") / part_turns)
     spread = placed.withColumn("part", F.explode(F.when(F.col("opens"), F.sequence(part, F.col("last"))).otherwise(F.array(part))))
-    # Only its place tells equal turns apart, and it is what they are ordered by.
-    return spread.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("turns")).withColumn("turns", F.transform("turns", lambda t: t["x"]))
+    return spread.drop("last", "opens")
 
 
 def rotate(turns: DataFrame, system: tuple[str, ...] = SYSTEM, part_turns: int | None = None) -> DataFrame:
@@ -57,37 +62,43 @@ def rotate(turns: DataFrame, system: tuple[str, ...] = SYSTEM, part_turns: int |
     key = ["conv_id", "alone"]
     rows = turns.select(conv_id.alias("conv_id"), alone.alias("alone"), F.struct(number.alias("n"), role.alias("r"), _clean(F.col("text")).alias("t")).alias("x"))
     names = lambda found: F.filter(found, lambda r: ~r.isin(*system))
+    placed = rows.withColumn("at", F.row_number().over(W.partitionBy(*key).orderBy("x")) - 1)
+    placed = placed.withColumn("part", F.lit(0).cast("long")) if part_turns is None else _parts(placed, key, system, part_turns)
+    header = lambda name: F.concat(F.lit(OPEN), name, F.lit(CLOSE + "\n"))
+    said = placed.select(
+        *key, "part", "at", F.col("x.r").alias("r"),
+        header(F.when(F.col("x.r").isin(*system), F.col("x.r")).otherwise(F.concat(F.lit("user name="), _name(F.col("x.r"))))).alias("h"),
+        F.concat(F.col("x.t"), F.lit(OPEN + "end" + CLOSE + "\n")).alias("b"),
+    )
+    before = F.sum(F.length("h") + F.length("b")).over(W.partitionBy(*key, "part").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    said = said.withColumn("before", F.coalesce(before, F.lit(0)))
+    turned = said.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct("at", "r", "h", "b", "before"))).alias("turns"))
     if part_turns is None:
-        whole = rows.groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("turns")).withColumn("part", F.lit(0).cast("long"))
-        found = whole.withColumn("speaker", F.explode(names(F.array_distinct(F.transform("turns", lambda x: x["r"])))))
+        found = turned.withColumn("speaker", F.explode(names(F.array_distinct(F.transform("turns", lambda t: t["r"])))))
     else:
         speakers = rows.groupBy(*key).agg(F.collect_set("x.r").alias("found")).select(*(F.col(k).alias(f"_{k}") for k in key), F.explode(names(F.col("found"))).alias("speaker"))
-        found = _parts(rows, key, system, part_turns).join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & F.col("alone").eqNullSafe(F.col("_alone")))
-
-    def head(x: Column) -> Column:
-        name = F.when(x["r"].isin(*system), x["r"]).when(x["r"] == F.col("speaker"), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), _name(x["r"])))
-        return F.concat(F.lit(OPEN), name, F.lit(CLOSE + "\n"))
+        found = turned.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & F.col("alone").eqNullSafe(F.col("_alone")))
 
-    pieces = F.transform("turns", lambda x: F.struct(head(x).alias("h"), F.concat(x["t"], F.lit(OPEN + "end" + CLOSE + "\n")).alias("b"), (x["r"] == F.col("speaker")).alias("own")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("mask"))
+    own_header = header(F.lit("assistant"))
+    own = lambda t: t["r"] == F.col("speaker")
+    # By so much each own header is longer or shorter than the one that names the speaker.
+    moved = F.length(own_header) - F.length(header(F.concat(F.lit("user name="), _name(F.col("speaker")))))
 
-    def walk(state: Column, p: Column) -> Column:
-        begin = state["at"] + F.length(p["h"])
-        stop = begin + F.length(p["b"])
-        span = F.concat_ws(":", begin.cast("string"), (stop - 1).cast("string"))  # with the end mark, without the line's end
-        return F.struct(stop.alias("at"), F.when(p["own"], F.array_append(state["mask"], span)).otherwise(state["mask"]).alias("mask"))
+    def span(t: Column, k: Column) -> Column:
+        begin = t["before"] + k * F.col("moved") + F.length(own_header)
+        return F.concat_ws(":", begin.cast("string"), (begin + F.length(t["b"]) - 1).cast("string"))  # with the end mark, without the line's end
 
-    rendered = found.withColumn("pieces", pieces)
-    return rendered.select(
+    mine = found.withColumn("moved", moved).withColumn("mine", F.filter("turns", own))
+    return mine.select(
         "conv_id", "speaker", "part",
-        F.size("pieces").cast("long").alias("n_turns"),
-        F.size(F.filter("pieces", lambda p: p["own"])).cast("long").alias("n_learnt"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["h"], p["b"])), "").alias("text"),
-        F.array_join(F.aggregate("pieces", start, walk, lambda s: s["mask"]), ",").alias("mask"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.size("mine").cast("long").alias("n_learnt"),
+        F.array_join(F.transform("turns", lambda t: F.concat(F.when(own(t), own_header).otherwise(t["h"]), t["b"])), "").alias("text"),
+        F.array_join(F.transform("mine", span), ",").alias("mask"),
     )
 
 
-_SQL_NAME = f"regexp_replace(replace(replace(r, '{OPEN}', '< |'), '{CLOSE}', '| >'), '{LINE_ENDS}', ' ', 'g')"
+_SQL_NAME = reduce(lambda name, code: f"replace({name}, {f'chr({ord(code[0])})'}, '{code[1]}')", CODES.items(), "r")
 #: The same as DuckDB SQL. Lengths and offsets count code points there too.
 ORACLE = f"""
 WITH rows AS (

@@ -593,6 +593,34 @@ def test_rotation(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def decoded(name):
+    for sign, code in reversed(chat_views.CODES.items()):
+        name = name.replace(code, sign)
+    return name
+
+
+def test_names_stay_apart_and_forge_no_mark(spark):
+    names = ["ann<", "a|>", "a| >", "a%7C%3E", "<|end|>", "x\ny", "x y", "\u2028", "%", "é"]
+    df = spark.createDataFrame([(1, k, n, "t") for k, n in enumerate(names)], "conv_id long, turn long, role string, text string")
+    got = {r["speaker"]: r["text"] for r in chat_views.rotate(df).collect()}
+    for speaker, text in got.items():
+        heads = text.split("\n")[::2]
+        shown = [re.fullmatch(r"<\|(assistant|user name=([^<|>]*))\|>", h) for h in heads if h]
+        assert len(shown) == len(names) and text.count("<|") == 2 * len(names)
+        assert [decoded(m[2]) if m[2] is not None else speaker for m in shown] == names
+
+
+def test_a_hundred_thousand_turns_in_seconds(spark):
+    df = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "ann").otherwise("bob").alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string")).alias("text"))
+    began = time.perf_counter()
+    rows = chat_views.rotate(df).collect()
+    assert time.perf_counter() - began < 60 and len(rows) == 2
+    for r in rows:
+        spans = [tuple(map(int, s.split(":"))) for s in r["mask"].split(",")]
+        wanted = [k for k in range(100_000) if (k % 3 == 0) == (r["speaker"] == "ann")]
+        assert [r["text"][x:y] for x, y in spans[:: len(spans) // 50]] == [f"turn {k}<|end|>" for k in wanted[:: len(spans) // 50]] and len(spans) == len(wanted)
+
+
 def long_dialogue():
     """A system turn, 300 turns of two speakers, a null and an equal number, a repeated row, and a very long turn."""
     rows = [(7, -1, "system", "rules")] + [(7, k, "ab"[k % 2], f"turn {k}") for k in range(300)]
