@@ -4,10 +4,12 @@ Everything is DataFrame functions. Each text is scanned once into a few counts;
 -1 bad, 0 no opinion); the votes are counted by pattern, of which there are at most 3 to the number of rules; and
 the maximisation runs over that one row of patterns. No step needs the rows of a key together.
 
-Each rule rests on a count of its own. Nine speak against one kind of junk and else abstain; one, the share of letters,
-speaks either way. That a rule is mostly right is a prior belief: a Beta distribution that weighs as much as ``BELIEF``
-of the rule's votes, so it means the same for any number of documents, and what the votes of the other rules say moves
-it from there. Texts that fail the base rules are judged already and take no part in the estimates.
+Each rule rests on a count of its own and votes for a text, against it, or not at all. Two accuracies are estimated for a
+rule: how often it votes for the good texts on which it votes (``for``), and against the bad ones (``against``). So a rule that
+speaks for nearly every text tells nothing, and one that is wrong about one kind of text isn't trusted there. The estimates
+start from the votes themselves: a text that no rule speaks against is probably good, one that two or more do probably bad.
+Beliefs about rules weigh as much as ``BELIEF`` votes, whatever the number of votes, so votes outweigh them wherever there are
+any to speak of. Texts that fail the base rules are judged already and take no part in the estimates.
 
 Cases: a null text has no words; a text without words fails the base rules and no rule votes on it; null ids stay
 null; repeated rows are judged alike, one by one; an empty table gives no rows (the estimates then stay at their
@@ -16,6 +18,7 @@ start); further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +29,10 @@ from loomwright.llm.common import WORD, let, materialise
 SYMBOLS = "[#*$%&|<>]"
 SPAN = 8  # words in a window
 ROUNDS = 40
-#: What is believed at first: most texts are good, and a rule that votes is mostly right.
-PRIOR, RIGHT = 0.8, 0.9
-#: Weight of these beliefs, as shares of the texts and of a rule's votes; one vote more keeps rules without any where they are.
-PRIOR_BELIEF, BELIEF = 0.1, 1.0
+#: What is believed at first: most texts are good, and a rule that votes is mostly right. Weighs as much as so many texts or votes.
+PRIOR, RIGHT, BELIEF = 0.8, 0.9, 2.0
+#: Where the maximisation starts: the probability of a good text if none, one, or more rules speak against it.
+START = (0.9, 0.5, 0.1)
 #: A text is kept from this posterior on.
 KEEP = 0.5
 
@@ -107,27 +110,25 @@ def _share(count: str, of: str) -> str:
     return f"({count} * 100.0 / greatest({of}, 1))"
 
 
-# When a rule speaks against a text, as conditions that Spark and DuckDB read alike. Each has its own count.
-_AGAINST = {
-    "symbols": f"{_share('n_symbols', 'n_words')} > 10",
-    "upper": f"{_share('n_upper', 'word_chars')} > 30",
-    "marks": f"{_share('n_marks', 'n_words')} > 20",
-    "repeats": f"{_share('n_repeat_words', 'n_words')} > 30",
-    "variety": f"n_words >= 20 AND {_share('n_distinct', 'n_words')} < 25",
-    "lines": "n_dup_lines > 10 AND n_dup_lines * 20 > n_words",
-    "stops": f"n_words >= 20 AND {_share('n_stops', 'n_words')} < 1",
-    "length": "n_words >= 20 AND (word_chars > 7 * n_words OR word_chars < 3 * n_words)",
-    "bare": f"n_words >= 20 AND {_share('n_bare', 'n_words')} > 20",
-    "letters": f"{_share('n_letters', 'word_chars')} < 80",
+# When a rule speaks for a text and when against it, as conditions that Spark and DuckDB read alike. Each has its own count.
+_SPEAKS = {
+    "symbols": (f"{_share('n_symbols', 'n_words')} <= 2", f"{_share('n_symbols', 'n_words')} > 10"),
+    "upper": (f"{_share('n_upper', 'word_chars')} <= 10", f"{_share('n_upper', 'word_chars')} > 30"),
+    "marks": (f"{_share('n_marks', 'n_words')} <= 5", f"{_share('n_marks', 'n_words')} > 20"),
+    "repeats": (f"{_share('n_repeat_words', 'n_words')} <= 2", f"{_share('n_repeat_words', 'n_words')} > 10"),
+    "variety": (f"{_share('n_distinct', 'n_words')} >= 50", f"{_share('n_distinct', 'n_words')} < 30"),
+    "lines": ("n_dup_lines = 0", f"{_share('n_dup_lines', 'n_words')} > 5"),
+    "stops": (f"{_share('n_stops', 'n_words')} BETWEEN 3 AND 40", f"{_share('n_stops', 'n_words')} < 1"),
+    "length": ("word_chars * 10 BETWEEN 35 * n_words AND 65 * n_words", "(word_chars > 7 * n_words OR word_chars < 3 * n_words)"),
+    "bare": (f"{_share('n_bare', 'n_words')} <= 2", f"{_share('n_bare', 'n_words')} > 20"),
+    "letters": (f"{_share('n_letters', 'word_chars')} >= 92", f"{_share('n_letters', 'word_chars')} < 80"),
 }
-# When one speaks for a text.
-_FOR = {"letters": f"{_share('n_letters', 'word_chars')} >= 92"}
-RULES = tuple(_AGAINST)
+RULES = tuple(_SPEAKS)
 
 
 def _vote(rule: str) -> str:
-    good = f"WHEN n_words > 0 AND {_FOR[rule]} THEN 1 " if rule in _FOR else ""
-    return f"CASE {good}WHEN n_words > 0 AND {_AGAINST[rule]} THEN -1 ELSE 0 END"
+    good, bad = _SPEAKS[rule]
+    return f"CASE WHEN n_words = 0 THEN 0 WHEN {good} THEN 1 WHEN {bad} THEN -1 ELSE 0 END"
 
 
 def votes() -> dict[str, Column]:
@@ -135,33 +136,37 @@ def votes() -> dict[str, Column]:
     return {r: F.expr(_vote(r)) for r in RULES}
 
 
-def _posterior(vote: list[Column], prior: Column, right: list[Column]) -> Column:
-    """Probability of a good text, given independent rules that are right with these probabilities when they vote."""
-    odds = reduce(lambda a, b: a + b, (v * F.log(r / (1 - r)) for v, r in zip(vote, right, strict=True)), F.log(prior / (1 - prior)))
+def _posterior(vote: dict[str, Column], state: Callable[[str], Column]) -> Column:
+    """Probability of a good text, given rules that vote independently with these accuracies, by names ``prior``, ``for_..``, ``against_..``."""
+    told = lambda r: F.when(vote[r] > 0, F.log(state(f"for_{r}") / (1 - state(f"against_{r}")))).when(vote[r] < 0, F.log((1 - state(f"for_{r}")) / state(f"against_{r}"))).otherwise(0.0)
+    odds = reduce(lambda a, r: a + told(r), vote, F.log(state("prior") / (1 - state("prior"))))
     return 1 / (1 + F.exp(-odds))
 
 
 def estimate(voted: DataFrame, rules: list[str], rounds: int = ROUNDS, belief: float = BELIEF) -> dict[str, float]:
-    """The share of good texts and each rule's accuracy: one row, from the counted vote patterns (at most 3 ** len(rules))."""
+    """The share of good texts and each rule's two accuracies: one row, from the counted vote patterns (at most 3 ** len(rules))."""
     counted = voted.groupBy(*rules).count().agg(F.sort_array(F.collect_list(F.struct(*rules, F.col("count").cast("double").alias("n")))).alias("patterns"))
-    start = F.struct(F.lit(PRIOR).alias("prior"), *[F.lit(RIGHT).alias(r) for r in rules])
+    weighed = lambda q: F.transform("patterns", lambda p: F.struct(p["n"].alias("n"), q(p).alias("q"), *[p[r].alias(r) for r in rules]))
     # The mean of a Beta distribution after so many observations, of which so many agree.
-    mean = lambda agreed, seen, share, weight: (agreed + (weight * seen + 1) * share) / (seen + weight * seen + 1)
+    mean = lambda agreed, seen, share: (agreed + belief * share) / (seen + belief)
 
-    def step(state: Column, _: Column) -> Column:
-        weighed = F.transform("patterns", lambda p: F.struct(p["n"].alias("n"), _posterior([p[r] for r in rules], state["prior"], [state[r] for r in rules]).alias("q"), *[p[r].alias(r) for r in rules]))
+    def update(rows: Column) -> Column:
+        total = lambda f: F.aggregate(rows, F.lit(0.0), lambda a, x: a + f(x))
+        new = {"prior": mean(total(lambda x: x["n"] * x["q"]), total(lambda x: x["n"]), PRIOR)}
+        for r in rules:
+            good, bad = (lambda x: x["n"] * x["q"]), (lambda x: x["n"] * (1 - x["q"]))
+            cast = lambda x, f, r=r: F.when(x[r] != 0, f(x)).otherwise(0.0)
+            new[f"for_{r}"] = mean(total(lambda x, r=r, f=good: F.when(x[r] > 0, f(x)).otherwise(0.0)), total(lambda x, f=good, c=cast: c(x, f)), RIGHT)
+            new[f"against_{r}"] = mean(total(lambda x, r=r, f=bad: F.when(x[r] < 0, f(x)).otherwise(0.0)), total(lambda x, f=bad, c=cast: c(x, f)), RIGHT)
+        return F.struct(*[p.alias(r) for r, p in new.items()])
 
-        def update(rows: Column) -> Column:
-            total = lambda f: F.aggregate(rows, F.lit(0.0), lambda a, x: a + f(x))
-            new = {"prior": mean(total(lambda x: x["n"] * x["q"]), total(lambda x: x["n"]), PRIOR, PRIOR_BELIEF)}
-            for r in rules:
-                agreed = total(lambda x, r=r: x["n"] * F.when(x[r] > 0, x["q"]).when(x[r] < 0, 1 - x["q"]).otherwise(0.0))
-                new[r] = mean(agreed, total(lambda x, r=r: x["n"] * F.abs(x[r])), RIGHT, belief)
-            return F.struct(*[p.alias(r) for r, p in new.items()])
+    def first(p: Column) -> Column:
+        against = reduce(lambda a, b: a + b, (F.when(p[r] < 0, 1).otherwise(0) for r in rules))
+        return F.when(against == 0, START[0]).when(against == 1, START[1]).otherwise(START[2])
 
-        return let(weighed, update)
-
-    return counted.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("s")).select("s.*").first().asDict()
+    step = lambda state, _: let(weighed(lambda p: _posterior({r: p[r] for r in rules}, lambda name: state[name])), update)
+    started = counted.withColumn("start", let(weighed(first), update))
+    return started.select(F.aggregate(F.sequence(F.lit(2), F.lit(rounds)), F.col("start"), step).alias("s")).select("s.*").first().asDict()
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -169,7 +174,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rules = votes()
     voted = materialise(measure(docs).withColumns(rules), "quality-votes")  # narrow: the texts are read once
     found = estimate(voted.where(~base_failed()), list(rules))
-    posterior = _posterior([F.col(r) for r in rules], F.lit(found["prior"]), [F.lit(found[r]) for r in rules])
+    posterior = _posterior({r: F.col(r) for r in rules}, lambda name: F.lit(found[name]))
     return voted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & (posterior >= KEEP)).alias("kept"), F.round(posterior, 6).alias("quality"),
@@ -180,12 +185,17 @@ def oracle() -> str:
     """The same as DuckDB SQL: windows as rows, and a table for each round of the maximisation."""
     rules = list(RULES)
     cast = [f"{_vote(r)} AS {r}" for r in rules]
-    odds = "ln(s.prior / (1 - s.prior))" + "".join(f" + v.{r} * ln(s.{r} / (1 - s.{r}))" for r in rules)
-    mean = lambda agreed, seen, share, belief: f"(coalesce({agreed}, 0) + ({belief} * coalesce({seen}, 0) + 1) * {share}) / (coalesce({seen}, 0) * (1 + {belief}) + 1)"
-    agreed = lambda r: f"sum(n * CASE WHEN {r} > 0 THEN q WHEN {r} < 0 THEN 1 - q ELSE 0 END)"
-    new = ", ".join([f"{mean('sum(n * q)', 'sum(n)', PRIOR, PRIOR_BELIEF)} AS prior", *(f"{mean(agreed(r), f'sum(n * abs({r}))', RIGHT, BELIEF)} AS {r}" for r in rules)])
-    states = [f"s0 AS MATERIALIZED (SELECT CAST({PRIOR} AS DOUBLE) AS prior, {', '.join(f'CAST({RIGHT} AS DOUBLE) AS {r}' for r in rules)})"]
-    for k in range(ROUNDS):
+    told = lambda r: f"CASE WHEN v.{r} > 0 THEN ln(s.for_{r} / (1 - s.against_{r})) WHEN v.{r} < 0 THEN ln((1 - s.for_{r}) / s.against_{r}) ELSE 0 END"
+    odds = " + ".join(["ln(s.prior / (1 - s.prior))", *map(told, rules)])
+    mean = lambda agreed, seen, share: f"(coalesce({agreed}, 0) + {BELIEF} * {share}) / (coalesce({seen}, 0) + {BELIEF})"
+    new = [f"{mean('sum(n * q)', 'sum(n)', PRIOR)} AS prior"]
+    for r in rules:
+        new.append(f"{mean(f'sum(n * q) FILTER ({r} > 0)', f'sum(n * q) FILTER ({r} <> 0)', RIGHT)} AS for_{r}")
+        new.append(f"{mean(f'sum(n * (1 - q)) FILTER ({r} < 0)', f'sum(n * (1 - q)) FILTER ({r} <> 0)', RIGHT)} AS against_{r}")
+    new = ", ".join(new)
+    against = " + ".join(f"CAST({r} < 0 AS INTEGER)" for r in rules)
+    states = [f"s1 AS MATERIALIZED (SELECT {new} FROM (SELECT *, CASE {against} WHEN 0 THEN {START[0]} WHEN 1 THEN {START[1]} ELSE {START[2]} END AS q FROM patterns))"]
+    for k in range(1, ROUNDS):
         weighed = f"SELECT n, {', '.join(f'v.{r}' for r in rules)}, 1 / (1 + exp(-({odds}))) AS q FROM patterns v, s{k} s"
         states.append(f"s{k + 1} AS MATERIALIZED (SELECT {new} FROM ({weighed}))")
     return rf"""
