@@ -102,6 +102,22 @@ _MIXED_RUN = re.compile(rf"(?i)(?:\+|(?<!\w)plus[\x20-]{{1,2}}|(?<![\w+])){_MIXE
 _MIXED_EDIT = re.compile(rf"(?i)plus[\x20-]{{1,2}}|{_NUMBER_WORD}|oh")
 _HAS_MIXED = re.compile(rf"[0-9][\x20().-]{{0,2}}(?:{_NUMBER_WORD}|oh)(?![^\W\d_])|(?:plus|{_NUMBER_WORD})[\x20().-]{{0,2}}[0-9]")
 
+# Digits said twice or three times, and addresses of numbers whose dots are spelled.
+_TIMES = re.compile(rf"(?i)\b(double|triple)[\x20-](?:({_NUMBER_WORD}|oh)\b|([0-9])(?![0-9]))")
+_GROUP = rf"(?:[0-9]{{1,3}}|(?:{_NUMBER_WORD}|oh)\b(?:[\x20-](?:{_NUMBER_WORD}|oh)\b){{0,2}})"
+_SPELLED_IP = re.compile(rf"(?i)(?<![\w.]){_GROUP}(?:(?:\x20(?:dot|point)\x20|\x20?\.\x20?){_GROUP}){{3}}(?!\w)")
+_IP_TOKEN = re.compile(rf"(?i){_NUMBER_WORD}|oh|\x20?(?:dot|point|\.)\x20?|[0-9]+|[\x20-]")
+
+# Letters and signs that look like digits. They count in a run that has a digit, and only where the run then holds an identifier.
+_DIGIT_ALIKES = {"l": "1", "I": "1", "|": "1", "O": "0", "o": "0"}
+_GLYPH_RUN = re.compile(r"(?<![^\W_])(?<!\|)\+?[0-9lIOo|](?:[\x20().-]{0,2}[0-9lIOo|])++(?![^\W_])")
+_HAS_GLYPH = re.compile(r"[0-9][\x20().-]{0,2}[lIOo|]|[lIOo|][\x20().-]{0,2}[0-9]")
+
+#: What follows an at-sign, with blanks around dots or commas in their place.
+_LOOSE_HOST = re.compile(r"(?<=@)[A-Za-z0-9-]{1,63}(?:(?:\x20{1,2}\.\x20{0,2}|\.\x20{0,2}|,\x20?)[A-Za-z0-9-]{1,63}){1,8}")
+_LOOSE_DOT = re.compile(r"\x20{0,2}[.,]\x20{0,2}")
+
+
 def _bracketed(words: str) -> str:
     return rf"[\[({{<]\x20?(?:{words})\x20?[\])}}>]"
 
@@ -135,6 +151,7 @@ def _may_have_dot(low: str) -> bool:
 def _alike() -> dict[int, str | None]:
     """The character transducer's table: look-alikes, full-width and styled forms of ASCII, other scripts' digits, invisible characters."""
     table: dict[int, str | None] = {ord(c): to for to, froms in _LOOK_ALIKES.items() for c in froms} | {ord(c): None for c in _INVISIBLE}
+    table |= {0x3002: ".", 0xFF61: "."}  # ideographic stops
     for code in (*range(0x0660, 0x3000), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)):
         c = chr(code)
         digit = unicodedata.digit(c, None) if unicodedata.category(c) == "Nd" else None
@@ -224,6 +241,44 @@ def _mixed_edits(text: str) -> Iterator[tuple[int, int, str]]:
                 yield run.start() + start, run.start() + end, new
 
 
+def _times_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _TIMES.finditer(text):
+        yield m.start(), m.end(), (_SPELLED[m[2].lower()] if m[2] else m[3]) * (2 if m[1].lower() == "double" else 3)
+
+
+def _ip_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    """The digits and dots of a spelled address of four numbers."""
+    for run in _SPELLED_IP.finditer(text):
+        tokens = list(_IP_TOKEN.finditer(text, run.start(), run.end()))
+        new = [_SPELLED.get(low, low if low.isdigit() else "." if low.strip(" -") else "") for low in (t[0].lower() for t in tokens)]
+        if any(t[0].lower() in _SPELLED for t in tokens) and any(k == "ip" for _, _, k in find("".join(new))):
+            yield from ((t.start(), t.end(), n) for t, n in zip(tokens, new, strict=True) if n != t[0])
+
+
+def _glyph_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Look-alikes in runs of digits that hold a card, phone number or address with them and none without."""
+    for run in _GLYPH_RUN.finditer(text):
+        if not _DIGIT.search(run[0]) or any(k != "email" for _, _, k in find(run[0])):
+            continue
+        read = "".join(_DIGIT_ALIKES.get(c, c) for c in run[0])
+        spans = [(x, y) for x, y, k in find(read) if k != "email"] if read != run[0] else []
+        for k, c in enumerate(run[0]):
+            if c in _DIGIT_ALIKES and any(x <= k < y for x, y in spans):
+                yield run.start() + k, run.start() + k + 1, _DIGIT_ALIKES[c]
+
+
+def _loose_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Dots with blanks around them, and commas, up to the first well-known ending of a host."""
+    for run in _LOOSE_HOST.finditer(text):
+        dots = list(_LOOSE_DOT.finditer(text, run.start(), run.end()))
+        for k, dot in enumerate(dots):
+            label = text[dot.end() : dots[k + 1].start() if k + 1 < len(dots) else run.end()]
+            if label in _ENDINGS:
+                yield from ((d.start(), d.end(), ".") for d in dots[: k + 1] if d[0] != ".")
+            if label.lower() in _ENDINGS or dot[0] == "." and label.lower() in _COUNTRIES:
+                break
+
+
 def _mark_edits(pattern: re.Pattern[str], new: str, text: str) -> Iterator[tuple[int, int, str]]:
     for m in pattern.finditer(text):
         yield m.start(), m.end(), new
@@ -235,13 +290,22 @@ def normalise(text: str) -> Mapped:
     if _has_odd(text):
         out = out.rewrite(_alike_edits(out.text))
     low = out.text.lower()
+    if "double" in low or "triple" in low:
+        out = out.rewrite(_times_edits(out.text))
+        low = out.text.lower()
     spelled = sum(map(low.count, _SPELLED))
+    if spelled and ("dot" in low or "point" in low or "." in low):
+        out = out.rewrite(_ip_edits(out.text))
     if spelled >= 3 and _HAS_SPELLED.search(low):
         out = out.rewrite(_spelled_edits(out.text))
     if (spelled or "plus" in low) and _DIGIT.search(low) and _HAS_MIXED.search(low):
         out = out.rewrite(_mixed_edits(out.text))
+    if _DIGIT.search(low) and _HAS_GLYPH.search(out.text):
+        out = out.rewrite(_glyph_edits(out.text))
     if _may_have_at(low):
         out = out.rewrite(_mark_edits(_AT_MARK, "@", out.text))
+    if "@" in out.text:
+        out = out.rewrite(_loose_edits(out.text))
     if _may_have_dot(low):
         out = out.rewrite(_mark_edits(_DIGIT_DOT_MARK, ".", out.text))
         if "@" in out.text:  # no other kind has a dot beside a letter
@@ -265,35 +329,47 @@ _WORD_ENDINGS = frozenset("am as at be by do in is me my no so to us".split())
 _BEFORE_DOT = frozenset("the an this that these those each every any one some its his her our your their my another last first next same".split())
 
 
-# Words that come before " at " and a host's name in prose.
-_BEFORE_AT = frozenset(
-    """a about again all am an and anytime apply are arrive arrived as ask available back based be been begin book bought browse buy call check click come contact day details download
-    email end enter find first for found free from further get go good guide had has have he headquarters help her here him his home hosted i in info information is it its join
-    just last learn listed live located look looked looking looks mail mailed me meet meeting message more new news next not now off office on one online only open or order our out page pages point
-    post posted price product products published read register registered released reply resource resources run sale see seen sell shop show sign signup site sold staff
-    start stay stop store support team tell than that the their them then there these they this those time to tool up us used user version via view visit was we web website
-    week went were what when where which who will with work worked working works write you your yours""".split()
+# What tells an address from prose where only " at " stands before a host with its own dots: a label or a word of contact right
+# before it; a sign in the local part; or that it is set off from what is around it on both sides.
+_LABELLED = re.compile(
+    r"(?i)(?:[:=]\x20{0,2}|\b(?:e-?mails?|mail(?:to)?|contact|write|reach|send|address|courriel|correo|escrib\w*|écri\w*|schreib\w*|kontakt\w*)(?:\x20(?:to|is|an|a|à))?\x20)$"
 )
+_SET_OFF = re.compile(r"(?:^|[\n,;(<\[|\"]\x20{0,2})$"), re.compile(r"\x20{0,2}(?:$|[\n,;)>\]|\"])")
+# Words after a word of contact that are no names.
+_NO_NAMES = frozenset("us me him her them you it we they someone anyone everyone people customers".split())
+
+
+def _told(text: str, start: int, end: int, local: str) -> bool:
+    """Whether there is evidence for an address."""
+    if not local.isalpha():
+        return True
+    before = text[max(0, start - 40) : start]
+    if local not in _NO_NAMES and _LABELLED.search(before):
+        return True
+    if start == 0 and end == len(text):  # nothing that it could be set off from
+        return False
+    return bool(_SET_OFF[0].search(before) and _SET_OFF[1].match(text, end))
 
 
-def _likely(kind: str, found: str, source: str) -> bool:
+def _likely(kind: str, found: str, text: str, start: int, end: int) -> bool:
     """A disguised address must end in letters, as top domains do, and one whose signs are spelled in bare words, or stand between blanks, as addresses rather than sentences do.
 
     That is in a well-known ending, or in a country's after labels that are none of ``_BEFORE_DOT``; where the
     country's ending is an English word too, the local part must hold more than letters or the domain a further label.
-    A word of ``_BEFORE_AT`` before a bare " at " and a host with its own dots is no local part.
+    A bare " at " before a host with its own dots needs further evidence.
     """
     if kind != "email":
         return True
     local, _, domain = found.lower().rpartition("@")
-    *labels, end = domain.split(".")
-    if not end.isalpha() or len(end) < 2:
+    *labels, last = domain.split(".")
+    if not last.isalpha() or len(last) < 2:
         return False
+    source = text[start:end]
     if not _BARE.search(source):
         return True
-    if _PLAIN_HOST.search(source) and local in _BEFORE_AT:
+    if _PLAIN_HOST.search(source) and not _told(text, start, end, local):
         return False
-    return end in _ENDINGS or end in _COUNTRIES and _BEFORE_DOT.isdisjoint(labels) and (end not in _WORD_ENDINGS or len(labels) > 1 or not local.isalpha())
+    return last in _ENDINGS or last in _COUNTRIES and _BEFORE_DOT.isdisjoint(labels) and (last not in _WORD_ENDINGS or len(labels) > 1 or not local.isalpha())
 
 
 def detect(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -306,7 +382,7 @@ def detect(text: str | None) -> tuple[list[Span], list[Span]]:
     added = []
     for start, end, kind in find(normal.text):
         source = normal.span(start, end)
-        if not any(s <= source[0] and source[1] <= e for s, e, _ in base) and _likely(kind, normal.text[start:end], text[slice(*source)]):
+        if not any(s <= source[0] and source[1] <= e for s, e, _ in base) and _likely(kind, normal.text[start:end], text, *source):
             added.append((*source, kind))
     return base, sorted({*base, *added}, key=lambda s: (s[0], _ORDER[s[2]], s[1]))
 

@@ -181,14 +181,14 @@ def mark_forms(words):
 PLANTED = {
     "email": [
         *(f"bob{a}example{d}com" for a in ("@", "(at)", " [at] ", "{@}", "&#64;", "&#x40;", "&commat;", " at ", " @ ") for d in (".", "[.]", " (dot) ", "&#46;", "&#x2E;", "&period;", " dot ") if (a, d) != ("@", ".")),
-        "bob at example.com", "anna.k at mail.example.org", "x_1 at firma.de", "bob AT example.co.uk", "bоb@example.com", "bob＠example．com", "b\u200bob@example.com", "𝐛𝐨𝐛@example.com",
+        "bob at example.com", "john @ example . com", "john@example . com", "john@example,com", "a@b。com", "anna.k at mail.example.org", "x_1 at firma.de", "b0b AT example.co.uk", "bоb@example.com", "bob＠example．com", "b\u200bob@example.com", "𝐛𝐨𝐛@example.com",
     ],
     "ip": [
         *(d.join(("192", "168", "0", "1")) for d in ("[.]", "(.)", "(dot)", " dot ", " [dot] ", "&#46;", "&period;", "{.}", " DOT ")),
-        "10[.]0[.]0[.]1", "10.0.0[.]1", "１９２.168.0.1", "192\u200b.168.0.1", "١٠.0.0.1",
+        "10[.]0[.]0[.]1", "10.0.0[.]1", "１９２.168.0.1", "192\u200b.168.0.1", "١٠.0.0.1", "192。168。0。1", "127.O.O.1", "l0.0.0.I", "one nine two dot one six eight dot zero dot one", "ten"[:0] + "10 dot zero dot zero dot one",
     ],
-    "card": ["４１１１ 1111 1111 1111", "four one one one" + " one" * 12, "4111 1111 1111 111one", "4111\u200b1111 1111 1111", "4111-1111-1111-111One"],
-    "phone": ["plus one five five five one two three four five six seven", "+1 555 123 four five 67", "＋1 555 123 4567", "plus 49 30 1234567"],
+    "card": ["４１１１ 1111 1111 1111", "four one one one" + " one" * 12, "4111 1111 1111 111one", "4111\u200b1111 1111 1111", "4111-1111-1111-111One", "4111 1111 1111 l111", "4lll llll llll llll", "4III-IIII-IIII-IIII"],
+    "phone": ["plus one five five five one two three four five six seven", "+1 555 123 four five 67", "＋1 555 123 4567", "+1 555 l23 4O67", "plus one double five five one two three four five six seven", "plus 49 30 1234567"],
 }
 #: Prose that holds nothing of the kind.
 CLEAN = [
@@ -203,6 +203,8 @@ def test_disguises_of_each_kind(kind):
     """All planted ones are found at their place, wherever they stand, and nothing else; no text without any has a span."""
     for planted in PLANTED[kind]:
         for before, after in (("", ""), ("Write to ", " today."), ("Grüße 日本: ", "\nnext line"), ("x, ", ", y@ z")):
+            if planted == "bob at example.com" and not before:
+                continue  # as a text by itself it may as well be prose
             text = before + planted + after
             base, spans = pii.detect(text)
             start = len(before)
@@ -219,6 +221,18 @@ def test_clean_prose_has_no_spans():
         assert pii.detect(text)[1] == [], text
 
 
+def test_words_at_hosts_are_prose():
+    """Of a thousand sentences with a word, " at " and a host hardly one has a span."""
+    rng = random.Random(3)
+    subjects = "customers people dinner lunch staff she he they everyone lives works stays meets books prices deals news shops friends guests".split()
+    hosts = "ikea.com mario.it paris.fr shop.example.org hotel.de my.news.co.uk cafe.es store.net".split()
+    frames = ["The {s} at {h} love it.", "We had {s} at {h} tonight", "{s} at {h} last week, and again", "On Monday {s} at {h} said so.", "It was good, {s} at {h} told us.", "contact us at {h} now", "{s} at {h}"]
+    found = [t for t in (rng.choice(frames).format(s=rng.choice(subjects), h=rng.choice(hosts)) for _ in range(1000)) if pii.detect(t)[1]]
+    assert len(found) < 10, found[:5]
+    for text in ("contact: ann at ikea.com today", "mail ann at ikea.com", "ann.b at ikea.com is mine", "Staff:\nann at ikea.com\nbob at ikea.com", "she (ann at ikea.com) left"):
+        assert len(pii.detect(text)[1]) >= 1, text
+
+
 def test_every_form_of_a_mark_is_found_alone():
     ats = [*mark_forms(("at", "AT", "@")), "&#64;", "&commat;", " &COMMAT; ", " @", "  @", "@ ", " @ ", "@  "]
     dots = [*mark_forms(("dot", "Dot", ".")), " dot ", " DOT "]
