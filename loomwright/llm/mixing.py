@@ -50,11 +50,17 @@ def uniform(own: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(own, F.lit(977)), 11) + 0.5) / float(1 << 53)
 
 
-def key_columns() -> dict[str, Column]:
-    """The columns of ``KEYS``: id, source, size in words, sampling key, hash of the row."""
+def key_columns(weight: Column | None = None) -> dict[str, Column]:
+    """The columns of ``KEYS``: id, source, size in words, sampling key, hash of the row.
+
+    ``weight`` is the documents' quality weight, if they bring one: a classifier's score or a posterior, say. What is null,
+    not a number or below ``LEAST`` counts as ``LEAST``. Else ``quality`` of the text is taken.
+    """
+    if weight is not None:
+        weight = F.greatest(F.coalesce(F.nanvl(weight.cast("double"), F.lit(LEAST)), F.lit(LEAST)), F.lit(LEAST))
     text, doc_id, source = F.col("text").cast("string"), F.col("doc_id"), F.col("source").cast("string")
     own = F.xxhash64(doc_id.cast("string"), source, text)
-    return dict(zip(KEYS, (doc_id.cast("long"), source, n_words(text), -F.log(uniform(own)) / quality(text), own), strict=True))
+    return dict(zip(KEYS, (doc_id.cast("long"), source, n_words(text), -F.log(uniform(own)) / (quality(text) if weight is None else weight), own), strict=True))
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
@@ -158,15 +164,15 @@ def take(rows: DataFrame, own: dict[str, str], found: DataFrame) -> tuple[DataFr
     return done, own | kept | out
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
+def _narrow(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     """The keys of the rows, written: the texts are read once for all that looks for the budgets' ends."""
-    rows = docs.select(*[c.alias(n) for n, c in key_columns().items()])
+    rows = docs.select(*[c.alias(n) for n, c in key_columns(weight).items()])
     return materialise(rows.withColumn("place", (F.col("key") * float(1 << 53)).cast("long")), "mix-rows")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
-    """``doc_id``, ``size``, its source's ``source_size`` and ``target``, and the words ``taken``."""
-    rows = _narrow(docs)
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, weight: Column | None = None) -> DataFrame:
+    """``doc_id``, ``size``, its source's ``source_size`` and ``target``, and the words ``taken``. ``weight``: see ``key_columns``."""
+    rows = _narrow(docs, weight)
     done, name = take(rows, {k: k for k in KEYS}, plan(rows, weights, share, epochs))
     return done.select(F.col("id").alias("doc_id"), "size", *[F.col(name[k]).alias(k) for k in ("source_size", "target", "taken")])
 
@@ -176,14 +182,14 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), 1, n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, weight: Column | None = None) -> DataFrame:
     """The mix as documents: a row for each time a document is taken whole, and one cut after the words taken in part.
 
     ``n_chars``, where there is one, follows the text.
     """
     own = dict(zip(KEYS, fresh(docs, *(f"_mix_{k}" for k in KEYS)), strict=True))
-    found = plan(_narrow(docs), weights, share, epochs)
-    done, name = take(docs.withColumns({own[k]: c for k, c in key_columns().items()}), own, found)
+    found = plan(_narrow(docs, weight), weights, share, epochs)
+    done, name = take(docs.withColumns({own[k]: c for k, c in key_columns(weight).items()}), own, found)
     text, size, taken = F.col("text").cast("string"), F.col(name["size"]), F.col(name["taken"])
     whole = F.floor(taken / size).cast("int")
     part = (taken % size).cast("int")

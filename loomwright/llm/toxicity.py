@@ -28,9 +28,11 @@ from loomwright.llm.common import held_out, materialise
 #: Labelled ids that are learnt from, of each class, and the parts of which one finds the threshold.
 TRAIN = 6000
 FOLDS = 5
-ORDERS = (4, 5, 6)
+ORDERS = (6, 7, 8)
 BITS = 18
-FEATURES = 2000
+FEATURES = 4000
+#: Rows that must hold an n-gram.
+SEEN = 3
 #: Tasks that share the sample, whatever the cluster.
 SPREAD = 32
 #: Pseudo-count of the ratios; weight of the penalty on the squared weights.
@@ -108,7 +110,7 @@ def telling(counts: DataFrame) -> list:
     ratio = F.log((F.col("toxic") + ALPHA) / ((sums[1] or 0) + width)) - F.log((F.col("clean") + ALPHA) / ((sums[0] or 0) + width))
     both = (F.col("clean") + F.col("toxic")) / (clean + toxic)
     apart = F.abs(F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(both * (1 - both) * (1 / clean + 1 / toxic) + 1e-9)
-    ranked = grams.where("clean + toxic >= 4").select("slot", ratio.alias("ratio"), apart.alias("apart"))
+    ranked = grams.where(F.col("clean") + F.col("toxic") >= SEEN).select("slot", ratio.alias("ratio"), apart.alias("apart"))
     return sorted(ranked.orderBy(F.desc("apart"), "slot").limit(FEATURES).collect())
 
 

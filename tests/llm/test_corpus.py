@@ -121,6 +121,67 @@ def test_a_shared_passage_is_no_reason_to_compare(spark, monkeypatch, bodies):
         assert seen[0] < 0.05 * len(rows) ** 2 / 2
 
 
+def layered_corpus(rng, n, kind):
+    """Texts of a site: a passage of the site, one of its sections or some blocks of them, and words of their own."""
+    words = [f"w{k}" for k in range(50_000)]
+    passage, sections, blocks = rng.choices(words, k=120), [rng.choices(words, k=60) for _ in range(3)], [rng.choices(words, k=20) for _ in range(12)]
+    if kind == "sections":
+        return [" ".join(passage + rng.choice(sections) + rng.choices(words, k=40)) for _ in range(n)]
+    return [" ".join(passage[:60] + sum((blocks[k] for k in sorted(rng.sample(range(12), 6))), []) + rng.choices(words, k=25)) for _ in range(n)]
+
+
+def links_by_matrix(rows):
+    """The number of links of each row, from all pairs."""
+    sets = [shingle_set(t) for _, t in rows]
+    number: dict = {}
+    ids = [np.array([number.setdefault(x, len(number)) for x in s]) for s in sets]
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    for at in range(0, len(number), 4000):
+        part = np.zeros((len(rows), 4000), np.float32)
+        for i, own in enumerate(ids):
+            part[i, own[(own >= at) & (own < at + 4000)] - at] = 1
+        both += part @ part.T
+    size = np.array([len(s) for s in sets])
+    linked = both >= 0.8 * (size[:, None] + size[None] - both)
+    np.fill_diagonal(linked, False)
+    return linked.sum(1)
+
+
+@pytest.mark.parametrize(("kind", "most"), [("sections", 0.01), ("blocks", 0.2)])
+def test_layers_of_boilerplate_are_no_reason_to_compare(spark, monkeypatch, kind, most):
+    """At the limits in use: pairs placed are a small part of all pairs, and every link is found."""
+    rng = random.Random(6)
+    texts = layered_corpus(rng, 2000, kind)
+    for k in range(60):
+        copy = texts[k].split()
+        copy[rng.randrange(len(copy))] = "changed"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    seen, screened = [], jj._screened
+    monkeypatch.setattr(jj, "_screened", lambda placed, s: (seen.append(pairs_in(placed)), screened(placed, s))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_links"] for r in jj.near_duplicates(df).collect()}
+    assert [got[k] for k, _ in rows] == links_by_matrix(rows).tolist()
+    assert seen[0] < most * len(rows) ** 2 / 2
+
+
+@pytest.mark.parametrize("crowded", [10, 60])
+def test_crowded_leaves_are_gone_through_again(spark, monkeypatch, crowded):
+    """With a low limit the leaves of dense nodes are dense nodes themselves, twice over: the links stay the same."""
+    monkeypatch.setattr(jj, "LIMIT", 12)
+    monkeypatch.setattr(jj, "CROWDED", crowded)
+    rng = random.Random(crowded)
+    texts = layered_corpus(rng, 150, "blocks") + layered_corpus(rng, 150, "sections")
+    for k in range(0, 300, 6):
+        copy = texts[k].split()
+        copy[rng.randrange(len(copy))] = "changed"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_links"] for r in jj.near_duplicates(df).collect()}
+    assert [got[k] for k, _ in rows] == links_by_matrix(rows).tolist()
+
+
 def text_moved(df, name="text"):
     """Exchanges of the plan that move a column of whole texts."""
     found, todo = [], [df._jdf.queryExecution().executedPlan()]
@@ -344,7 +405,7 @@ def test_toxic_counts_and_ratios_equal_brute_force(spark, monkeypatch):
         both = sum(v) / (n0 + n1)
         return abs(v[1] / n1 - v[0] / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1) + 1e-9)
 
-    best = sorted((k for k, v in want.items() if sum(v) >= 4), key=lambda k: (-round(apart(want[k]), 9), k))[:300]
+    best = sorted((k for k, v in want.items() if sum(v) >= toxicity.SEEN), key=lambda k: (-round(apart(want[k]), 9), k))[:300]
     found = {r["slot"]: r["ratio"] for r in toxicity.telling(counts)}
     assert len(set(best) & set(found)) >= 299  # the last may tie
     for k, ratio in found.items():
@@ -399,6 +460,63 @@ def test_prior_is_near_the_share():
         assert abs(quality_pu.estimate_prior(positive, mixed) - share) < 0.06
 
 
+def test_prior_equals_its_plain_statement():
+    """The least ratio of the upper tails over the thresholds where enough positives are above."""
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 5), (40, 300), (500, 200)):
+        positive, mixed = rng.normal(1, 1, n).round(1), np.concatenate([rng.normal(1, 1, m // 2), rng.normal(-2, 1, m - m // 2)]).round(1)
+        slack = (np.log(4 / 0.1) / 2 / m) ** 0.5 + (np.log(4 / 0.1) / 2 / n) ** 0.5
+        found = []
+        for cut in np.unique(np.quantile(np.concatenate([positive, mixed]), [k / 400 for k in range(401)])):
+            p, u = sum(x >= cut for x in positive) / n, sum(x >= cut for x in mixed) / m
+            if p > 0.05:
+                found.append(((u + slack) / p, u / p))
+        best = min(found, key=lambda x: x[0])[0]
+        assert any(quality_pu.estimate_prior(positive, mixed) == pytest.approx(min(0.98, max(0.02, r))) for value, r in found if value <= best + 1e-12)
+
+
+CLASSES = ("\n", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:'\"-()", "!?#*$%&|<>@^_`~=+/\\{}[]")
+
+
+def class_of(byte):
+    if byte > 127:
+        return 8
+    c = chr(byte)
+    return 1 if c in " \t\r\x0b\x0c" else next((k for k, chars in enumerate(CLASSES, 2) if c in chars), 0)
+
+
+def test_features_equal_their_plain_statement():
+    import math
+    import zlib as z
+    from collections import Counter as C
+
+    rng = random.Random(9)
+    parts = ["word", "Word", "x1", "é", "日本", "\0", " ", "\n", "\t", ". ", "!?", "the the ", "\n\nline\n", "long" * 30]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["", None, " \n ", "a", "ab", "same line\nsame line\n" * 5]
+    for text in texts:
+        got = quality_pu.features(text)
+        words = (text or "").split()
+        if not words:
+            assert not got.any()
+            continue
+        raw = text.encode()
+        cs = [class_of(b) for b in raw]
+        want = []
+        for size in (1, 2, 3):
+            grams = C(tuple(cs[k : k + size]) for k in range(len(cs) - size + 1))
+            total = max(1, sum(grams.values()))
+            names = [()]
+            for _ in range(size):
+                names = [(*n, c) for n in names for c in range(9)]
+            want += [math.sqrt(grams[n] / total) for n in names]
+        n, lines = len(words), [x for x in text.split("\n") if x.strip()]
+        want += [math.log(1 + n) / 10, len(set(words)) / n, min(2, len(set(words)) / n**0.85), max(C(words).values()) / n]
+        want += [sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, len(set(zip(words, words[1:], strict=False))) / max(1, n - 1)]
+        want += [1 - len(set(lines)) / len(lines), min(1, len(lines) / n), min(2, sum(map(len, words)) / n / 20), min(2, max(map(len, words)) / 100)]
+        want += [min(1.2, len(z.compress(raw, 1)) / (len(raw) + 20)), math.log(1 + n) / 3 if n < 20 else 0]
+        assert got == pytest.approx(np.array(want, np.float32), abs=1e-6), text
+
+
 # --- pipeline ---
 
 

@@ -724,6 +724,20 @@ def test_mix_meets_targets(spark):
     assert {r["source"]: r["n"] for r in words} == taken
 
 
+def test_weights_come_from_any_column(spark):
+    """Documents of weight 1 are taken before those of the least one nearly always; what is no weight counts as the least."""
+    rows = [(k, "w " * 10, "s" if k % 2 else "t", None if k % 8 == 0 else float("nan") if k % 8 == 1 else (1.0 if k % 4 > 1 else 0.0)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(df, weights=(1,), share=0.5, weight=F.col("score")).collect()}
+    high = sum(got[k] for k, *_, w in rows if w == 1.0)
+    low = sum(got[k] for k, *_, w in rows if w != 1.0)
+    assert high > 8 * low and abs(high + low - 10_000) <= 2
+    plain = {r["doc_id"]: r["taken"] for r in mixing.mix(df, weights=(1,), share=0.5).collect()}
+    assert abs(sum(plain[k] for k, *_, w in rows if w == 1.0) - 5000) < 700
+    docs = mixing.mixed_documents(df, weights=(1,), share=0.5, weight=F.col("score"))
+    assert docs.columns == df.columns and docs.where("score = 1").count() > 8 * docs.where("score <> 1 OR score IS NULL").count()
+
+
 def brute_mix(rows, uniform, weights=(5, 2, 1), share=1.5, epochs=2.0):
     """Words taken of each row (id, text, source, hash), source by source in the order of the keys."""
     sizes: dict = {}
