@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -15,6 +11,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.storage import cleanup, delete, scratch, shared_dir, written
+
+__all__ = ["Bloom", "cleanup", "fresh", "held_out", "let", "materialise", "n_words", "passing_tables", "scratch", "shared_dir", "table"]
+
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,39 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="loomwright-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Everything that this process writes there is in one folder.
-_RUN = uuid.uuid4().hex
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/loomwright/{_RUN}/{tag}-{uuid.uuid4().hex}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Delete what this process has written to the shared folder. Results that haven't been saved elsewhere go with it."""
-    _delete(spark, f"{shared_dir(spark)}/loomwright/{_RUN}")
-
-
 _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
@@ -67,10 +34,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; lost executors don't take it along."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    out = written(df, path)
     if (made := _MADE.get()) is not None:
         made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
 
 
 @contextmanager
@@ -89,7 +56,7 @@ def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], D
     finally:
         _MADE.reset(token)
         for path in made:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -65,9 +65,12 @@ class _Words(dict):
                     raw[-1] = last[raw[-1]]
                 ranks[bytes(raw)] = i
         self.last = [bytes([last.get(b, 0)]) for b in range(256)]
-        self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        core = getattr(tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None)
+        self.merge = getattr(core, "encode_single_piece", None)  # not a public member: without it words go to the tokenizer
 
     def _letters(self, word: str) -> bytes:
+        if self.merge is None:
+            return self.whole(word)
         raw = word.encode()
         return array("I", self.merge(raw[:-1] + self.last[raw[-1]])).tobytes()
 

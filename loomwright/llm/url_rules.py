@@ -190,7 +190,7 @@ WITH written(p) AS (
   SELECT page_id, url, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages
 ), parts AS (
   SELECT page_id, url,
-    lower(CASE WHEN contains(rest, '/') THEN substr(rest, 1, strpos(rest, '/') - 1) ELSE coalesce(rest, '') END) AS host,
+    translate(CASE WHEN contains(rest, '/') THEN substr(rest, 1, strpos(rest, '/') - 1) ELSE coalesce(rest, '') END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     CASE WHEN contains(rest, '/') THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM cut
 ), ruled AS (
   SELECT *, CASE {" ".join(f"WHEN {c} THEN {text(r)}" for r, _, c in fits)} END AS rule FROM parts

@@ -60,6 +60,15 @@ def test_encoder_equals_tokenizer():
         assert encode(text) == encode.whole(text), text
 
 
+def test_encoder_without_the_faster_library(monkeypatch):
+    import public_tokenizers
+
+    encode = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    encode.words.merge = None
+    for text in ("plain words here, twice here.", "Über l'été", ""):
+        assert encode(text) == encode.whole(text)
+
+
 def test_differencing_is_near_equal_and_within_capacity():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 60, 400):
