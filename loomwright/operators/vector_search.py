@@ -111,8 +111,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id",
     n, size = asked.agg(F.count("*"), F.sum(F.octet_length("m"))).first()
     if not n:
         return spark.createDataFrame([], f"query {kind}, rank int, id {kind}, similarity double")
-    blocks = asked.withColumn("place", F.row_number().over(Window.orderBy("block")) - 1) if n > 1 else asked.withColumn("place", F.lit(0))
-    blocks = blocks.select("place", F.col("ids").alias("asked"), F.col("m").alias("q"))
+    places = asked.select("block").withColumn("place", F.row_number().over(Window.orderBy("block")) - 1)  # a number for each block of queries
+    blocks = asked.join(F.broadcast(places), "block").select("place", F.col("ids").alias("asked"), F.col("m").alias("q"))
     every = _packed(_sound(vectors, key, column, width), width).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     met = every.join(F.broadcast(blocks) if size <= BROADCAST_BYTES else blocks, "place")
 

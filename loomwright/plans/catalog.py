@@ -187,8 +187,8 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).groupBy("origin").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("characters"))
 
 
-def _collection(spark: SparkSession, sf_dir: str) -> tuple[Built, Built, DataFrame]:
-    """The documents, each twice, in a collection that held others before: one in a hundred was another text, some have vanished, some are new."""
+def _collection(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, Built]:
+    """A collection of the documents, each given twice, that held others before: one in a hundred was another text, some have vanished, some are new."""
     path = scratch(spark, "collection")
     rows, i = _read(spark, sf_dir, "documents"), F.col("doc_id")
     docs = documents_from_table(rows)
@@ -196,20 +196,20 @@ def _collection(spark: SparkSession, sf_dir: str) -> tuple[Built, Built, DataFra
     before = rows.where(i % 100 != 11).withColumn("text", F.when(i % 100 == 7, F.concat(F.lit("Before. "), "text")).otherwise(F.col("text")))
     build_knowledge_base(docs.limit(1), path, hashing_encoder(16), "other")
     build_knowledge_base(documents_from_table(before.unionByName(gone)), path, hashing_encoder(), "check")
-    built = build_knowledge_base(docs.unionByName(docs), path, hashing_encoder(), "check")
-    again = build_knowledge_base(docs, path, hashing_encoder(), "check")
-    return built, again, read_collection(spark, path, "check")
+    return path, docs, build_knowledge_base(docs.unionByName(docs), path, hashing_encoder(), "check")
 
 
 def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a collection holds: chunks with vectors of the test encoder, and what identifies it."""
     norm = F.round(vectors.l2_norm(F.col("embedding")), 4)
-    return _collection(spark, sf_dir)[2].select("chunk_id", "collection", "encoder_id", "dim", F.size("embedding").alias("width"), norm.alias("norm"))
+    return read_collection(spark, _collection(spark, sf_dir)[0], "check").select("chunk_id", "collection", "encoder_id", "dim", F.size("embedding").alias("width"), norm.alias("norm"))
 
 
 def knowledge_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What builds report: documents and chunks, the chunks encoded for a change and for none, and the rows that the collection has."""
-    built, again, rows = _collection(spark, sf_dir)
+    path, docs, built = _collection(spark, sf_dir)
+    again = build_knowledge_base(docs, path, hashing_encoder(), "check")
+    rows = read_collection(spark, path, "check")
     told = {"documents": built.documents, "chunks": built.chunks, "encoded": built.encoded, "encoded_again": again.encoded, "left_again": again.left}
     return rows.agg(*[F.lit(v).cast("long").alias(k) for k, v in told.items()], F.count("*").alias("written"))
 
