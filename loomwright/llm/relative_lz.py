@@ -26,7 +26,7 @@ each of them; an empty table gives no rows; further columns go through unchanged
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -40,8 +40,8 @@ from loomwright.llm.words import stretches, word_hashes
 WINDOW, GRAM, BLOCK = 20, 8, 512
 #: Frequent keys that are broadcast, for each shuffle partition.
 HOT = 4
-#: Bytes of text that are hashed together.
-_TOGETHER = 1 << 18
+#: Bytes of text that are hashed together, and of blocks that are passed on together.
+_TOGETHER, _PASSED = 1 << 18, 4 << 20
 
 Span = tuple[int, int]
 
@@ -56,31 +56,30 @@ def least_places(grams: np.ndarray, width: int) -> np.ndarray:
     return better(at[: len(at) - (width - reach)], at[width - reach :]) if width > reach else at
 
 
-def _joined(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """Texts, some at a time, as one with line feeds between them: first, end, data."""
-    first = held = 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held >= _TOGETHER:
-            yield first, k + 1, b"\n".join(texts[first : k + 1])
-            first, held = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts), b"\n".join(texts[first:])
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    return ((x.as_py() or "").encode("utf-8", "surrogatepass") for x in column)
 
 
-def _hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text the hashes, first bytes and ends of its words."""
-    for x, y, data in _joined(texts):
-        words, first, stop = word_hashes(data)
+def _hashed(texts: Iterable[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each text with the hashes, first bytes and ends of its words. Some are hashed at a time, as one with line feeds between them."""
+
+    def cut(some: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+        words, first, stop = word_hashes(b"\n".join(some))
         at = 0
-        for text in texts[x:y]:
+        for text in some:
             lo, hi = np.searchsorted(first, (at, at + len(text)))
-            yield words[lo:hi], first[lo:hi] - at, stop[lo:hi] - at
+            yield text, words[lo:hi], first[lo:hi] - at, stop[lo:hi] - at
             at += len(text) + 1
 
-
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
+    some: list[bytes] = []
+    held = 0
+    for text in texts:
+        some.append(text)
+        held += len(text)
+        if held >= _TOGETHER:
+            yield from cut(some)
+            some, held = [], 0
+    yield from cut(some)
 
 
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +105,7 @@ def _anchored(keyed: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(w)[:2] for w, _, _ in _hashed(_bytes(batch.column(2)))]
+            found = [anchors(w)[:2] for _, w, _, _ in _hashed(_bytes(batch.column(2)))]
             at = np.append(0, np.cumsum([len(h) for h, _ in found])).astype(np.int32)
             h = np.concatenate([h for h, _ in found] or [np.zeros(0, np.uint64)]).view(np.int64)
             pos = np.concatenate([p for _, p in found] or [np.zeros(0, np.int64)]).astype(np.int32)
@@ -139,16 +138,23 @@ def _blocks(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column(2))
-            rows, block, out = [], [], []
-            for k, (_, first, stop) in enumerate(_hashed(texts)):
+            rows, block, out, held = [], [], [], 0
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                take = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(block, pa.int32()), pa.array(out, pa.string())], ["d", "th", "block", "words"])
+
+            for k, (text, _, first, stop) in enumerate(_hashed(_bytes(batch.column(2)))):
                 for b in range(-(-len(first) // size)):
                     x, y = _around(b, size, len(first))
                     rows.append(k)
                     block.append(b)
-                    out.append(texts[k][first[x] : stop[y - 1]].decode("utf-8", "surrogatepass"))
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(block, pa.int32()), pa.array(out, pa.string())], ["d", "th", "block", "words"])
+                    out.append(text[first[x] : stop[y - 1]].decode("utf-8", "surrogatepass"))
+                    held += len(out[-1])
+                    if held >= _PASSED:
+                        yield made()
+                        rows, block, out, held = [], [], [], 0
+            yield made()
 
     key = F.xxhash64("d", "th", "block")
     docs = Bloom(materialise(wanted.select(F.xxhash64("d", "th").alias("key")).distinct(), "repeating-texts")).among(keyed.withColumn("key", F.xxhash64("d", "th")), "key").select("d", "th", "text")
@@ -235,7 +241,7 @@ def _compared(pairs: DataFrame, size: int) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             both = zip(_hashed(_bytes(batch.column(5))), _hashed(_bytes(batch.column(6))), strict=True)
             last: tuple[str | None, Reference | None] = (None, None)
-            for k, ((own, _, _), (other, _, _)) in enumerate(both):
+            for k, ((_, own, _, _), (_, other, _, _)) in enumerate(both):
                 if len(own) < WINDOW:
                     continue
                 block, their, same = batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
