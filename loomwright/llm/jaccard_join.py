@@ -59,7 +59,7 @@ DEPTH = 12
 #: A split keeps this share of a node together: the node is dense. From 1 / sqrt(FANOUT) on splits don't save pairs.
 DENSE = 0.7
 #: Sets of a dense node that are looked at for its common tokens (about), and the share of them that has a common one.
-SAMPLE, CORE = 128, 0.5
+SAMPLE, CORE = 256, 0.5
 #: A leaf of a dense node with more sets is taken for a dense node itself, so many times at most. Below, comparing costs less.
 CROWDED, LAYERS = 1 << 13, 2
 #: A pair is screened out when fewer of its signatures' values agree; at 0.8 that is 4 standard deviations off.
