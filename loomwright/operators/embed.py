@@ -43,10 +43,12 @@ def hashing_encoder(dim: int = 64) -> Encoder:
 
     def load() -> Encode:
         def one(text: str) -> list[float]:
-            out = [0.0] * dim
-            for word in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+            out, hashes = [0.0] * dim, [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") for w in re.findall(r"\w+", text.lower())]
+            for h in hashes:
                 out[h % dim] += 1.0 if h >> 63 else -1.0
+            if not any(out):  # words that cancel one another out are counted without signs: only a text without words has no direction
+                for h in hashes:
+                    out[h % dim] += 1.0
             norm = math.sqrt(sum(x * x for x in out))
             return [x / norm for x in out] if norm else out
 
