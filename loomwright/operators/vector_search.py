@@ -1,8 +1,8 @@
 """Many queries against many vectors: exactly, in blocks; and through an inverted file that looks at the nearest cells only.
 
 Exact search. Vectors are packed into blocks of ``BLOCK`` rows, queries likewise. Every block of vectors meets every block of
-queries, as one product of two matrices in a task, which keeps the best ``k`` of each query over all the blocks that it gets
-and reports no others; a merge by query follows. No pair is ever a row.
+queries, as products of matrices of ``STRIP`` queries in a task, which keeps the best ``k`` of each query over all the blocks that
+it gets and reports no others; a merge by query follows. No pair is ever a row.
 
 Inverted file. Cells are fitted on a bounded sample of vectors (``SAMPLE`` rows by hash) by spherical k-means. Every vector is
 then filed under its nearest cell as a residual of one byte for each component, in blocks that a cell has as many of as it
@@ -16,7 +16,7 @@ isn't finite, is found by nothing and finds nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 from loomwright.storage import scratch, written
 
 BLOCK = 2048
+#: Queries that are compared with a block at a time.
+STRIP = 128
 SAMPLE, GROUPS = 20_000, 64
 #: Bytes of packed queries that may be broadcast, after they were measured.
 BROADCAST_BYTES = 64 << 20
@@ -72,30 +74,42 @@ def _packed(rows: DataFrame, width: int) -> DataFrame:
 
 
 class _Best:
-    """The ``k`` best of each query in a task: similarities descending, ties by key."""
+    """The ``k`` best of each query in a task: similarities descending, ties by key.
+
+    Queries are taken ``STRIP`` at a time, and of what a strip meets only what may be among the best is kept. So what a task
+    holds besides its blocks is a few matrices of ``STRIP`` rows, however large the tables are.
+    """
 
     def __init__(self, queries: pa.Array, k: int) -> None:
         self.queries, self.k = queries, k
-        self.keys: np.ndarray | None = None
-        self.scores = np.zeros((len(queries), 0))
+        #: By the strip's first query: queries, keys and similarities, in order.
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def meet(self, keys: np.ndarray, scores: Callable[[slice], np.ndarray]) -> None:
+        """``scores`` gives the similarities of some queries and all ``keys``; those that aren't finite don't count."""
+        for first in range(0, len(self.queries), STRIP):
+            self._add(first, keys, scores(slice(first, first + STRIP)))
 
-    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+    def _add(self, first: int, keys: np.ndarray, scores: np.ndarray) -> None:
+        may = np.isfinite(scores)
         if scores.shape[1] > self.k:  # everything that may be among the best, ties at the end included
-            least = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
-            columns = np.flatnonzero((scores >= least[:, None]).any(0))
-            keys, scores = keys[columns], scores[:, columns]
-        own = np.broadcast_to(keys, scores.shape)
-        both = own if self.keys is None else np.concatenate([self.keys, own], 1)
-        scores = np.concatenate([self.scores, scores], 1)
-        order = np.lexsort((both, -scores), axis=1)[:, : self.k]
-        self.keys, self.scores = np.take_along_axis(both, order, 1), np.take_along_axis(scores, order, 1)
-
-    def rows(self) -> pa.RecordBatch:
-        n = self.scores.shape[1]
-        at = pa.array(np.repeat(np.arange(len(self.queries)), n))
-        keep = np.isfinite(self.scores.ravel())
-        made = [self.queries.take(at), pa.array(self.keys.ravel()), pa.array(self.scores.ravel())]
-        return pa.RecordBatch.from_arrays([a.filter(pa.array(keep)) for a in made], ["query", "id", "similarity"])
+            may &= scores >= np.fmax(-np.inf, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])[:, None]
+        if first in self.held:
+            own, _, held = self.held[first]
+            full = np.flatnonzero(np.bincount(own - first, minlength=len(scores)) == self.k)
+            may[full] &= scores[full] >= held[np.searchsorted(own, full + first, "right") - 1][:, None]
+        row, column = np.nonzero(may)
+        found = row + first, keys[column], scores[row, column]
+        if first in self.held:
+            found = tuple(np.concatenate(x) for x in zip(self.held[first], found, strict=True))
+        order = np.lexsort((found[1], -found[2], found[0]))
+        query, key, score = (x[order] for x in found)
+        best = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.held[first] = query[best], key[best], score[best]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for query, key, score in self.held.values():
+            yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(query)), pa.array(key), pa.array(score)], ["query", "id", "similarity"])
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
@@ -122,12 +136,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id",
             for place, ids, m, asked_, q in zip(*batch.columns, strict=True):
                 if place.as_py() not in best:
                     if len(best) >= 64:  # bounded: what is held goes to the merge
-                        yield from (b.rows() for b in best.values())
+                        for b in best.values():
+                            yield from b.rows()
                         best = {}
                     best[place.as_py()] = _Best(asked_.values, k)
-                a, b = (np.frombuffer(x.as_py(), np.float64).reshape(-1, width) for x in (q, m))
-                best[place.as_py()].add(ids.values.to_numpy(zero_copy_only=False), a @ b.T)
-        yield from (b.rows() for b in best.values())
+                a, b = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, width) for x in (q, m))
+                best[place.as_py()].meet(ids.values.to_numpy(zero_copy_only=False), lambda strip, a=a, b=b: a[strip] @ b.T)
+        for b in best.values():
+            yield from b.rows()
 
     found = met.select("place", "ids", "m", "asked", "q").mapInArrow(compare, f"query {kind}, id {kind}, similarity double")
     return _merged(found, k).select("query", "rank", "id", "similarity")
@@ -250,16 +266,20 @@ def search_index(spark: SparkSession, index: VectorIndex, queries: DataFrame, k:
             for cell, ids, codes, m, asked_, q in zip(*batch.columns, strict=True):
                 a = np.array(q.values, np.float64).reshape(-1, width)
                 a /= np.sqrt((a * a).sum(1))[:, None]
-                code = np.frombuffer(codes.as_py(), np.int8).reshape(-1, width)
-                rough = step * (a.astype(np.float32) @ code.astype(np.float32).T)  # the cell's own share is the same for all
-                some = min(rerank * k, rough.shape[1])
-                short = np.argpartition(-rough, some - 1, axis=1)[:, :some]
-                exact = np.full(rough.shape, -np.inf)
-                true = np.frombuffer(m.as_py(), np.float32).astype(np.float64).reshape(-1, width)
-                np.put_along_axis(exact, short, np.einsum("qd,qsd->qs", a, true[short]), 1)
+                code = np.frombuffer(codes.as_buffer(), np.int8).reshape(-1, width).astype(np.float32)
+                true = np.frombuffer(m.as_buffer(), np.float32).reshape(-1, width)
+
+                def scores(strip: slice, a=a, code=code, true=true) -> np.ndarray:
+                    rough = step * (a[strip].astype(np.float32) @ code.T)  # the cell's own share is the same for all
+                    some = min(rerank * k, rough.shape[1])
+                    short = np.argpartition(-rough, some - 1, axis=1)[:, :some]
+                    exact = np.full(rough.shape, -np.inf)
+                    np.put_along_axis(exact, short, np.einsum("qd,qsd->qs", a[strip], true[short].astype(np.float64)), 1)
+                    return exact
+
                 best = _Best(asked_.values, k)
-                best.add(ids.values.to_numpy(zero_copy_only=False), exact)
-                yield best.rows()
+                best.meet(ids.values.to_numpy(zero_copy_only=False), scores)
+                yield from best.rows()
 
     found = met.mapInArrow(compare, f"query {own}, id {kind}, similarity double")
     return _merged(found, k).select("query", "rank", "id", "similarity")
