@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,20 +15,35 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, UserDefinedTableFun
 from loomwright.config import Settings
 from loomwright.functions.chunking import split_text
 
+#: Bytes of texts that are held as Python strings, with their chunks, at a time.
+SLICE_BYTES = 2 << 20
+
 
 def _sizes(size: int | None, overlap: int | None) -> tuple[int, int]:
     settings = Settings.load()
     return settings.chunk_size if size is None else size, settings.chunk_overlap if overlap is None else overlap
 
 
+def slices(batches: Iterator[pa.Array], n_bytes: int, n_rows: int = 10_000) -> Iterator[pa.Array]:
+    """Parts of the arrays, of at most so many rows and, unless it is one row, bytes. A batch of Spark's has up to 64 MB."""
+    for texts in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + n_bytes, "right"))
+            end = max(at + 1, min(end, at + n_rows))
+            yield texts.slice(at, end - at)
+            at = end
+
+
 def chunks_of(text: Column, size: int | None = None, overlap: int | None = None) -> Column:
     """The chunks of a text as an array of strings."""
     size, overlap = _sizes(size, overlap)
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: split_text(t, size, overlap))
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in slices(batches, SLICE_BYTES):
+            yield pa.array([split_text(t, size, overlap) for t in some.to_pylist()], pa.list_(pa.string()))
 
     return split(text)
 

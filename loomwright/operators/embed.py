@@ -8,12 +8,15 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions.vectors import normalise
+from loomwright.operators.chunk import SLICE_BYTES, slices
 
+#: Texts that are encoded at a time.
+SLICE_ROWS = 1024
 Encode = Callable[[list[str]], list[list[float]]]
 
 
@@ -60,11 +63,11 @@ def hashing_encoder(dim: int = 64) -> Encoder:
 def embed(text: Column, encoder: Encoder) -> Column:
     load = encoder.load
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = load()
-        for texts in batches:
-            yield pd.Series(run(texts.fillna("").tolist()), dtype=object)
+        for some in slices(batches, SLICE_BYTES, SLICE_ROWS):
+            yield pa.array(run([t or "" for t in some.to_pylist()]), pa.list_(pa.float64()))
 
     return encode(text)
 
