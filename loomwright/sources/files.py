@@ -24,6 +24,8 @@ from loomwright.sources.reading import DDL, as_batch, contents
 
 __all__ = ["LOADERS", "DocumentsNotFound", "documents_from_table", "file_name", "list_files", "pdf_loader", "read_documents", "read_files", "read_listed", "read_submissions", "register_loader", "require_directory", "write_files"]
 
+#: Files that a task writes or reads, and bytes that it reads, on the average at most.
+TASK_FILES, TASK_BYTES = 10_000, 64 << 20
 #: From listed files of one extension to documents.
 Loader = Callable[[DataFrame], DataFrame]
 
@@ -34,6 +36,13 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found if pattern == "*" else found.where(file_name(F.col("path")).rlike(fnmatch.translate(pattern).removesuffix(r"\Z") + r"\z"))
 
 
+def _dealt(rows: DataFrame, key: str, n_bytes: str | None = None) -> DataFrame:
+    """Rows that stand for a file each over as many tasks as they need: however many there are, a task's share isn't larger."""
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(n_bytes), F.lit(0)) if n_bytes else F.lit(0)).first()
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(usual, -(-count // TASK_FILES), -(-size // TASK_BYTES)), key)
+
+
 def read_listed(listed: DataFrame, limit: int | None = None) -> DataFrame:
     """Listed files with ``content`` and ``read_error``: one of them is null. Above ``limit`` bytes nothing is read, and both are."""
 
@@ -41,8 +50,7 @@ def read_listed(listed: DataFrame, limit: int | None = None) -> DataFrame:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         yield from map(as_batch, contents(rows, limit))
 
-    tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return listed.select("path", "n_bytes", "modified").repartition(tasks, "path").mapInArrow(read, DDL)
+    return _dealt(listed.select("path", "n_bytes", "modified"), "path", "n_bytes").mapInArrow(read, DDL)
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*", limit: int | None = None) -> DataFrame:
@@ -58,16 +66,20 @@ def write_files(rows: DataFrame, path: str) -> None:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(path)
         store.create_dir(base, recursive=True)
+        made = {base}
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name is not None and data is not None:
                     at = posixpath.join(base, name)
-                    store.create_dir(posixpath.dirname(at), recursive=True)
+                    if (folder := posixpath.dirname(at)) not in made:
+                        store.create_dir(folder, recursive=True)
+                        if len(made) < TASK_FILES:
+                            made.add(folder)
                     with store.open_output_stream(at) as out:
                         out.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    rows.select(F.col("name").cast("string"), F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    _dealt(rows.select(F.col("name").cast("string"), F.col("content").cast("binary")), "name").mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 def read_submissions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

@@ -30,6 +30,8 @@ from loomwright.storage import hadoop, scratch, written
 
 #: Names in a batch at most, ranges of a crowded folder at most, and names that tell where it is cut.
 PAGE, RANGES, PICKED = 10_000, 64, 4096
+#: Tasks at most that are added to a level for its ranges.
+RANGE_TASKS = 1024
 _FOUND = "kind string, path string, low string, high string, n_bytes long, modified timestamp"
 _ARROW = pa.schema([("kind", pa.string()), ("path", pa.string()), ("low", pa.string()), ("high", pa.string()), ("n_bytes", pa.int64()), ("modified", pa.timestamp("us", "UTC"))])
 
@@ -171,9 +173,11 @@ def list_tree(spark: SparkSession, path: str) -> DataFrame:
     while True:
         found = written(level.mapInArrow(_look, _FOUND), f"{at}/level={depth}")
         level = found.where("kind <> 'file'").select("path", "low", "high")
-        if level.isEmpty():
+        folders, ranges = level.agg(F.count("*"), F.count_if(F.coalesce("low", "high").isNotNull())).first()
+        if not folders:
             break
-        level, depth = level.repartition(tasks, "path", "low"), depth + 1
+        # A task for each range, as each goes through all names of its folder.
+        level, depth = level.repartition(tasks + min(ranges, RANGE_TASKS), "path", "low"), depth + 1
     every = spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(at)
     return every.where("kind = 'file'").select("path", "n_bytes", "modified")
 
